@@ -7,19 +7,30 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewell.llm._shared import scratch_path
 from tidewell.llm.bpe import bpe_digest, bpe_encode
+from tidewell.llm.token_store import encode_ids, read_blocks, shard_bounds, write_blocks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token_store")
+    docs, shards = table(spark, sf_dir, "documents"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    encoded = encode_ids(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, bounds=shard_bounds(docs, shards))
+    write_blocks(encoded, path, shards)
+    return read_blocks(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe_digest(bpe_encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_store": op3_token_store,
     "op7_byte_bpe": op7_byte_bpe,
 }
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewell.llm import language
 from tidewell.llm._shared import scratch_path
 from tidewell.llm.bpe import bpe_digest, bpe_encode
 from tidewell.llm.token_store import encode_ids, read_blocks, shard_bounds, write_blocks
@@ -29,9 +30,17 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(bpe_encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(docs, ~language.held_out())
+    marked = docs.select("doc_id", language.held_out().alias("held_out"), "text")
+    return language.predict(marked, model, keep=["doc_id", "held_out"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_store": op3_token_store,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_language": op9_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewell.llm import language
 from tidewell.llm._shared import scratch_path
 from tidewell.llm.bpe import bpe_digest, bpe_encode
+from tidewell.llm.line_dedup import line_dedup, line_dedup_sql, line_digest
 from tidewell.llm.token_store import encode_ids, read_blocks, shard_bounds, write_blocks
 
 
@@ -37,10 +38,17 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(marked, model, keep=["doc_id", "held_out"])
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_store": op3_token_store,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_language": op9_language,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_line_dedup": line_dedup_sql(),
+}

@@ -11,6 +11,7 @@ from tidewell.llm import language
 from tidewell.llm._shared import scratch_path
 from tidewell.llm.bpe import bpe_digest, bpe_encode
 from tidewell.llm.line_dedup import line_dedup, line_dedup_sql, line_digest
+from tidewell.llm.minhash import near_duplicates
 from tidewell.llm.token_store import encode_ids, read_blocks, shard_bounds, write_blocks
 
 
@@ -18,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token_store")
     docs, shards = table(spark, sf_dir, "documents"), int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -43,6 +48,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": op1_minhash,
     "op3_token_store": op3_token_store,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_language": op9_language,

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewell.llm import language
 from tidewell.llm._shared import scratch_path
 from tidewell.llm.bpe import bpe_digest, bpe_encode
+from tidewell.llm.decontaminate import contamination
+from tidewell.llm.licenses import license_scan
 from tidewell.llm.line_dedup import line_dedup, line_dedup_sql, line_digest
 from tidewell.llm.minhash import near_duplicates
 from tidewell.llm.token_store import encode_ids, read_blocks, shard_bounds, write_blocks
@@ -31,6 +33,14 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_blocks(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("copy")
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe_digest(bpe_encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
@@ -50,6 +60,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op3_token_store": op3_token_store,
+    "op5_decontaminate": op5_decontaminate,
+    "op8_licenses": op8_licenses,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_language": op9_language,
     "op10_line_dedup": op10_line_dedup,

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewell.llm import language
 from tidewell.llm._shared import scratch_path
 from tidewell.llm.bpe import bpe_digest, bpe_encode
+from tidewell.llm.cap_filters import CAP_LINKS_SQL, cap_links
 from tidewell.llm.decontaminate import contamination
 from tidewell.llm.licenses import license_scan
 from tidewell.llm.line_dedup import line_dedup, line_dedup_sql, line_digest
@@ -33,6 +34,10 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_blocks(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_links(table(spark, sf_dir, "embeddings"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("copy")
 
@@ -60,6 +65,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op3_token_store": op3_token_store,
+    "op4_cap_filters": op4_cap_filters,
     "op5_decontaminate": op5_decontaminate,
     "op8_licenses": op8_licenses,
     "op7_byte_bpe": op7_byte_bpe,
@@ -68,5 +74,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_cap_filters": CAP_LINKS_SQL,
     "op10_line_dedup": line_dedup_sql(),
 }

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewell.llm import language
 from tidewell.llm._shared import scratch_path
 from tidewell.llm.bpe import bpe_digest, bpe_encode
 from tidewell.llm.cap_filters import CAP_LINKS_SQL, cap_links
 from tidewell.llm.decontaminate import contamination
+from tidewell.llm.interpolation import lm_scores
 from tidewell.llm.licenses import license_scan
 from tidewell.llm.line_dedup import line_dedup, line_dedup_sql, line_digest
 from tidewell.llm.minhash import near_duplicates
@@ -42,6 +44,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("copy")
 
 
+def op6_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    scored = lm_scores(table(spark, sf_dir, "documents"), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -67,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_store": op3_token_store,
     "op4_cap_filters": op4_cap_filters,
     "op5_decontaminate": op5_decontaminate,
+    "op6_interpolation": op6_interpolation,
     "op8_licenses": op8_licenses,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_language": op9_language,

@@ -17,6 +17,7 @@ from tidewell.llm.interpolation import lm_scores
 from tidewell.llm.licenses import license_scan
 from tidewell.llm.line_dedup import line_dedup, line_dedup_sql, line_digest
 from tidewell.llm.minhash import near_duplicates
+from tidewell.llm.suffix_dedup import suffix_dedup, suffix_digest
 from tidewell.llm.token_store import encode_ids, read_blocks, shard_bounds, write_blocks
 
 
@@ -28,6 +29,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_digest(suffix_dedup(table(spark, sf_dir, "documents")))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token_store")
     docs, shards = table(spark, sf_dir, "documents"), int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -72,6 +77,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_token_store": op3_token_store,
     "op4_cap_filters": op4_cap_filters,
     "op5_decontaminate": op5_decontaminate,

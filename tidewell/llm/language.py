@@ -121,11 +121,9 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: st
 
     ``lang_pred`` is ``und`` with score 0 if the text is null or has no letter, or if nothing was
     learned. ``score`` is the winner's regression output mapped from [-1, 1] to [0, 1]. Ties go to the
-    first language in order.
+    first language in order. Columns of ``keep`` with these two names are replaced.
     """
-    clash = {"lang_pred", "score"} & set(keep)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would clash")
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # its size is bounded: max_grams by languages
     fields = [f for f in docs.schema.fields if f.name in keep]

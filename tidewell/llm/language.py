@@ -25,6 +25,8 @@ _LOWER[65:91] += 32
 #: Cells of a presence table at most.
 TABLE_CELLS = 1 << 24
 UNKNOWN = "und"
+#: Times the sample's size that is ranked for it.
+ROOM = 20
 
 
 def _codes(data: np.ndarray, n: int) -> np.ndarray:
@@ -162,8 +164,13 @@ def learn(docs: DataFrame, keep: Column, per_language: int = 250, id_col: str =
     on the sample is a bound on what the driver sees.
     """
     rows = docs.where(keep & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    ranked = rows.select("lang", "key").groupBy("lang", "key").agg(F.lit(1).alias("one"))
-    chosen = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("rank") <= per_language)
+    # hashes are even, so a share of their range bounds what is ranked, with room for repeated texts
+    shares = {r.lang: min(1.0, ROOM * per_language / r.n) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not shares:
+        return fit([], **options)
+    top = F.create_map(*(F.lit(x) for lang, share in shares.items() for x in (lang, int(min(share * 2.0**64 - 2.0**63, 2.0**63 - 1024)))))
+    few = rows.select("lang", "key").where(F.col("key") <= top[F.col("lang")]).distinct()
+    chosen = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("rank") <= per_language)
     keys = [r.key for r in chosen.select("key").collect()]
     texts = rows.where(F.col("key").isin(keys)).groupBy("lang", "key").agg(F.min("text").alias("text")) if keys else rows.limit(0)
     return fit([(r.lang, r.text) for r in texts.orderBy("lang", "key").collect()], **options)

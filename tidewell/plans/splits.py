@@ -15,12 +15,26 @@ def shuffled(key: Column | str, seed: int) -> Column:
     return F.pmod(k.cast("bigint") * 7919 + seed * 104729, F.lit(1009))
 
 
+def global_number(rows: DataFrame, order: list[Column], tie: str) -> DataFrame:
+    """``n``: the row number by ``order``, then ``tie``, from 0, without sorting all rows in one task.
+
+    Rows are counted by order key; only those counts are summed up in one go, and rows are numbered
+    within their key. Keys should be few beside rows: sizes, hash classes.
+    """
+    keyed = rows.select("*", *(c.alias(f"__k{i}") for i, c in enumerate(order)))
+    keys = [f"__k{i}" for i in range(len(order))]
+    counts = keyed.groupBy(*keys).agg(F.count("*").alias("__c"))
+    before = counts.select(*keys, (F.sum("__c").over(Window.orderBy(*keys)) - F.col("__c")).alias("__before"))
+    own = F.row_number().over(Window.partitionBy(*keys).orderBy(tie)) - 1
+    return keyed.withColumn("__own", own).join(before, keys).withColumn("n", F.col("__before") + F.col("__own")).drop(*keys, "__own", "__before")
+
+
 def group_folds(rows: DataFrame, group: str, k: int = 5, seed: int = 0, stratify: str | None = None) -> DataFrame:
     """``group, fold``: groups by size (positives first if stratified) dealt out there and back again."""
     sizes = rows.groupBy(group).agg(F.count("*").alias("n"), (F.sum(F.col(stratify).cast("int")) if stratify else F.lit(0)).alias("positives"))
-    order = Window.orderBy(F.col("positives").desc(), F.col("n").desc(), shuffled(group, seed), group)
-    turn = (F.row_number().over(order) - 1) % (2 * k)
-    return sizes.select(group, F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold"))
+    numbered = global_number(sizes.withColumnRenamed("n", "size"), [-F.col("positives"), -F.col("size"), shuffled(group, seed)], group)
+    turn = F.col("n") % (2 * k)
+    return numbered.select(group, F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold"))
 
 
 def fold_count(rows: DataFrame, label: str, group: str, k: int = 5) -> int:
@@ -134,18 +148,11 @@ def learning_curve(points: DataFrame, fractions: list[float], repeats: int = 5,
 
 
 def mining_holdout(points: DataFrame, share: float = 0.35, seed: int = 0) -> DataFrame:
-    """``mining``: floor(share * n) of all participants are held for rule mining.
-
-    People are counted by their place in the hash order first, so only the counts are ordered in one go.
-    """
-    people = points.select("pid").distinct().withColumn("h", shuffled("pid", seed))
-    counts = people.groupBy("h").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("h")) - F.col("n")
-    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    counts = counts.select("h", before.alias("before"), total.alias("total"))
-    n = F.row_number().over(Window.partitionBy("h").orderBy("pid")) + F.col("before")
-    marked = people.join(F.broadcast(counts), "h").withColumn("mining", n <= F.floor(F.col("total") * share))
-    return marked.select("pid", "mining")
+    """``mining``: floor(share * n) of all participants are held for rule mining."""
+    people = points.select("pid").distinct()
+    total = people.agg(F.count("*").alias("total"))
+    numbered = global_number(people, [shuffled("pid", seed)], "pid").crossJoin(F.broadcast(total))
+    return numbered.select("pid", (F.col("n") < F.floor(F.col("total") * share)).alias("mining"))
 
 
 def oversample(rows: DataFrame, label: str, order: list[str]) -> DataFrame:

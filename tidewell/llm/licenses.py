@@ -98,3 +98,37 @@ def license_scan(docs: DataFrame, least_share: float = 0.6, templates: list[tupl
     both = rows.join(found, rows["id"].eqNullSafe(found["id_found"]) & (rows["copy"] == found["copy_found"]), "left")
     every = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))))
     return both.select(F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort(F.array_distinct("base")), ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"))
+
+
+def license_sql(least_share: float = 0.6, templates: list[tuple[str, str]] = TEMPLATES) -> str:
+    """DuckDB: the same counts, spans and labels from lists of words."""
+    rows = ", ".join(f"({k}, '{label}', '{text.lower()}')" for k, (label, text) in enumerate(templates))
+    phrases = ", ".join(f"('{p}', {len(p.split())}, '{label}')" for p, label in BASE.items())
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH t AS (
+  SELECT template, label, regexp_extract_all(text, '{WORD}') AS w FROM (VALUES {rows}) v(template, label, text)
+), g AS (
+  SELECT template, label, len(w) - {K - 1} AS n_runs, place, array_to_string(w[place + 1:place + {K}], ' ') AS run FROM (SELECT *, unnest(range(len(w) - {K - 1})) AS place FROM t)
+), d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '{WORD}') AS w FROM documents
+), hit AS (
+  SELECT doc_id, template, label, n_runs, pos, place FROM (SELECT doc_id, w, unnest(range(len(w) - {K - 1})) AS pos FROM d) x JOIN g ON array_to_string(w[pos + 1:pos + {K}], ' ') = run
+), vote AS (
+  SELECT doc_id, template, label, n_runs, pos - place AS diagonal, list(DISTINCT place) AS places FROM hit GROUP BY ALL
+), grouped AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM (
+    SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {GAP} THEN 0 ELSE 1 END AS fresh FROM vote)
+), found AS (
+  SELECT doc_id, label, len(list_distinct(flatten(list(places)))) / n_runs AS share FROM grouped GROUP BY doc_id, template, label, n_runs, span HAVING len(list_distinct(flatten(list(places)))) / n_runs >= {least_share}
+), more AS (
+  SELECT doc_id, list(label) AS labels, max(share) AS share FROM found GROUP BY doc_id
+), base AS (
+  SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(label) AS labels
+  FROM (SELECT doc_id, w, unnest(range(len(w))) AS pos FROM d) x JOIN (VALUES {phrases}) p(phrase, n, label) ON array_to_string(w[pos + 1:pos + n], ' ') = phrase GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  array_to_string(list_sort(list_distinct(coalesce(base.labels, []))), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)"""

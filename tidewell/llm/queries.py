@@ -14,7 +14,7 @@ from tidewell.llm.bpe import bpe_digest, bpe_encode
 from tidewell.llm.cap_filters import CAP_LINKS_SQL, cap_links
 from tidewell.llm.decontaminate import contamination
 from tidewell.llm.interpolation import lm_scores
-from tidewell.llm.licenses import license_scan
+from tidewell.llm.licenses import license_scan, license_sql
 from tidewell.llm.line_dedup import line_dedup, line_dedup_sql, line_digest
 from tidewell.llm.minhash import near_duplicates
 from tidewell.llm.suffix_dedup import suffix_dedup, suffix_digest
@@ -90,5 +90,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_cap_filters": CAP_LINKS_SQL,
+    "op8_licenses": license_sql(),
     "op10_line_dedup": line_dedup_sql(),
 }

@@ -4,11 +4,13 @@
    text into segments: equal strings of ``length`` bytes have their anchor at the same distance. A segment
    whose whole bytes came before is a repeat; the rest is decided by suffixes, but only where an anchor's
    gram occurs in two different segments: elsewhere no string of ``length`` bytes can be repeated.
-2. Each task sorts the suffixes of those segments (to ``length`` bytes) into runs, one for each range of
-   the order, and front-codes them: shared prefix length and the rest. Ranges are exchanged.
-3. A range merges its runs with a loser tree. A head carries its common prefix with the last winner; heads
-   with different prefixes are ordered by that alone, equal ones are compared from there on, so no known
-   prefix is compared again. Equal neighbours are repeats of the earliest.
+2. Each task sorts those segments, a segment standing for the suffixes that start in it, into front-coded
+   runs (shared prefix length and the rest), one for each bucket of anchor grams: equal strings have equal
+   anchors, so they meet. A gram with very many segments is dealt out further, suffix by suffix.
+3. A bucket unfolds each run into its sorted suffixes (to ``length`` bytes) and merges the runs with a loser
+   tree. A head carries its common prefix with the last winner; heads with different prefixes are ordered
+   by that alone, equal ones are compared from there on, so no known prefix is compared again. Equal
+   neighbours are repeats of the earliest.
 """
 
 from __future__ import annotations
@@ -28,11 +30,12 @@ GRAM = 32
 #: Low bits of an anchor key that hold its place; a longer text is cut into overlapping pieces.
 PLACE_BITS = 24
 PIECE = 1 << 23
-#: Segments or suffixes that a task gathers before it sorts them.
-GATHER_SEGMENTS, GATHER_SUFFIXES = 400_000, 400_000
-#: Segments of a bucket, suffixes of a range and text bytes of a bucket, about.
-BUCKET_SEGMENTS, RANGE_SUFFIXES, BUCKET_BYTES = 1_000_000, 300_000, 64 << 20
-SAMPLE_SUFFIXES = 20_000
+#: Segments that a task gathers before it sorts them.
+GATHER_SEGMENTS, GATHER_WANTED = 250_000, 60_000
+#: Segments and suffixes of a bucket and bytes of a bucket of texts, about.
+BUCKET_SEGMENTS, BUCKET_SUFFIXES, BUCKET_BYTES = 300_000, 300_000, 64 << 20
+#: Different segments of one gram from which on its suffixes are dealt out singly.
+HOT_SEGMENTS = 4000
 #: Files that may come from bucketing without a shuffle.
 SMALL_FILES = 4096
 
@@ -123,13 +126,14 @@ def _segment_blobs(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, np.int32)), batch.column("id"), batch.column("copy"), batch.column("spans"), *(pa.nulls(n, pa.binary()) for _ in range(4))], names)
             keep = order[new]
-            bucket = ((gram[keep] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            # anchors have small hashes: mixed again, they spread evenly
+            bucket = ((mix64(gram[keep]) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             keep = keep[np.argsort(bucket, kind="stable")]
             bounds = np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(bounds)).tolist():
                 some = keep[bounds[b] : bounds[b + 1]]
                 keys, place = np.unique(np.stack([ids[some], copies[some]], 1), axis=0, return_inverse=True)
-                cells = [keys.astype("<i8").tobytes(), place.astype("<u4" if len(keys) > 65535 else "<u2").tobytes(), starts[some].astype("<u4").tobytes() + counts[some].astype(np.uint8).tobytes(), (gram[some] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), content[some].astype("<u8").tobytes()]
+                cells = [keys.astype("<i8").tobytes(), place.astype("<u4" if len(keys) > 65535 else "<u2").tobytes(), starts[some].astype("<u4").tobytes() + counts[some].astype(np.uint8).tobytes(), (mix64(gram[some]) & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), content[some].astype("<u8").tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *(pa.array([c], pa.binary()) for c in cells)], names)
 
         names = ["bucket", "id", "copy", "keys", "place", "where", "gram", "content"]
@@ -147,12 +151,13 @@ def _segment_blobs(docs: DataFrame, length: int, buckets: int) -> DataFrame:
 
 
 def _settle_segments(blobs: DataFrame, length: int) -> DataFrame:
-    """``id, copy, spans, wanted``: spans of whole repeats, and segments whose suffixes must be sorted."""
+    """``id, copy, spans, kind, n``: kind 0, spans of whole repeats; 1, starts of segments whose suffixes
+    must be sorted; 2, the same for grams with very many segments. ``n`` counts starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets: dict[int, list[dict]] = {}
         for batch in batches:
-            yield from _tagged(_passed_on(batch, "bucket"), wanted=False)
+            yield from _tagged(_passed_on(batch, "bucket"), 0)
             for x in batch.filter(pa.array(batch.column("bucket").to_numpy() >= 0)).to_pylist():
                 buckets.setdefault(x["bucket"], []).append(x)
         for same in buckets.values():
@@ -167,15 +172,16 @@ def _settle_segments(blobs: DataFrame, length: int) -> DataFrame:
             again = order[~new]
             first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))[~new]]
             again = again[(ids[again] != ids[first]) | (copies[again] != copies[first]) | (starts[again] != starts[first])]
-            yield from _tagged(_packed_spans(ids[again], copies[again], starts[again], starts[again] + counts[again] + length - 1), wanted=False)
+            yield from _tagged(_packed_spans(ids[again], copies[again], starts[again], starts[again] + counts[again] + length - 1), 0)
             kept = order[new]
             fresh = np.ones(len(kept), bool)
             fresh[1:] = gram[kept][1:] != gram[kept][:-1]
             size = np.diff(np.append(np.flatnonzero(fresh), len(kept)))
-            several = kept[np.repeat(size > 1, size)]
-            yield from _tagged(_packed_spans(ids[several], copies[several], starts[several], starts[several] + counts[several]), wanted=True)
+            for kind, which in ((1, (size > 1) & (size <= HOT_SEGMENTS)), (2, size > HOT_SEGMENTS)):
+                several = kept[np.repeat(which, size)]
+                yield from _tagged(_packed_spans(ids[several], copies[several], starts[several], starts[several] + counts[several]), kind)
 
-    return blobs.mapInArrow(run, f"{_SPANS}, wanted boolean")
+    return blobs.mapInArrow(run, f"{_SPANS}, kind int, n bigint")
 
 
 def _passed_on(batch: pa.RecordBatch, number: str) -> Iterator[pa.RecordBatch]:
@@ -185,31 +191,27 @@ def _passed_on(batch: pa.RecordBatch, number: str) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([some.column("id"), some.column("copy"), some.column("keys")], ["id", "copy", "spans"])
 
 
-def _tagged(batches: Iterator[pa.RecordBatch], wanted: bool) -> Iterator[pa.RecordBatch]:
+def _tagged(batches: Iterator[pa.RecordBatch], kind: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, wanted))], [*b.schema.names, "wanted"])
+        pairs = [np.frombuffer(x, "<u4").reshape(-1, 2).astype(np.int64) for x in b.column("spans").to_pylist()]
+        n = [int((x[:, 1] - x[:, 0]).sum()) for x in pairs]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, kind, np.int32)), pa.array(n, pa.int64())], [*b.schema.names, "kind", "n"])
 
 
-def _suffixes(part: pa.RecordBatch, length: int) -> tuple[np.ndarray, ...]:
-    """Id, copy, start and bytes (one fixed-width string) of the suffixes that a batch's rows want."""
-    out: list[tuple[np.ndarray, ...]] = []
-    for x, copy, text, spans in zip(*(part.column(c).to_pylist() for c in ("id", "copy", "text", "spans")), strict=True):
-        pairs = np.frombuffer(b"".join(spans), "<u4").reshape(-1, 2).astype(np.int64)
-        raw = np.frombuffer(text.encode(), np.uint8)
-        starts = np.unique(np.concatenate([np.arange(a, b) for a, b in pairs.tolist()]))
-        windows = np.lib.stride_tricks.sliding_window_view(raw, length)[starts]
-        out.append((np.full(len(starts), x), np.full(len(starts), copy), starts, np.ascontiguousarray(windows).view(f"S{length}").ravel()))
-    return tuple(map(np.concatenate, zip(*out, strict=True)))
+def front_code(strings: np.ndarray, width: int, sizes: np.ndarray | None = None) -> tuple[np.ndarray, bytes]:
+    """Common prefix of each sorted string with the one before, and all the rests, joined.
 
-
-def front_code(strings: np.ndarray, length: int) -> tuple[np.ndarray, bytes]:
-    """Common prefix of each sorted string with the one before, and all the rests, joined."""
-    grid = np.frombuffer(strings.tobytes(), np.uint8).reshape(-1, length)
-    differs = np.ones((len(grid), length + 1), bool)
-    differs[1:, :length] = grid[1:] != grid[:-1]
-    differs[0, :length] = True
-    shared = differs.argmax(axis=1)
-    return shared, grid[np.arange(length) >= shared[:, None]].tobytes()
+    ``sizes``: bytes of each string that count; the strings are padded with zeros to ``width``.
+    """
+    grid = np.frombuffer(strings.tobytes(), np.uint8).reshape(-1, width)
+    differs = np.ones((len(grid), width + 1), bool)
+    differs[1:, :width] = grid[1:] != grid[:-1]
+    differs[0, :width] = True
+    shared, place = differs.argmax(axis=1), np.arange(width)
+    if sizes is None:
+        return shared, grid[place >= shared[:, None]].tobytes()
+    shared = np.minimum(shared, sizes)
+    return shared, grid[(place >= shared[:, None]) & (place < sizes[:, None])].tobytes()
 
 
 def merge_runs(runs: list[tuple[list[int], bytes]], length: int) -> Iterator[tuple[int, int, bool]]:
@@ -270,78 +272,115 @@ def merge_runs(runs: list[tuple[list[int], bytes]], length: int) -> Iterator[tup
             node >>= 1
 
 
-def _runs(joined: DataFrame, splitters: list[bytes], length: int) -> DataFrame:
-    """Front-coded sorted runs for each range; a suffix that is not first in its run goes out as a span."""
-    cuts = np.array(splitters, f"S{length}")
+def _marked(size: int, ends: np.ndarray, spans: pa.Array) -> np.ndarray:
+    """Which starts of a slice the rows' spans hold."""
+    edge = np.zeros(size + 1, np.int32)
+    for row, held in enumerate(spans.to_pylist()):
+        if held:
+            pairs = np.frombuffer(b"".join(held), "<u4").reshape(-1, 2).astype(np.int64) + ends[row]
+            np.add.at(edge, pairs[:, 0], 1)
+            np.add.at(edge, pairs[:, 1], -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _runs(joined: DataFrame, buckets: int, length: int) -> DataFrame:
+    """``bucket, keys, where, run``: front-coded sorted segments of a task's texts for each bucket."""
+    width = 2 * length - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            ids, copies, starts, strings = map(np.concatenate, zip(*held, strict=True))
-            order = np.lexsort((starts, copies, ids))
-            order = order[np.argsort(strings[order], kind="stable")]
-            ids, copies, starts, strings = ids[order], copies[order], starts[order], strings[order]
-            new = np.ones(len(ids), bool)
-            new[1:] = strings[1:] != strings[:-1]
-            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-            again = ~new & ((ids != ids[first]) | (copies != copies[first]) | (starts != starts[first]))
-            for b in _packed_spans(ids[again], copies[again], starts[again], starts[again] + length):
-                n = b.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, np.int32)), *b.columns, *(pa.nulls(n, pa.binary()) for _ in range(2))], names)
-            ids, copies, starts, strings = ids[new], copies[new], starts[new], strings[new]
-            bounds = np.searchsorted(np.searchsorted(cuts, strings, side="right"), np.arange(len(cuts) + 2))
-            for r in np.flatnonzero(np.diff(bounds)).tolist():
-                some = slice(bounds[r], bounds[r + 1])
-                shared, rest = front_code(strings[some], length)
+            bucket, ids, copies, starts, counts, strings = map(np.concatenate, zip(*held, strict=True))
+            order = np.argsort(strings, kind="stable")
+            order = order[np.argsort(bucket[order], kind="stable")]
+            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(bounds)).tolist():
+                some = order[bounds[b] : bounds[b + 1]]
+                shared, rest = front_code(strings[some], width, counts[some] + length - 1)
                 keys, place = np.unique(np.stack([ids[some], copies[some]], 1), axis=0, return_inverse=True)
-                where = np.stack([place, starts[some]], 1).astype("<u4").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([keys.astype("<i8").tobytes()], pa.binary()), pa.array([where], pa.binary()), pa.array([shared.astype("<u2").tobytes() + rest], pa.binary())], names)
+                where = np.stack([place, starts[some], counts[some], shared], 1).astype("<u4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([c], pa.binary()) for c in (keys.astype("<i8").tobytes(), where, rest))], ["bucket", "keys", "where", "run"])
 
-        names = ["range", "id", "copy", "keys", "where", "run"]
         for part in slices(batches):
-            held.append(_suffixes(part, length))
-            if sum(len(x[0]) for x in held) > GATHER_SUFFIXES:
+            data, ends = text_bytes(part.column("text"))
+            row, first, count, gram, _ = segments(data, ends, length)
+            singly = _marked(len(data), ends, part.column("singly"))[first]
+            keep = _marked(len(data), ends, part.column("spans"))[first]
+            one = np.repeat(first[singly], count[singly]) + (np.arange(count[singly].sum()) - np.repeat(np.cumsum(count[singly]) - count[singly], count[singly]))
+            rows = np.concatenate([row[keep], np.repeat(row[singly], count[singly])])
+            starts, counts = np.concatenate([first[keep], one]), np.concatenate([count[keep], np.ones(len(one), np.int64)])
+            spread = mix64(np.concatenate([gram[keep], span_hashes(data, one, one + length)]))
+            bucket = ((spread >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            padded = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(width, np.uint8)]), width)[starts].copy()
+            padded[np.arange(width) >= (counts + length - 1)[:, None]] = 0
+            held.append((bucket, part.column("id").to_numpy()[rows], part.column("copy").to_numpy()[rows], starts - ends[rows], counts, padded.view(f"S{width}").ravel()))
+            if sum(len(x[0]) for x in held) > GATHER_WANTED:
                 yield from out()
                 held = []
         if held:
             yield from out()
 
-    return joined.mapInArrow(run, "range int, id bigint, copy bigint, keys binary, where binary, run binary")
+    return joined.mapInArrow(run, "bucket int, keys binary, where binary, run binary")
+
+
+def _unfolded(x: dict, length: int) -> tuple[np.ndarray, ...]:
+    """Id, copy, start and bytes of the suffixes of a run of segments, sorted by bytes, then place."""
+    width = 2 * length - GRAM
+    where, keys = np.frombuffer(x["where"], "<u4").reshape(-1, 4).astype(np.int64), np.frombuffer(x["keys"], "<i8").reshape(-1, 2)
+    grid, rest, at, last = np.zeros((len(where), width), np.uint8), np.frombuffer(x["run"], np.uint8), 0, None
+    for k, (size, shared) in enumerate(zip((where[:, 2] + length - 1).tolist(), where[:, 3].tolist(), strict=True)):
+        line = grid[k]
+        if shared:
+            line[:shared] = last[:shared]
+        line[shared:size] = rest[at : at + size - shared]
+        at, last = at + size - shared, line
+    segment, step = np.nonzero(np.arange(width - length + 1) < where[:, 2, None])
+    strings = np.lib.stride_tricks.sliding_window_view(grid, length, axis=1)[segment, step].view(f"S{length}").ravel()
+    ids, copies, starts = keys[where[segment, 0], 0], keys[where[segment, 0], 1], where[segment, 1] + step
+    order = np.lexsort((starts, copies, ids))
+    order = order[np.argsort(strings[order], kind="stable")]
+    return ids[order], copies[order], starts[order], strings[order]
 
 
 def _merged(runs: DataFrame, length: int) -> DataFrame:
-    """Spans of suffixes that equal an earlier one, from the merge of each range's runs."""
+    """Spans of suffixes that equal an earlier one, from the merge of each bucket's runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranges: dict[int, list[dict]] = {}
+        buckets: dict[int, list[dict]] = {}
         for batch in batches:
-            yield from _passed_on(batch, "range")
-            for x in batch.filter(pa.array(batch.column("range").to_numpy() >= 0)).to_pylist():
-                ranges.setdefault(x["range"], []).append(x)
-        for same in ranges.values():
-            where = [np.frombuffer(x["where"], "<u4").reshape(-1, 2) for x in same]
-            keys = [np.frombuffer(x["keys"], "<i8").reshape(-1, 2) for x in same]
-            coded = [(np.frombuffer(x["run"], "<u2", count=len(w)).tolist(), x["run"][2 * len(w) :]) for x, w in zip(same, where, strict=True)]
+            for x in batch.to_pylist():
+                buckets.setdefault(x["bucket"], []).append(x)
+        for same in buckets.values():
+            places, coded = [], []
+            while same:
+                ids, copies, starts, strings = _unfolded(same.pop(), length)
+                new = np.ones(len(ids), bool)
+                new[1:] = strings[1:] != strings[:-1]
+                first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+                again = ~new & ((ids != ids[first]) | (copies != copies[first]) | (starts != starts[first]))
+                yield from _packed_spans(ids[again], copies[again], starts[again], starts[again] + length)
+                places.append(np.stack([ids, copies, starts], 1)[new])
+                shared, rest = front_code(strings[new], length)
+                coded.append((shared.tolist(), rest))
             found: list[tuple[int, int, int]] = []
-            group: list[tuple[int, int, int]] = []
+            group: list[tuple[int, int]] = []
 
-            def close(group: list[tuple[int, int, int]], found: list) -> None:
-                least = min(group)
-                found += [x for x in group if x != least]
+            def close(group: list[tuple[int, int]], found: list, places: list) -> None:
+                all_ = [tuple(places[r][p].tolist()) for r, p in group]
+                least = min(all_)
+                found += [x for x in all_ if x != least]
 
             last = (0, 0)
             for r, p, equal in merge_runs(coded, length):
                 if equal:
-                    if not group:
-                        group.append((*keys[last[0]][where[last[0]][last[1], 0]].tolist(), int(where[last[0]][last[1], 1])))
-                    group.append((*keys[r][where[r][p, 0]].tolist(), int(where[r][p, 1])))
+                    group += [(r, p)] if group else [last, (r, p)]
                 elif group:
-                    close(group, found)
+                    close(group, found, places)
                     group = []
                 last = (r, p)
             if group:
-                close(group, found)
+                close(group, found, places)
             if found:
                 x = np.array(found, np.int64)
                 yield from _packed_spans(x[:, 0], x[:, 1], x[:, 2], x[:, 2] + length)
@@ -364,7 +403,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
     # the texts are bucketed by document once; both joins below find them in place
-    n_buckets = size // BUCKET_BYTES + 1
+    # (fewer buckets than shuffle partitions would be dealt anew)
+    n_buckets = max(size // BUCKET_BYTES + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"suffix_texts_{uuid.uuid4().hex}"
     spread = rows if rows.rdd.getNumPartitions() * n_buckets <= SMALL_FILES else rows.repartition(int(n_buckets), "id", "copy")
     spread.write.bucketBy(int(n_buckets), "id", "copy").option("compression", "zstd").saveAsTable(name)
@@ -377,20 +417,14 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     dealt = blobs.repartitionById(buckets, target)
     settled = written(_settle_segments(dealt, length), "segments")
 
-    wanted = settled.where("wanted").groupBy("id", "copy").agg(F.collect_list("spans").alias("spans"))
-    wanted = written(wanted, "wanted_suffixes")
-    some = wanted.orderBy(F.xxhash64("id", "copy", F.lit(2))).limit(200)
-    sample = texts.join(F.broadcast(some), ["id", "copy"]).select("id", "copy", "text", "spans")
-    total = wanted.agg(F.sum(F.expr("aggregate(spans, 0L, (n, x) -> n + octet_length(x))"))).first()[0] or 0
-    splitters = _splitters(sample, max(1, int(total / 8 * 30 / RANGE_SUFFIXES)), length)
-
+    of_kind = lambda k: F.collect_list(F.when(F.col("kind") == k, F.col("spans")))
+    asked = settled.where("kind > 0")
+    wanted = asked.groupBy("id", "copy").agg(of_kind(1).alias("spans"), of_kind(2).alias("singly"))
     joined = texts.select("id", "copy", "text").join(wanted.hint("shuffle_hash"), ["id", "copy"])
-    runs = _runs(joined, splitters, length)
-    n_ranges = len(splitters) + 1
-    target = F.when(F.col("range") >= 0, F.col("range")).otherwise(F.pmod(F.xxhash64("id"), F.lit(n_ranges)).cast("int"))
-    merged = written(_merged(runs.repartitionById(n_ranges, target), length), "suffixes")
+    buckets = int((asked.agg(F.sum("n")).first()[0] or 0) // BUCKET_SUFFIXES) + 2
+    merged = written(_merged(_runs(joined, buckets, length).repartitionById(buckets, F.col("bucket")), length), "suffixes")
 
-    spans = settled.where("not wanted").select("id", "copy", "spans").union(merged).groupBy("id", "copy").agg(F.collect_list("spans").alias("spans"))
+    spans = settled.where("kind = 0").select("id", "copy", "spans").union(merged).groupBy("id", "copy").agg(F.collect_list("spans").alias("spans"))
     cut = texts.join(spans, ["id", "copy"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,18 +446,5 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     return cut.mapInArrow(run, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary").withColumnRenamed("id", id_col)
 
 
-def _splitters(sample: DataFrame, ranges: int, length: int) -> list[bytes]:
-    """Bounds of about equal ranges of the suffix order, from the suffixes of a few hundred documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            ids, _, starts, strings = _suffixes(part, length)
-            order = np.argsort(mix64((ids * 1_000_003 + starts).astype(np.uint64)), kind="stable")[:500]
-            yield pa.RecordBatch.from_arrays([pa.array([strings[k : k + 1].tobytes() for k in order], pa.binary())], ["suffix"])
-
-    found = sorted(r.suffix for r in sample.mapInArrow(run, "suffix binary").limit(SAMPLE_SUFFIXES).collect())
-    return sorted({bytes(found[k * len(found) // ranges]) for k in range(1, ranges)}) if found else []
-
-
 def suffix_digest(deduped: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return deduped.select(id_col, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -55,11 +55,15 @@ def log_likelihood(pred: DataFrame, by: list[str], eps: float = 1e-15) -> DataFr
 
 
 def best_threshold(pred: DataFrame, by: list[str]) -> DataFrame:
-    """Score from which on to say positive for the best balanced accuracy; the highest of several."""
+    """Score from which on to say positive for the best balanced accuracy; the highest of several.
+
+    With one class there is no balanced accuracy, and the highest score is returned.
+    """
     y = F.col("y") == 1
     counts = pred.groupBy(*by, "score").agg(F.sum(y.cast("double")).alias("p"), F.sum((~y).cast("double")).alias("q"))
     down, all_ = Window.partitionBy(*by).orderBy(F.col("score").desc()), Window.partitionBy(*by)
-    value = (F.sum("p").over(down) / F.sum("p").over(all_) + 1 - F.sum("q").over(down) / F.sum("q").over(all_)) / 2
+    share = lambda c: F.try_divide(F.sum(c).over(down), F.sum(c).over(all_))
+    value = (share("p") + 1 - share("q")) / 2
     scored = counts.withColumn("balanced_acc", F.round(value, 9))
     return scored.groupBy(*by).agg(F.max_by("score", F.struct("balanced_acc", "score")).alias("threshold"), F.max("balanced_acc").alias("balanced_acc"))
 

@@ -633,8 +633,9 @@ def _(s, d):
 
 
 @query("auc_rank", "i:split r:auc", """
-SELECT split, (sum(CASE WHEN y = 1 THEN r END) - p * (p + 1) / 2) / (p * (n - p)) AS auc FROM (
-  SELECT split, y, rank() OVER (PARTITION BY split ORDER BY score) + (count(*) OVER (PARTITION BY split, score) - 1) / 2.0 AS r, CAST(sum(y) OVER (PARTITION BY split) AS DOUBLE) AS p, count(*) OVER (PARTITION BY split) AS n FROM pred) GROUP BY split, p, n""")
+SELECT split, CASE WHEN p = 0 OR p = n THEN (CASE WHEN p = 0 THEN 1 ELSE sum(CAST(y = 1 AND pred = 1 AS INT)) / p END + CASE WHEN p = n THEN 1 ELSE sum(CAST(y = 0 AND pred = 0 AS INT)) / (n - p) END) / 2
+  ELSE (sum(CASE WHEN y = 1 THEN r END) - p * (p + 1) / 2) / (p * (n - p)) END AS auc FROM (
+  SELECT split, y, pred, rank() OVER (PARTITION BY split ORDER BY score) + (count(*) OVER (PARTITION BY split, score) - 1) / 2.0 AS r, CAST(sum(y) OVER (PARTITION BY split) AS DOUBLE) AS p, count(*) OVER (PARTITION BY split) AS n FROM pred) GROUP BY split, p, n""")
 def _(s, d):
     return metrics.auc(views.predictions(s, d), ["split"])
 

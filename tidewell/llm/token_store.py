@@ -10,6 +10,7 @@ Blocks are numbered in ascending document order by (shard, block).
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -23,14 +24,17 @@ from tidewell.llm._text import slices
 
 #: Ids in a block at most, if a single document has no more.
 BLOCK_IDS = 1 << 21
-#: Chunks between blanks in a worker's cache at most; then it starts afresh.
+#: Chunks between blanks in a worker's cache; beyond, it keeps only the short ones, which come again most.
 CACHE_CHUNKS = 500_000
+KEPT_BYTES = 9
+#: Bytes of text whose chunks are made distinct together.
+ENCODE_BYTES = 4 << 20
 SAMPLE = 64
 
 BLOCKS = "shard int, block int, base bigint, n_docs int, n_tokens bigint, width int, doc_ids array<bigint>, ids binary, low_bits int, low binary, high binary, samples binary"
 
 _POPULATION = np.array([bin(b).count("1") for b in range(256)], np.int64)
-_LOADED: dict[str, tuple[Tokenizer, dict[str, bytes]]] = {}
+_LOADED: dict[tuple[str, int], ChunkEncoder] = {}
 
 
 class Boundaries:
@@ -69,12 +73,59 @@ class Boundaries:
         return ((one - k) << self.low_bits) | ((window >> (first & 7)) & ((1 << self.low_bits) - 1))
 
 
-def _encoder(path: str) -> tuple[Tokenizer, dict[str, bytes]]:
-    if path not in _LOADED:
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _LOADED[path] = tokenizer, {}
-    return _LOADED[path]
+class ChunkEncoder:
+    """Ids of chunks between blanks, for a tokenizer that drops white space and has word ends.
+
+    Words of letters alone are pre-tokens of their own, so new ones are encoded as one text and cut at
+    the tokens that end a word. A chunk of such a word and full stops or commas is put together from
+    both. All other chunks are encoded each by itself. ASCII letters are lower-cased up front.
+    """
+
+    def __init__(self, path: str, width: int):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.width, self.kind = width, {2: "<u2", 4: "<u4"}[width]
+        self.cache: dict[bytes, bytes] = {b"": b""}
+        model = json.loads(self.tokenizer.to_str())["model"]
+        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self.ends[[i for t, i in model["vocab"].items() if t.endswith(model["end_of_word_suffix"])]] = True
+
+    def _words(self, words: list[bytes]) -> None:
+        for k in range(0, len(words), 4096):
+            part = words[k : k + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, self.kind)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part):  # each word ends at least once: some letter became more than a letter
+                self._others(part)
+                continue
+            flat, stops = ids.tobytes(), (self.width * stops).tolist()
+            self.cache.update(zip(part, [flat[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
+
+    def _others(self, chunks: list[bytes]) -> None:
+        for chunk, found in zip(chunks, self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False), strict=True):
+            self.cache[chunk] = np.array(found.ids, self.kind).tobytes()
+
+    def learn(self, chunks: set[bytes]) -> None:
+        stems = {c: c.rstrip(b".,") for c in chunks}
+        plain = {c: x for c, x in stems.items() if x.isalpha() or (x and x.decode().isalpha())}
+        known = self.cache.keys()
+        self._words(list(set(plain.values()) - known))
+        joint = {c: x for c, x in plain.items() if len(x) < len(c)}
+        self._others(list((chunks - plain.keys()) | ({c[len(x) :] for c, x in joint.items()} - known)))
+        cache = self.cache
+        cache.update({c: cache[x] + cache[c[len(x) :]] for c, x in joint.items()})
+
+    def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
+        chunks = [t.encode().lower().replace(b"\n", b" ").split(b" ") if t else [] for t in texts]
+        if len(self.cache) > CACHE_CHUNKS:
+            short = {c: ids for c, ids in self.cache.items() if len(c) <= KEPT_BYTES}
+            self.cache = short if len(short) < CACHE_CHUNKS // 2 else {b"": b""}
+        new = set().union(*chunks) - self.cache.keys()
+        self.learn(new)
+        ids = [b"".join([*map(self.cache.__getitem__, x), end]) for x in chunks]
+        for chunk in [x for x in new if len(x) > 64]:  # long chunks hardly come again
+            del self.cache[chunk]
+        return ids
 
 
 def shard_bounds(docs: DataFrame, shards: int, id_col: str = "doc_id") -> list[float]:
@@ -89,21 +140,13 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int, bounds: list[f
     For tokenizers that drop white space before their merges: the library encodes each distinct chunk
     between blanks or line ends once, and the chunks' ids are joined. A null text counts as empty.
     """
-    kind = {2: "<u2", 4: "<u4"}[width]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, cache = _encoder(tokenizer_path)
-        end = np.array([end_id], kind).tobytes()
-        for part in slices(batches):
-            chunks = [t.replace("\n", " ").split(" ") if t else [] for t in part.column("text").to_pylist()]
-            if len(cache) > CACHE_CHUNKS:
-                cache.clear()
-            new = list(set().union(*chunks) - cache.keys())
-            for chunk, found in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                cache[chunk] = np.array(found.ids, kind).tobytes()
-            ids = [b"".join([*map(cache.__getitem__, x), end]) for x in chunks]
-            for chunk in [x for x in new if len(x) > 64]:
-                del cache[chunk]
+        if (tokenizer_path, width) not in _LOADED:
+            _LOADED[tokenizer_path, width] = ChunkEncoder(tokenizer_path, width)
+        encoder = _LOADED[tokenizer_path, width]
+        end = np.array([end_id], encoder.kind).tobytes()
+        for part in slices(batches, limit=ENCODE_BYTES):
+            ids = encoder.encode(part.column("text").to_pylist(), end)
             shard = np.searchsorted(cuts, part.column("id").fill_null(-(1 << 63)).to_numpy(zero_copy_only=False).astype(float), side="right")
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(shard, pa.int32()), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "shard", "n_tokens", "ids"])
 

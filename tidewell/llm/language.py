@@ -23,7 +23,7 @@ _LETTER = regex.compile(r"\p{L}")
 _LOWER = np.arange(256, dtype=np.int32)
 _LOWER[65:91] += 32
 #: Cells of a presence table at most.
-TABLE_CELLS = 1 << 24
+TABLE_CELLS = 1 << 22
 UNKNOWN = "und"
 #: Times the sample's size that is ranked for it.
 ROOM = 20
@@ -64,7 +64,7 @@ def _index(alphabet: np.ndarray) -> np.ndarray:
     key = hash(alphabet.tobytes())
     if key not in _INDEX:
         _INDEX.clear()
-        table = np.full(256 + 65536 + (1 << 24), -1, np.int32)
+        table = np.full(256 + 65536 + (1 << 24), -1, np.int16 if len(alphabet) < 1 << 15 else np.int32)
         table[alphabet] = np.arange(len(alphabet))
         _INDEX[key] = table
     return _INDEX[key]

@@ -291,6 +291,14 @@ def test_language_by_held_out_accuracy(spark, nothing):
     assert language.predict(nothing, model, keep=["doc_id"]).count() == 0
 
 
+def test_language_sample_counts_texts_not_copies(spark, monkeypatch):
+    copies = spark.range(200_000).select(F.lit("aa").alias("lang"), F.concat(F.lit("copied text "), (F.col("id") % 40).cast("string")).alias("text"))
+    docs = copies.union(spark.createDataFrame([("bb", "only one text")], "lang string, text string")).withColumn("doc_id", F.lit(1))
+    monkeypatch.setattr(language, "fit", lambda sample, **_: Counter(lang for lang, _ in set(sample)))
+    assert language.learn(docs, F.lit(True), per_language=4) == {"aa": 4, "bb": 1}
+    assert language.learn(docs, F.lit(True), per_language=50) == {"aa": 40, "bb": 1}
+
+
 # --- 4
 
 

@@ -164,8 +164,9 @@ def learn(docs: DataFrame, keep: Column, per_language: int = 250, id_col: str =
     on the sample is a bound on what the driver sees.
     """
     rows = docs.where(keep & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    # hashes are even, so a share of their range bounds what is ranked, with room for repeated texts
-    shares = {r.lang: min(1.0, ROOM * per_language / r.n) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # hashes are even, so a share of their range bounds what is ranked; it is a share of the different
+    # texts, as copies add no hashes
+    shares = {r.lang: min(1.0, ROOM * per_language / r.n) for r in rows.groupBy("lang").agg(F.count_distinct("key").alias("n")).collect()}
     if not shares:
         return fit([], **options)
     top = F.create_map(*(F.lit(x) for lang, share in shares.items() for x in (lang, int(min(share * 2.0**64 - 2.0**63, 2.0**63 - 1024)))))

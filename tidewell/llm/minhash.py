@@ -1,8 +1,9 @@
 """Near-duplicates by ProbMinHash, banding and verification.
 
-A text's shingles (five words) weigh 1 + ln(count). Each shingle is a Poisson process whose rate is its
-weight; an arrival falls on a random register, and a register keeps the shingle that came first. Two
-texts' registers agree with probability equal to the probability Jaccard similarity of their weights.
+Each distinct shingle (five words) of a text is a Poisson process of rate 1; an arrival falls on a random
+register, and a register keeps the shingle that came first. Two texts' registers agree with probability
+equal to the probability Jaccard similarity of their weights, which for equal weights is the Jaccard
+similarity of the sets, on which links are defined.
 Arrivals are drawn in order of time, and a shingle stops as soon as its time is past the latest first
 arrival of the text's registers, so a text of n shingles costs about n + m ln m draws.
 """
@@ -22,8 +23,6 @@ from tidewell.llm.components import components
 
 REGISTERS, BANDS, ROWS = 160, 25, 5
 WORDS = 5
-#: Below the threshold by this much an estimate rules a pair out: 2.5 deviations at 0.8 with 160 registers.
-SLACK = 0.08
 
 
 def weighted_shingles(column: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +72,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, copy, node, n, bands array<long>, sketch binary`` of each row.
+    """``id, copy, node, n, bands array<long>`` of each row.
 
     ``node`` is a hash of the weighted shingles: rows with the same are copies. ``copy`` is a hash of
     the text. ``node`` and ``bands`` are null for a null or empty text.
@@ -83,21 +82,20 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for part in slices(batches):
             n = part.num_rows
             rows, hashes, counts = weighted_shingles(part.column("text"))
-            held = prob_minhash(rows, hashes, 1 + np.log(counts), n)
+            held = prob_minhash(rows, hashes, np.ones(len(rows)), n)
             node = np.zeros(n, np.uint64)
             np.add.at(node, rows, mix64(hashes ^ (counts.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))))
             size = np.bincount(rows, minlength=n)
             key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (n, BANDS)).copy()
             for r in range(ROWS):
                 key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + held[:, r * BANDS : (r + 1) * BANDS])
-            sketch = (mix64(held) & np.uint64(255)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), part.column("copy"), pa.array(mix64(node).view(np.int64), mask=size == 0), pa.array(size), pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * n + 1, BANDS, dtype=np.int32)), _signed(key.ravel())), pa.array([s.tobytes() for s in sketch], pa.binary())],
-                ["id", "copy", "node", "n", "bands", "sketch"],
+                [part.column("id"), part.column("copy"), pa.array(mix64(node).view(np.int64), mask=size == 0), pa.array(size), pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * n + 1, BANDS, dtype=np.int32)), _signed(key.ravel()))],
+                ["id", "copy", "node", "n", "bands"],
             )
 
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("copy"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "id bigint, copy bigint, node bigint, n bigint, bands array<bigint>, sketch binary")
+    return source.mapInArrow(run, "id bigint, copy bigint, node bigint, n bigint, bands array<bigint>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -133,35 +131,47 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 1024
+#: Members of a bucket, and shingles of theirs, that one task compares with as many others.
+BLOCK, BLOCK_SHINGLES = 1024, 500_000
 
 
 def _across(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of a bucket in different components whose sketches do not rule them out: ``a, b``.
+    """Links ``a, b`` between members of a bucket that are in different components.
 
-    ``members``: key, node, component, bands, sketch. A bucket is dealt out as pairs of blocks of about
-    BLOCK members; a pair of members is looked at only in the first band that they share.
+    ``members``: key, node, component, bands, set. A bucket is dealt out as pairs of blocks of about
+    BLOCK members; a pair of members is looked at only in the first band that they share. Each is
+    verified in place on the whole sets: only set sizes rule a pair out.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("set")) / (4 * BLOCK_SHINGLES))).cast("int")
+    sizes = members.groupBy("key").agg(blocks.alias("blocks"))
     dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "bands", "sketch")
+    dealt = dealt.withColumn("other", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "bands", "set")
 
     def run(group: pa.Table) -> pa.Table:
         node, component, block = (group.column(c).to_numpy() for c in ("node", "component", "block"))
         bands = np.array(group.column("bands").to_pylist(), np.int64)
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+        sets = group.column("set").to_pylist()
+        size = np.array([len(x) // 4 for x in sets])
+        starts = np.cumsum(size) - size
+        shingle, place = np.unique(np.frombuffer(b"".join(sets), "<u4"), return_inverse=True)
+        place, held = place.astype(np.int32), np.zeros(len(shingle), bool)
         key, i, j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
         band = int(np.flatnonzero(bands[0] == key)[0])
         found = [np.zeros((0, 2), np.int64)]
         for x in range(len(node)):
-            y = np.flatnonzero((component != component[x]) & (node > node[x]) & ((i == j) | (block != block[x])))
+            y = np.flatnonzero((component != component[x]) & (node > node[x]) & ((i == j) | (block != block[x])) & (np.minimum(size, size[x]) >= threshold * np.maximum(size, size[x])))
+            y = y[~(bands[y][:, :band] == bands[x][:band]).any(1)]
             if not len(y):
                 continue
-            agree = (sketch[y] == sketch[x]).mean(1)
-            y = y[(agree - 1 / 256) / (1 - 1 / 256) >= threshold - SLACK]
-            y = y[~(bands[y][:, :band] == bands[x][:band]).any(1)]
+            own = place[starts[x] : starts[x] + size[x]]
+            held[own] = True
+            n = size[y]
+            first = np.cumsum(n) - n
+            at = np.arange(n.sum()) + np.repeat(starts[y] - first, n)
+            common = np.add.reduceat(held[place[at]].astype(np.int64), first)
+            held[own] = False
+            y = y[common >= threshold * (n + size[x] - common)]
             found.append(np.stack([np.full(len(y), node[x]), node[y]], 1))
         found = np.concatenate(found)
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
@@ -180,10 +190,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
 
     Copies are joined by their hash before anything else. In each bucket of a band all members are
     compared with the one that shares most buckets; only members that stay unconnected are compared with
-    the others of the bucket, in blocks, by sketch. Candidates are verified on whole shingle sets.
+    the others of the bucket, in blocks. All candidates are verified on whole shingle sets.
     """
     rows = written(sketches(docs, id_col, text_col), "sketches")
-    nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "nodes")
     keys = nodes.select("node", F.explode("bands").alias("key"))
     full = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = written(keys.join(full, "key"), "members")
@@ -203,8 +213,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     first = written(members.select("node").distinct().join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "first")
     placed = members.select("key", "node").join(first, "node")
     split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    apart = placed.join(split, "key").join(nodes.select("node", "bands", "sketch"), "node")
-    more = _verify(_across(apart, threshold), sets, threshold)
+    apart = placed.join(split, "key").join(nodes.select("node", "bands"), "node").join(sets, "node")
+    more = _across(apart, threshold)
     found = written(components(links.union(more)), "classes")
 
     named = rows.select("id", "copy", "node").join(found, "node", "left").withColumn("class", F.coalesce("component", "node"))

@@ -1,6 +1,6 @@
 """Stages from raw documents to token ids; each is written as Parquet and read again.
 
-Language ID drops texts without a known language, line dedup takes repeated line runs out of the texts,
+Language ID drops texts without a known language (no letter, or too few of the language's letter trigrams), line dedup takes repeated line runs out of the texts,
 MinHash keeps one document of each group of near-duplicates, decontamination drops documents that hold a
 benchmark item, and byte-level BPE encodes what is left.
 """
@@ -18,14 +18,11 @@ from tidewell.llm.decontaminate import contamination
 from tidewell.llm.line_dedup import line_dedup
 from tidewell.llm.minhash import near_duplicates
 
-#: A language score below this rejects a document.
-LEAST_SCORE = 0.15
-
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.learn(docs, ~language.held_out())
-    marked = language.predict(docs, model, keep=docs.columns)
-    return marked.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    marked = language.predict(docs, model, keep=docs.columns, reject=True)
+    return marked.where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

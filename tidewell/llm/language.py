@@ -27,6 +27,10 @@ TABLE_CELLS = 1 << 22
 UNKNOWN = "und"
 #: Times the sample's size that is ranked for it.
 ROOM = 20
+#: A text is foreign below this part of the share of known trigrams that FLOOR_QUANTILE of training texts stay under.
+FLOOR_PART, FLOOR_QUANTILE = 2 / 3, 0.01
+_LETTER_BYTE = np.zeros(256, bool)
+_LETTER_BYTE[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def _codes(data: np.ndarray, n: int) -> np.ndarray:
@@ -41,12 +45,16 @@ def _codes(data: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """``alphabet``: sorted n-gram codes; ``weights``: n-grams by languages; ``bias``: one a language."""
+    """``alphabet``: sorted n-gram codes; ``weights``: n-grams by languages; ``bias`` and ``floors``: one a language.
+
+    ``floors`` is the least :meth:`familiarity` of a text in each language.
+    """
 
     languages: list[str]
     alphabet: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
+    floors: np.ndarray
 
     def presence(self, column: pa.Array) -> np.ndarray:
         return _presence(column, _index(self.alphabet), len(self.alphabet))
@@ -55,6 +63,9 @@ class LanguageModel:
         held = self.presence(column)
         return held @ self.weights / np.sqrt(np.maximum(held.sum(1, keepdims=True), 1)) + self.bias
 
+    def familiarity(self, column: pa.Array) -> np.ndarray:
+        return _familiarity(column, _index(self.alphabet))
+
 
 _INDEX: dict[int, np.ndarray] = {}
 
@@ -83,14 +94,31 @@ def _presence(column: pa.Array, index: np.ndarray, width: int) -> np.ndarray:
     return held
 
 
+def _familiarity(column: pa.Array, index: np.ndarray, counted: np.ndarray | None = None) -> np.ndarray:
+    """Share of each text's trigrams of letters that are in the alphabet, 1 in a text without any.
+
+    ``counted``: the places of the alphabet that count, all if None.
+    """
+    data, ends = text_bytes(column)
+    if len(data) < 3:
+        return np.ones(len(column))
+    row, letter = np.repeat(np.arange(len(column)), np.diff(ends)), _LETTER_BYTE[data]
+    inside = np.flatnonzero(letter[:-2] & letter[1:-1] & letter[2:] & (row[:-2] == row[2:]))
+    place = index[_codes(data, 3)[inside]]
+    known = place >= 0 if counted is None else (place >= 0) & counted[place]
+    size = np.bincount(row[inside], minlength=len(column))
+    return np.where(size > 0, np.bincount(row[inside], known, len(column)) / np.maximum(size, 1), 1.0)
+
+
 def fit(sample: list[tuple[str, str]], landmarks_per_language: int = 40, max_grams: int = 12_000, ridge: float = 1e-2) -> LanguageModel:
     """Fits on (language, text) pairs in the order given; the first of each language are the landmarks.
 
-    The alphabet is the ``max_grams`` n-grams that most landmarks hold (ties: lower code).
+    The alphabet is the ``max_grams`` n-grams that most landmarks hold (ties: lower code). A language's
+    floor is taken from its own texts; what a landmark alone brought in does not count for it.
     """
     languages = sorted({lang for lang, _ in sample})
     if not languages:
-        return LanguageModel([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
+        return LanguageModel([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0, np.float32), np.zeros(0))
     marks = [t for lang in languages for t in [x for y, x in sample if y == lang][:landmarks_per_language]]
     grams = []
     for text in marks:
@@ -98,7 +126,12 @@ def fit(sample: list[tuple[str, str]], landmarks_per_language: int = 40, max_gra
         grams.append(np.unique(np.concatenate([_codes(data, n) for n in (1, 2, 3) if len(data) >= n] or [np.zeros(0, np.int32)])))
     codes, counts = np.unique(np.concatenate(grams), return_counts=True)
     alphabet = np.sort(codes[np.argsort(-counts, kind="stable")[:max_grams]]).astype(np.int64)
-    index = _index(alphabet)
+    index, shared = _index(alphabet), counts[np.searchsorted(codes, alphabet)] > 1
+    floors = np.zeros(len(languages))
+    for k, lang in enumerate(languages):
+        own = [x for y, x in sample if y == lang]
+        share = [_familiarity(pa.array(own[a:b], pa.string()), index, counted) for a, b, counted in ((0, landmarks_per_language, shared), (landmarks_per_language, len(own), None))]
+        floors[k] = FLOOR_PART * np.quantile(np.concatenate(share), FLOOR_QUANTILE)
 
     def unit(texts: list[str]) -> np.ndarray:
         held = _presence(pa.array(texts, pa.string()), index, len(alphabet)).astype(np.float64)
@@ -115,15 +148,16 @@ def fit(sample: list[tuple[str, str]], landmarks_per_language: int = 40, max_gra
     centre, middle = (features * share).sum(0) / share.sum(), (target * share).sum(0) / share.sum()
     f, t = (features - centre) * np.sqrt(share), (target - middle) * np.sqrt(share)
     solved = np.linalg.solve(f.T @ f + ridge * np.eye(f.shape[1]), f.T @ t)
-    return LanguageModel(languages, alphabet, (base.T @ (root @ solved)).astype(np.float32), (middle - centre @ solved).astype(np.float32))
+    return LanguageModel(languages, alphabet, (base.T @ (root @ solved)).astype(np.float32), (middle - centre @ solved).astype(np.float32), floors)
 
 
-def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text", reject: bool = False) -> DataFrame:
     """The columns of ``keep`` with ``lang_pred`` and ``score`` for every row; no shuffle.
 
     ``lang_pred`` is ``und`` with score 0 if the text is null or has no letter, or if nothing was
     learned. ``score`` is the winner's regression output mapped from [-1, 1] to [0, 1]. Ties go to the
-    first language in order. Columns of ``keep`` with these two names are replaced.
+    first language in order. With ``reject``, a text whose familiarity is below its language's floor, as
+    in other scripts, other languages or gibberish, is ``und`` as well. Columns of ``keep`` with these two names are replaced.
     """
     keep = [c for c in keep if c not in ("lang_pred", "score")]
     spark = docs.sparkSession
@@ -144,6 +178,10 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: st
                     got = model.scores(texts)
                     best[known] = got.argmax(1)[known]
                     score[known] = np.clip((got.max(1)[known] + 1) / 2, 0, 1)
+                    if reject:
+                        foreign = known.copy()
+                        foreign[known] = model.familiarity(texts)[known] < model.floors[best[known]]
+                        best[foreign], score[foreign] = len(names) - 1, 0
                 out = [some.column(f.name) for f in fields]
                 yield pa.RecordBatch.from_arrays([*out, pa.array(names[best], pa.string()), pa.array(score, pa.float64())], [*(f.name for f in fields), "lang_pred", "score"])
 

@@ -267,15 +267,6 @@ def test_scores_and_base(spark, docs, nothing):
     assert interpolation.lm_scores(nothing, train).count() == 0
 
 
-def test_expectation_maximisation_finds_the_mixture():
-    r = np.random.default_rng(1)
-    source = r.choice(3, 4000, p=[0.1, 0.3, 0.6])
-    parts = np.full((4000, 3), 1e-3)
-    parts[np.arange(4000), source] = 1.0
-    weights = interpolation.expectation_maximisation(np.full(4000, 5), parts)
-    assert np.abs(weights[5] - [0.1, 0.3, 0.6]).max() < 0.03 and np.allclose(weights.sum(1), 1)
-
-
 # --- 9
 
 

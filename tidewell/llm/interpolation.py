@@ -1,121 +1,290 @@
 """Language-model scores by deleted interpolation.
 
-The model mixes a uniform, a unigram and a bigram maximum-likelihood estimate. Histories are equivalence
-classes of the previous word (a hash, CLASS_BITS bits), so their counts fit a fixed table. The mixture
-weights depend on a bucket of the history's count, its binary logarithm, and are learned by expectation
-maximisation on held-out documents whose own counts are taken out of all the others'.
-
-Tokens travel once: a slice of documents is packed into blobs of word, history and document, a blob for
-each bucket of words. A bucket has all occurrences of its words, so it counts them and scores them in
-place; words frequent enough to be hot are few, their counts are broadcast and their occurrences are
-dealt out by history as well.
+The model mixes maximum-likelihood estimates of words, pairs and triples (a word after none, one or two
+words of history) with a uniform one:
+
+    p1(w)     = l1 * c(w) / N                 + (1 - l1) / (V + 1)
+    p2(w|v)   = l2[c(v)] * c(v w) / c(v)      + (1 - l2) * p1(w)
+    p3(w|u v) = l3[c(u v)] * c(u v w) / c(u v) + (1 - l3) * p2(w|v)
+
+A weight depends on the bucket of its history's count, the binary logarithm. The weights are learned by
+expectation maximisation on the tokens of a tenth of the training documents, with the counts of the other
+nine tenths; scores then use the counts of all training documents.
+
+Tokens are counted by requests and replies. A slice is some documents whose tokens one task can hold. It
+sends each bucket of n-gram hashes the ones it holds, distinct and with its own counts; a bucket adds up
+and sends every slice the totals of its n-grams, in the order asked. A frequent n-gram costs its bucket
+one entry a slice, however often it occurs. Slices and replies are bucketed tables, so that they meet in
+place, first for the held-out tokens, then for the scores.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._shared import written
+from tidewell.llm._shared import drop, written
 from tidewell.llm._text import _LOWER, mix64, slices, span_hashes, text_bytes, word_spans
 
-CLASS_BITS = 18
-#: Words with more than this share of all tokens are hot: at most 2 ** 18 words.
-HOT = 2.0**-18
-#: Documents whose tokens the mixture weights are learned on, at most, out of a tenth of all.
-HELD_DOCS = 1000
-#: Tokens of a bucket and of a packed slice, about.
-BUCKET_TOKENS, SLICE_TOKENS = 2_500_000, 1_500_000
-#: Rows of a counts batch at most.
-BATCH_ROWS = 65_536
-LOG_BUCKETS = 48
+#: Tokens of a slice, about; one document with more is a slice of its own.
+SLICE_TOKENS = 3_000_000
+#: Requests of a bucket, about, and requests a token that are reckoned with.
+BUCKET_REQUESTS, REQUESTS_A_TOKEN = 2_500_000, 1.6
+#: Bits of an n-gram hash that travel.
+KEY_BITS = 56
+#: One of so many training documents is held out for the weights.
+HELD_PART = 10
+#: Histories by the binary logarithm of their count; ratios of two estimates by steps of 2 ** (1 / RATIO_STEPS).
+COUNT_BUCKETS, RATIO_STEPS, RATIO_RANGE = 64, 16, 64
+RATIO_BINS = 2 * RATIO_STEPS * RATIO_RANGE + 2
+MOST_WEIGHT = 0.9999
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, word and history class of each token; a row ends with an end token."""
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each token, and the tokens of each row; a row ends with an end token."""
     data, ends = text_bytes(column)
     starts, stops, rows = word_spans(data, ends, _BLANK)
-    n, count = len(column), np.bincount(rows, minlength=len(column))
-    last = np.cumsum(count + 1) - 1
-    word = np.empty(len(rows) + n, np.uint64)
+    size = np.bincount(rows, minlength=len(column)) + 1
+    word = np.full(len(rows) + len(column), _END, np.uint64)
     inner = np.ones(len(word), bool)
-    inner[last] = False
-    word[inner], word[last] = span_hashes(_LOWER[data], starts, stops), _END
-    before = np.empty_like(word)
-    before[1:], before[last - count] = word[:-1], _START
-    return np.repeat(np.arange(n), count + 1), word, history(before)
+    inner[np.cumsum(size) - 1] = False
+    word[inner] = span_hashes(_LOWER[data], starts, stops)
+    return word, size
 
 
-def history(before: np.ndarray) -> np.ndarray:
-    return (before >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
+# --- packed numbers: planes of bytes, so that what is small or alike compresses
 
 
-def _pair(word: np.ndarray, klass: np.ndarray) -> np.ndarray:
-    return mix64(word ^ mix64(klass.astype(np.uint64) + np.uint64(1)))
+def _packed(*columns: tuple[np.ndarray, int]) -> bytes:
+    """Columns of unsigned numbers as byte planes, the low ``width`` bytes of each."""
+    planes = [np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes() for x, width in columns]
+    return pa.compress(b"".join(planes), codec="zstd", asbytes=True)
 
 
-def _source(docs: DataFrame, train: Column, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("doc"), train.alias("train"), text.alias("text"))
+def _unpacked(raw: bytes, *columns: tuple[int, int]) -> list[np.ndarray]:
+    """The columns, each of a length and a width, of :func:`_packed`."""
+    data = np.frombuffer(pa.decompress(raw, sum(n * width for n, width in columns), codec="zstd"), np.uint8)
+    out, at = [], 0
+    for n, width in columns:
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = data[at : at + n * width].reshape(width, n).T
+        out.append(wide.view("<u8").ravel())
+        at += n * width
+    return out
 
 
-def _counts(source: DataFrame, pairs: np.ndarray, without: list[int]) -> DataFrame:
-    """``kind, key, n``: kind 0, training words; kind 1, those of ``pairs`` outside the documents ``without``."""
-    shared = source.sparkSession.sparkContext.broadcast((pairs, without))  # HELD_DOCS documents' pairs
+# --- slices
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, without = shared.value
-        held: list[np.ndarray] = []
-        found = np.zeros(len(pairs), np.int64)
 
-        def out(kind: int, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for k in range(0, len(key), BATCH_ROWS):
-                some = key[k : k + BATCH_ROWS]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int32)), pa.array(some.view(np.int64)), pa.array(n[k : k + BATCH_ROWS].astype(np.int64))], ["kind", "key", "n"])
+def _slices(docs: DataFrame, train: Column, id_col: str, text_col: str, slice_tokens: int) -> DataFrame:
+    """``slice, n_docs, n_tokens, n_words, train_docs, train_tokens, held_docs, held_tokens, ids, rows, words, local``.
+
+    ``rows``: tokens and marks (1 training, 2 held out) of each document; ``words``: the distinct hashes,
+    most frequent first; ``local``: each token's place in them.
+    """
+    id_type = docs.schema[id_col].dataType.simpleString()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    train = F.coalesce(train, F.lit(False))
+    held = train & (F.pmod(F.xxhash64(F.col(id_col), text), F.lit(HELD_PART)) == 0)
+    mark = train.cast("int") + 2 * held.cast("int")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+
+        def out(number: int) -> pa.RecordBatch:
+            ids, marks, word, size = ([x[k] for x in held_back] for k in range(4))
+            ids, marks, word, size = pa.concat_arrays(ids), np.concatenate(marks), np.concatenate(word), np.concatenate(size)
+            words, local, often = np.unique(word, return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            totals = [x for bit in (1, 2) for x in ((marks & bit > 0).sum(), size[marks & bit > 0].sum())]
+            numbers = [first + number, len(marks), len(word), len(words), *totals]
+            cells = [_packed((size, 4), (marks, 1)), _packed((words[order], 8)), _packed((place[local], 4))]
+            columns = [pa.array([int(x)], pa.int64()) for x in numbers] + [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)] + [pa.array([c], pa.binary()) for c in cells]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        held_back: list[tuple] = []
+        total = number = 0
         for part in slices(batches):
-            rows, word, klass = tokens(part.column("text"))
-            held.append(word)
-            if len(pairs):
-                other = ~np.isin(part.column("doc").to_numpy(), without)
-                key = _pair(word, klass)[other[rows]]
-                place = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-                found += np.bincount(place[pairs[place] == key], minlength=len(pairs))
-            if sum(map(len, held)) > SLICE_TOKENS:
-                yield from out(0, *np.unique(np.concatenate(held), return_counts=True))
-                held = []
+            word, size = tokens(part.column("text"))
+            if held_back and total + len(word) > slice_tokens:
+                yield out(number)
+                held_back, total, number = [], 0, number + 1
+            # copies: the columns themselves would keep the batch's texts
+            held_back.append((part.column("id").take(pa.array(range(part.num_rows))), part.column("mark").to_numpy().copy(), word, size))
+            total += len(word)
+        if held_back:
+            yield out(number)
+
+    numbers = ["slice", "n_docs", "n_tokens", "n_words", "train_docs", "train_tokens", "held_docs", "held_tokens"]
+    names = [*numbers, "ids", "rows", "words", "local"]
+    schema = ", ".join([*(f"{c} bigint" for c in numbers), f"ids array<{id_type}>", "rows binary", "words binary", "local binary"])
+    return docs.select(F.col(id_col).alias("id"), mark.alias("mark"), text.alias("text")).mapInArrow(run, schema)
+
+
+class _Slice:
+    """A slice's documents and, for words, pairs and triples, its sorted distinct keys and each token's place in them."""
+
+    def __init__(self, row: dict):
+        self.number = row["slice"]
+        self.size, self.marks = _unpacked(row["rows"], (row["n_docs"], 4), (row["n_docs"], 1))
+        (words,) = _unpacked(row["words"], (row["n_words"], 8))
+        self.local = _unpacked(row["local"], (row["n_tokens"], 4))[0].astype(np.int64)
+        self.starts = np.cumsum(self.size.astype(np.int64)) - self.size.astype(np.int64)
+        self.words = words
+
+    def shifted(self, x: np.ndarray, at_start: int | np.uint64) -> np.ndarray:
+        """What each token has one place before it in its document."""
+        before = np.empty_like(x)
+        before[1:] = x[:-1]
+        before[self.starts] = at_start
+        return before
+
+    def per_token(self, by_doc: np.ndarray) -> np.ndarray:
+        return np.repeat(by_doc, self.size.astype(np.int64))
+
+    def kinds(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Keys and places of words, then pairs, then triples; one kind is held at a time."""
+        shift = np.uint64(64 - KEY_BITS)
+        key = mix64(self.words) >> shift
+        order = np.argsort(key)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        yield key[order], place[self.local]
+        word = self.words[self.local]
+        before = self.shifted(word, _START)
+        pair = mix64(word ^ mix64(before + np.uint64(1)))
+        yield np.unique(pair >> shift, return_inverse=True)
+        triple = mix64(pair ^ mix64(self.shifted(before, _START) + np.uint64(2)))
+        del word, before, pair
+        yield np.unique(triple >> shift, return_inverse=True)
+
+
+def _bucket_edges(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """Bucket, first and end of each bucket's keys among sorted ones: equal ranges of the key space."""
+    bucket = (keys >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return list(zip(bucket[first].tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True))
+
+
+def _requests(table: DataFrame, buckets: int) -> DataFrame:
+    """``bucket, slice, kind, n, first, width, cells``: the keys of a slice in a bucket and its counts of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                some = _Slice(batch.slice(at, 1).to_pylist()[0])
+                own, held = (some.per_token(some.marks & np.uint64(bit) > 0) for bit in (1, 2))
+                for kind, (keys, place) in enumerate(some.kinds()):
+                    n, m = np.bincount(place[own], minlength=len(keys)), np.bincount(place[held], minlength=len(keys))
+                    steps = np.diff(keys, prepend=keys[:1])
+                    rows = []
+                    for bucket, a, b in _bucket_edges(keys, buckets):
+                        width = max(1, (int(steps[a + 1 : b].max(initial=0)).bit_length() + 7) // 8)
+                        step = steps[a:b].copy()
+                        step[0] = 0
+                        rows.append((bucket, some.number, kind, b - a, int(keys[a]), width, _packed((step, width), (n[a:b], 4), (m[a:b], 4))))
+                    for k in range(0, len(rows), 256):
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 256], strict=True), types, strict=True)], names)
+
+    names = ["bucket", "slice", "kind", "n", "first", "width", "cells"]
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+    return table.drop("ids").mapInArrow(run, "bucket int, slice bigint, kind int, n int, first bigint, width int, cells binary")
+
+
+def _replies(requests: DataFrame) -> DataFrame:
+    """``slice, kind, bucket, n, n_held, cells``: for each request the counts of its keys in all training
+    documents and, for keys that the slice has in held-out documents, in those that are not held out.
+
+    With ``kind`` -1 and a slice of its own, ``n`` is the number of distinct training words in a bucket.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets: dict[int, list[dict]] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                buckets.setdefault(row["bucket"], []).append(row)
+        for bucket in list(buckets):
+            asked = buckets.pop(bucket)
+            cells = [_unpacked(r.pop("cells"), (r["n"], r["width"]), (r["n"], 4), (r["n"], 4)) for r in asked]
+            keys = np.concatenate([np.cumsum(step) + np.uint64(r["first"]) for r, (step, _, _) in zip(asked, cells, strict=True)])
+            all_, held = (np.concatenate([c[k] for c in cells]) for k in (1, 2))
+            del cells
+            keys, place = np.unique(keys, return_inverse=True)
+            all_sum, held_sum = (np.bincount(place, x, len(keys)).astype(np.int64) for x in (all_, held))
+            words = np.zeros(len(keys), bool)
+            at, rows = 0, []
+            for r in asked:
+                own = place[at : at + r["n"]]
+                if r["kind"] == 0:
+                    words[own] = True
+                again = own[held[at : at + r["n"]] > 0]
+                rows.append((r["slice"], r["kind"], bucket, r["n"], len(again), _packed((all_sum[own], 8), (all_sum[again] - held_sum[again], 8))))
+                at += r["n"]
+            rows.append((-1 - bucket, -1, bucket, int((words & (all_sum > 0)).sum()), 0, b""))
+            for k in range(0, len(rows), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 256], strict=True), types, strict=True)], names)
+
+    names = ["slice", "kind", "bucket", "n", "n_held", "cells"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    return requests.mapInArrow(run, "slice bigint, kind int, bucket int, n int, n_held int, cells binary")
+
+
+def _counts(some: _Slice, replies: list[dict], held: bool) -> list[np.ndarray]:
+    """Counts of each token's word, pair and triple; with ``held`` those outside held-out documents, true
+    only at the tokens of held-out documents."""
+    out = []
+    marks = some.per_token(some.marks & np.uint64(2) > 0)
+    for kind, (keys, place) in enumerate(some.kinds()):
+        own = sorted((r for r in replies if r["kind"] == kind), key=lambda r: r["bucket"])
+        got = [_unpacked(r["cells"], (r["n"], 8), (r["n_held"], 8))[int(held)] for r in own]
+        counts = np.concatenate(got).astype(np.int64)
         if held:
-            yield from out(0, *np.unique(np.concatenate(held), return_counts=True))
-        some = np.flatnonzero(found)
-        yield from out(1, pairs[some], found[some])
+            asked = np.bincount(place[marks], minlength=len(keys)) > 0
+            full = np.zeros(len(keys), np.int64)
+            full[asked] = counts
+            counts = full
+        out.append(counts[place])
+    return out
+
 
-    return source.where("train").select("doc", "text").mapInArrow(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+# --- the mixture
 
 
 @dataclass(frozen=True)
-class Interpolation:
-    """Totals, history counts, hot words and weights[bucket] of uniform, unigram, bigram."""
+class Mixture:
+    """Training tokens, distinct words and documents, and ``weights[level][bucket of the history's count]``."""
 
     n: int
     v: int
-    classes: np.ndarray
-    hot: np.ndarray
-    hot_counts: np.ndarray
-    weights: np.ndarray
+    docs: int
+    weights: list[np.ndarray]
 
-    def probability(self, word_n: np.ndarray, pair_n: np.ndarray, klass: np.ndarray) -> np.ndarray:
-        context = self.classes[klass]
-        weight = self.weights[_bucket(context)]
-        return weight[:, 0] / (self.v + 1) + weight[:, 1] * word_n / max(1, self.n) + weight[:, 2] * pair_n / np.maximum(context, 1)
+    def estimates(self, level: int, counts: list[np.ndarray], histories: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bucket of the history, maximum-likelihood estimate and lower mixture of a level (0: words)."""
+        lower = np.full(len(counts[0]), 1 / (self.v + 1))
+        for k in range(level):
+            bucket = _bucket(histories[k])
+            weight = self.weights[k][bucket]
+            lower = weight * counts[k] / np.maximum(histories[k], 1) + (1 - weight) * lower
+        return _bucket(histories[level]), counts[level] / np.maximum(histories[level], 1), lower
+
+    def probability(self, counts: list[np.ndarray], histories: list[np.ndarray]) -> np.ndarray:
+        bucket, own, lower = self.estimates(2, counts, histories)
+        weight = self.weights[2][bucket]
+        return weight * own + (1 - weight) * lower
 
 
 def _bucket(count: np.ndarray) -> np.ndarray:
@@ -123,174 +292,136 @@ def _bucket(count: np.ndarray) -> np.ndarray:
     return np.where(count > 0, 1 + np.log2(np.maximum(count, 1)).astype(np.int64), 0)
 
 
-def expectation_maximisation(bucket: np.ndarray, parts: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Weights of the columns of ``parts`` (estimates of held-out events) in each bucket.
+def _histories(some: _Slice, counts: list[np.ndarray], n: int, docs: int) -> list[np.ndarray]:
+    """The history's count for words (all tokens), pairs (the word before) and triples (the pair before)."""
+    return [np.full(len(counts[0]), n), some.shifted(counts[0], docs), some.shifted(counts[1], docs)]
+
 
-    A bucket without events has the weights of all events together; the uniform part keeps at least 1e-4,
-    a history never seen has no bigram part.
+def ratio_bin(ratio: np.ndarray) -> np.ndarray:
+    """0 for 0, else the rounded logarithm to the base 2 ** (1 / RATIO_STEPS)."""
+    limit = RATIO_STEPS * RATIO_RANGE
+    step = np.rint(np.log2(np.maximum(ratio, 1e-300)) * RATIO_STEPS)
+    return np.where(ratio > 0, np.clip(step, -limit, limit) + limit + 1, 0).astype(np.int64)
+
+
+def expectation_maximisation(events: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Weight of the upper of two estimates for each history bucket.
+
+    ``events[bucket, bin]`` counts held-out tokens by :func:`ratio_bin` of upper by lower estimate. A
+    bucket without events has the weight of all events together (a half without any), bucket 0 has 0.
     """
-    total = np.full(3, 1 / 3)
-    weights = np.full((LOG_BUCKETS, 3), 1 / 3)
-    for _ in range(rounds):
-        total = np.mean(p / p.sum(1, keepdims=True), axis=0) if len(p := parts * total) else total
-        mixed = parts * weights[bucket]
-        mixed /= mixed.sum(1, keepdims=True)
-        sums = np.stack([np.bincount(bucket, mixed[:, k], LOG_BUCKETS) for k in range(3)], 1)
-        size = sums.sum(1, keepdims=True)
-        weights = np.where(size > 0, sums / np.maximum(size, 1e-300), total)
-    weights[0, 1] += weights[0, 2]
-    weights[0, 2] = 0
-    weights = np.maximum(weights, [1e-4, 0, 0])
-    return weights / weights.sum(1, keepdims=True)
-
-
-def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[Interpolation, DataFrame]:
-    """The model of the rows that ``train`` marks, and the counts of all their words, ``word, n``.
-
-    Word counts cover all training rows and stay a table; the driver sees totals, one count for each
-    history class, the hot words and the held-out sample, all bounded.
+    ratio = np.concatenate([[0.0], 2.0 ** (np.arange(-RATIO_STEPS * RATIO_RANGE, RATIO_STEPS * RATIO_RANGE + 1) / RATIO_STEPS)])
+
+    def fit(rows: np.ndarray) -> np.ndarray:
+        weight, size = np.full((len(rows), 1), 0.5), np.maximum(rows.sum(1, keepdims=True), 1)
+        for _ in range(rounds):
+            weight = (rows * (weight * ratio / (weight * ratio + 1 - weight))).sum(1, keepdims=True) / size
+            weight = np.clip(weight, 0, MOST_WEIGHT)
+        return weight[:, 0]
+
+    seen = events[1:].sum(0, keepdims=True)
+    weights = np.where(events.sum(1) > 0, fit(events), fit(seen)[0] if seen.sum() else 0.5)
+    weights[0] = 0
+    return weights
+
+
+def _learned(events: DataFrame, v: int, n: int, docs: int) -> Mixture:
+    """The mixture's weights, level by level, from held-out tokens that Spark counts by history and ratio.
+
+    ``n`` and ``docs`` are those of the documents that are not held out. What the driver sees of a level
+    is a table of COUNT_BUCKETS x RATIO_BINS counts, whatever the input.
     """
-    source = _source(docs, train, id_col, text_col)
-    sample = source.where(F.col("train") & (F.pmod("doc", F.lit(10)) == 0)).select("doc", "text").orderBy(F.xxhash64("doc", F.lit(6)), "doc").limit(HELD_DOCS).toArrow()
-    _, word, klass = tokens(sample.column("text").combine_chunks() if sample.num_rows else pa.array([], pa.string()))
-    key = _pair(word, klass)
-    pairs = np.unique(key)
-    counts = written(_counts(source, pairs, sample.column("doc").to_pylist()), "word_counts")
-    words = counts.where("kind = 0").select(F.col("key").alias("word"), "n")
-    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-
-    classes = np.zeros(1 << CLASS_BITS, np.int64)
-    by_class = words.where(F.col("word") != int(_END.view(np.int64))).groupBy(F.shiftrightunsigned("word", 64 - CLASS_BITS).alias("klass")).agg(F.sum("n").alias("n"))
-    for row in by_class.toLocalIterator():
-        classes[row.klass] += row.n
-    ends = words.where(F.col("word") == int(_END.view(np.int64))).first()
-    classes[history(np.array([_START]))[0]] += ends.n if ends else 0
-    hot = sorted((r.word % (1 << 64), r.n) for r in words.where(F.col("n") > n * HOT).toLocalIterator())
-
-    own_word = dict(zip(*(x.tolist() for x in np.unique(word, return_counts=True)), strict=True))
-    wanted = np.array(sorted(own_word), np.uint64)
-    shared = docs.sparkSession.createDataFrame([(int(x),) for x in wanted.view(np.int64)], "word bigint")
-    word_n = dict(words.join(F.broadcast(shared), "word").toLocalIterator()) if len(wanted) else {}
-    pair_n = dict(counts.where("kind = 1").select("key", "n").toLocalIterator())
-    seen = np.array([word_n[int(x)] for x in wanted.view(np.int64)], np.int64) - np.array([own_word[x] for x in wanted.tolist()], np.int64)
-    left = classes - np.bincount(klass, minlength=len(classes))
-    word_left = seen[np.searchsorted(wanted, word)]
-    pair_left = np.array([pair_n.get(int(x), 0) for x in key.view(np.int64)], np.int64)
-    parts = np.stack([np.full(len(word), 1 / (v + 1)), word_left / max(1, n - len(word)), pair_left / np.maximum(left[klass], 1)], 1)
-    weights = expectation_maximisation(_bucket(left[klass]), parts)
-    return Interpolation(n, v, classes, np.array([w for w, _ in hot], np.uint64), np.array([x for _, x in hot], np.int64), weights), words
-
-
-def _packed(source: DataFrame, shared, buckets: int) -> DataFrame:  # noqa: ANN001
-    """``bucket, n, word, klass, doc, docs, train``: occurrences of each bucket's words in a slice."""
+    weights: list[np.ndarray] = []
+    for level in range(3):
+        known = Mixture(n, v, docs, list(weights))
+
+        def run(batches: Iterator[pa.RecordBatch], level: int = level, known: Mixture = known) -> Iterator[pa.RecordBatch]:
+            found = np.zeros((COUNT_BUCKETS, RATIO_BINS), np.int64)
+            for batch in batches:
+                for row in batch.to_pylist():
+                    c = [x.astype(np.int64) for x in _unpacked(row["cells"], *[(row["n"], 8)] * 5)]
+                    bucket, own, lower = known.estimates(level, c[:3], [np.full(row["n"], n), *c[3:]])
+                    np.add.at(found, (bucket, ratio_bin(own / lower)), 1)
+            bucket, bin_ = np.nonzero(found)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(bin_.astype(np.int32)), pa.array(found[bucket, bin_])], ["bucket", "bin", "n"])
+
+        table = np.zeros((COUNT_BUCKETS, RATIO_BINS))
+        summed = events.mapInArrow(run, "bucket int, bin int, n bigint").groupBy("bucket", "bin").agg(F.sum("n").alias("n"))
+        for row in summed.collect():
+            table[row.bucket, row.bin] = row.n
+        weights.append(expectation_maximisation(table))
+    return Mixture(n, v, docs, weights)
+
+
+def _held_events(joined: DataFrame, n: int, docs: int) -> DataFrame:
+    """``n, cells``: for held-out tokens the counts of word, pair and triple and of the two histories, without the held-out documents'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        held, size = [], 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            docs = np.concatenate([x[0] for x in held])
-            train = np.concatenate([x[1] for x in held])
-            shift = np.cumsum([0, *(len(x[0]) for x in held[:-1])], dtype=np.int32)
-            row = np.concatenate([x[2] + s for x, s in zip(held, shift, strict=True)])
-            word, klass = np.concatenate([x[3] for x in held]), np.concatenate([x[4] for x in held])
-            held.clear()
-            spread = mix64(word)
-            if len(model.hot):
-                place = np.minimum(np.searchsorted(model.hot, word), len(model.hot) - 1)
-                spread = np.where(model.hot[place] == word, _pair(word, klass), spread)
-            bucket = ((spread >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-            spread = None
-            order = np.argsort(bucket, kind="stable")
-            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(bounds)).tolist():
-                some = order[bounds[b] : bounds[b + 1]]
-                own, place = np.unique(row[some], return_inverse=True)
-                kinds, kind = np.unique(word[some], return_inverse=True)
-                cells = [b, len(some), kinds.tobytes(), kind.astype("<u4" if len(kinds) > 65535 else "<u2").tobytes(), klass[some].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes(), place.astype("<u4" if len(own) > 65535 else "<u2").tobytes(), docs[own].tobytes(), train[own].tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cells, types, strict=True)], names)
-
-        types = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
-        names = ["bucket", "n", "kinds", "kind", "klass", "place", "docs", "train"]
-        for part in slices(batches):
-            row, word, klass = tokens(part.column("text"))
-            held.append((part.column("doc").to_numpy().copy(), part.column("train").to_numpy(zero_copy_only=False), row.astype(np.int32), word, klass.astype(np.int32)))
-            size += len(word)
-            if size > SLICE_TOKENS:
-                yield from out()
-                size = 0
-        if held:
-            yield from out()
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                some = _Slice(row)
+                held = some.per_token(some.marks & np.uint64(2) > 0)
+                counts = _counts(some, row["replies"], True)
+                columns = [x[held] for x in (*counts, *_histories(some, counts, n, docs)[1:])]
+                if held.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([int(held.sum())], pa.int64()), pa.array([_packed(*((x, 8) for x in columns))], pa.binary())], ["n", "cells"])
 
-    return source.select("doc", "train", "text").mapInArrow(run, "bucket int, n bigint, kinds binary, kind binary, klass binary, place binary, docs binary, train binary")
+    return joined.drop("ids").where("held_docs > 0").mapInArrow(run, "n bigint, cells binary")
 
 
-def _scored(packed: DataFrame, shared) -> DataFrame:  # noqa: ANN001
-    """``doc, n_tokens, n_known, base, score``: each bucket's share of the documents' sums."""
+def _scored(joined: DataFrame, model: Mixture, id_type: str) -> DataFrame:
+    """``id, n_tokens, n_known, base, score`` of each document of each slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, blobs = shared.value, {}
         for batch in batches:
-            for row in batch.to_pylist():
-                blobs.setdefault(row["bucket"], []).append(row)
-        for same in [blobs.pop(b) for b in list(blobs)]:
-            word, klass, doc, train = [], [], [], []
-            names, place_of = np.unique(np.concatenate([np.frombuffer(x["docs"], "<i8") for x in same]), return_inverse=True)
-            place_of, at = place_of.astype(np.int32), 0
-            while same:
-                x = same.pop(0)
-                kinds, docs = np.frombuffer(x["kinds"], "<u8"), np.frombuffer(x["docs"], "<i8")
-                wide = lambda raw, n=x["n"]: np.frombuffer(raw, "<u4" if len(raw) == 4 * n else "<u2")
-                place = wide(x["place"])
-                word.append(kinds[wide(x["kind"])])
-                three = np.frombuffer(x["klass"], np.uint8).reshape(-1, 3).astype(np.int32)
-                klass.append(three[:, 0] | three[:, 1] << 8 | three[:, 2] << 16)
-                doc.append(place_of[at : at + len(docs)][place])
-                at += len(docs)
-                train.append(np.frombuffer(x["train"], bool)[place])
-            word, klass, doc, train = map(np.concatenate, (word, klass, doc, train))
-            order = np.lexsort((klass, word))
-            word, klass, doc, train = word[order], klass[order], doc[order], train[order]
-
-            def count(new: np.ndarray, train: np.ndarray) -> np.ndarray:
-                first = np.flatnonzero(new)
-                return np.repeat(np.add.reduceat(train.astype(np.int64), first), np.diff(np.append(first, len(new))))
-
-            new = np.ones(len(word), bool)
-            new[1:] = word[1:] != word[:-1]
-            word_n = count(new, train)
-            new[1:] |= klass[1:] != klass[:-1]
-            pair_n = count(new, train)
-            if len(model.hot):
-                place = np.minimum(np.searchsorted(model.hot, word), len(model.hot) - 1)
-                word_n = np.where(model.hot[place] == word, model.hot_counts[place], word_n)
-            sums = [np.bincount(doc, x, len(names)) for x in (word_n > 0, np.log10(word_n + 1.0), np.log10(model.probability(word_n, pair_n, klass)))]
-            tokens = np.bincount(doc, minlength=len(names))
-            for k in range(0, len(names), BATCH_ROWS):
-                s = slice(k, k + BATCH_ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array(names[s]), pa.array(tokens[s]), pa.array(sums[0][s].astype(np.int64)), pa.array(sums[1][s]), pa.array(sums[2][s])], ["doc", "n_tokens", "n_known", "base", "score"])
-
-    return packed.mapInArrow(run, "doc bigint, n_tokens bigint, n_known bigint, base double, score double")
-
-
-def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            for at in range(batch.num_rows):
+                ids = batch.column("ids")[at].values
+                row = batch.drop_columns("ids").slice(at, 1).to_pylist()[0]
+                some = _Slice(row)
+                counts = _counts(some, row["replies"], False)
+                p = model.probability(counts, _histories(some, counts, model.n, model.docs))
+                sums = [np.add.reduceat(x, some.starts) for x in ((counts[0] > 0).astype(np.int64), np.log10(counts[0] + 1.0), np.log10(p))]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(some.size.astype(np.int64)), *map(pa.array, sums)], ["id", "n_tokens", "n_known", "base", "score"])
+
+    return joined.mapInArrow(run, f"id {id_type}, n_tokens bigint, n_known bigint, base double, score double")
+
+
+def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", slice_tokens: int = SLICE_TOKENS, bucket_requests: int = BUCKET_REQUESTS) -> DataFrame:
     """``id, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     Tokens are runs of bytes other than blanks, A-Z as a-z, then an end token; a null text counts as
     empty. ``base_score`` is the add-one unigram log10 probability, ``score`` that of the interpolated
-    model. Counts are of all rows that ``train`` marks; without any, every word is unknown. Rows that
-    repeat id and text get one and the same result each, null ids included.
+    model. Counts are of all rows that ``train`` marks (null: not); without any, every word is unknown and
+    ``score`` is 0. Every row counts and is scored by itself, rows that repeat id and text and null ids
+    included; other columns are not read. Two n-grams count as one if 56 bits of their hashes agree.
+
+    A slice asks each bucket once, so buckets times slices blobs travel, at most one for each n-gram of a slice.
     """
-    model, _ = learn(docs, train, id_col, text_col)
-    source = _source(docs, train, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    held_share = source.agg(F.avg(F.col("train").cast("int"))).first()[0] or 1.0
-    buckets = max(2, int(model.n / max(held_share, 0.05) / BUCKET_TOKENS) + 1)
-    packed = _packed(source, shared, buckets).repartitionById(buckets, F.col("bucket"))
-    sums = _scored(packed, shared).groupBy("doc").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")))
-    rows = source.select("id", "doc")
-    times = rows.groupBy("doc").agg(F.count("*").alias("times"))
-    per_row = sums.join(times, "doc").select("doc", *((F.col(c) / F.col("times")).alias(c) for c in ("n_tokens", "n_known", "base", "score")))
-    out = rows.join(per_row, "doc")
-    smooth = float(np.log10(model.n + model.v + 1))
-    return out.select(F.col("id").alias(id_col), F.col("n_tokens").cast("bigint"), F.col("n_known").cast("bigint"), F.lit(model.n).cast("bigint").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * smooth).alias("base_score"), "score")
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    id_type = docs.schema[id_col].dataType.simpleString()
+    names = [f"{x}_{uuid.uuid4().hex}" for x in ("lm_slices", "lm_replies")]
+
+    _slices(docs, train, id_col, text_col, slice_tokens).write.bucketBy(parts, "slice").option("compression", "zstd").saveAsTable(names[0])
+    table = spark.table(names[0])
+    totals = table.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "train_docs", "train_tokens", "held_docs", "held_tokens"))).first()
+    buckets = int(totals.n_tokens * REQUESTS_A_TOKEN / bucket_requests) + 2
+    asked = _requests(table, buckets).repartitionById(buckets, F.col("bucket"))
+    _replies(asked).repartition(parts, "slice").write.bucketBy(parts, "slice").option("compression", "zstd").saveAsTable(names[1])
+    replies = spark.table(names[1])
+    v = replies.where("kind = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    grouped = replies.where("kind >= 0").groupBy("slice").agg(F.collect_list(F.struct("kind", "bucket", "n", "n_held", "cells")).alias("replies"))
+    joined = table.join(grouped.hint("shuffle_hash"), "slice")
+    left_n, left_docs = totals.train_tokens - totals.held_tokens, totals.train_docs - totals.held_docs
+    events = written(_held_events(joined, left_n, left_docs), "lm_events")
+    weights = _learned(events, v, left_n, left_docs).weights
+    scored = written(_scored(joined, Mixture(totals.train_tokens, v, totals.train_docs, weights), id_type), "lm_scores")
+    drop(events)
+    for name in names:
+        spark.sql(f"DROP TABLE {name}")
+
+    smooth = float(np.log10(totals.train_tokens + v + 1))
+    train_tokens = F.lit(totals.train_tokens).cast("bigint").alias("train_tokens")
+    return scored.select(F.col("id").alias(id_col), "n_tokens", "n_known", train_tokens, (F.col("base") - F.col("n_tokens") * smooth).alias("base_score"), "score")

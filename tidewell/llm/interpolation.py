@@ -34,11 +34,14 @@ from tidewell.llm._shared import drop, written
 from tidewell.llm._text import _LOWER, mix64, slices, span_hashes, text_bytes, word_spans
 
 #: Tokens of a slice, about; one document with more is a slice of its own.
-SLICE_TOKENS = 3_000_000
+SLICE_TOKENS = 2_500_000
 #: Requests of a bucket, about, and requests a token that are reckoned with.
 BUCKET_REQUESTS, REQUESTS_A_TOKEN = 2_500_000, 1.6
-#: Bits of an n-gram hash that travel.
-KEY_BITS = 56
+#: Bits of a pair's or triple's hash that travel, beyond the binary logarithm of all tokens: about one
+#: n-gram in 2 ** SPARE_BITS is taken for another, at any size. Words travel with all 64 bits.
+SPARE_BITS = 20
+#: Tokens whose probabilities are worked out together.
+SCORE_TOKENS = 1 << 18
 #: One of so many training documents is held out for the weights.
 HELD_PART = 10
 #: Histories by the binary logarithm of their count; ratios of two estimates by steps of 2 ** (1 / RATIO_STEPS).
@@ -139,11 +142,11 @@ class _Slice:
 
     def __init__(self, row: dict):
         self.number = row["slice"]
-        self.size, self.marks = _unpacked(row["rows"], (row["n_docs"], 4), (row["n_docs"], 1))
-        (words,) = _unpacked(row["words"], (row["n_words"], 8))
-        self.local = _unpacked(row["local"], (row["n_tokens"], 4))[0].astype(np.int64)
-        self.starts = np.cumsum(self.size.astype(np.int64)) - self.size.astype(np.int64)
-        self.words = words
+        size, marks = _unpacked(row["rows"], (row["n_docs"], 4), (row["n_docs"], 1))
+        self.size, self.marks = size.astype(np.int64), marks.astype(np.int64)
+        (self.words,) = _unpacked(row["words"], (row["n_words"], 8))
+        self.local = _unpacked(row["local"], (row["n_tokens"], 4))[0].astype(np.int32)
+        self.starts = np.cumsum(self.size) - self.size
 
     def shifted(self, x: np.ndarray, at_start: int | np.uint64) -> np.ndarray:
         """What each token has one place before it in its document."""
@@ -153,49 +156,62 @@ class _Slice:
         return before
 
     def per_token(self, by_doc: np.ndarray) -> np.ndarray:
-        return np.repeat(by_doc, self.size.astype(np.int64))
+        return np.repeat(by_doc, self.size)
 
-    def kinds(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def kinds(self, key_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Keys and places of words, then pairs, then triples; one kind is held at a time."""
-        shift = np.uint64(64 - KEY_BITS)
-        key = mix64(self.words) >> shift
+        shift = np.uint64(64 - key_bits)
+        key = mix64(self.words)
         order = np.argsort(key)
-        place = np.empty(len(order), np.int64)
+        place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
         yield key[order], place[self.local]
-        word = self.words[self.local]
-        before = self.shifted(word, _START)
-        pair = mix64(word ^ mix64(before + np.uint64(1)))
-        yield np.unique(pair >> shift, return_inverse=True)
-        triple = mix64(pair ^ mix64(self.shifted(before, _START) + np.uint64(2)))
-        del word, before, pair
-        yield np.unique(triple >> shift, return_inverse=True)
-
-
-def _bucket_edges(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+        del key, order, place
+        gram = self.words[self.local]
+        before = self.shifted(gram, _START)
+        gram = mix64(gram ^ mix64(before + np.uint64(1)))
+        yield _ranked(gram >> shift)
+        before = self.shifted(before, _START)
+        gram = mix64(gram ^ mix64(before + np.uint64(2)))
+        del before
+        yield _ranked(gram >> shift)
+
+
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and each one's place in them."""
+    order = np.argsort(key).astype(np.int32)
+    key = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    place = np.empty(len(key), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return key[new], place
+
+
+def _bucket_edges(keys: np.ndarray, key_bits: int, buckets: int) -> list[tuple[int, int, int]]:
     """Bucket, first and end of each bucket's keys among sorted ones: equal ranges of the key space."""
-    bucket = (keys >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)
+    bucket = (keys >> np.uint64(key_bits - 32)) * np.uint64(buckets) >> np.uint64(32)
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return list(zip(bucket[first].tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True))
 
 
-def _requests(table: DataFrame, buckets: int) -> DataFrame:
+def _requests(table: DataFrame, key_bits: int, buckets: int) -> DataFrame:
     """``bucket, slice, kind, n, first, width, cells``: the keys of a slice in a bucket and its counts of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 some = _Slice(batch.slice(at, 1).to_pylist()[0])
-                own, held = (some.per_token(some.marks & np.uint64(bit) > 0) for bit in (1, 2))
-                for kind, (keys, place) in enumerate(some.kinds()):
+                own, held = (some.per_token(some.marks & bit > 0) for bit in (1, 2))
+                for kind, (keys, place) in enumerate(some.kinds(key_bits)):
                     n, m = np.bincount(place[own], minlength=len(keys)), np.bincount(place[held], minlength=len(keys))
                     steps = np.diff(keys, prepend=keys[:1])
                     rows = []
-                    for bucket, a, b in _bucket_edges(keys, buckets):
+                    for bucket, a, b in _bucket_edges(keys, 64 if kind == 0 else key_bits, buckets):
                         width = max(1, (int(steps[a + 1 : b].max(initial=0)).bit_length() + 7) // 8)
                         step = steps[a:b].copy()
                         step[0] = 0
-                        rows.append((bucket, some.number, kind, b - a, int(keys[a]), width, _packed((step, width), (n[a:b], 4), (m[a:b], 4))))
+                        rows.append((bucket, some.number, kind, b - a, int(keys[a : a + 1].view(np.int64)[0]), width, _packed((step, width), (n[a:b], 4), (m[a:b], 4))))
                     for k in range(0, len(rows), 256):
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 256], strict=True), types, strict=True)], names)
 
@@ -217,23 +233,25 @@ def _replies(requests: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 buckets.setdefault(row["bucket"], []).append(row)
         for bucket in list(buckets):
-            asked = buckets.pop(bucket)
-            cells = [_unpacked(r.pop("cells"), (r["n"], r["width"]), (r["n"], 4), (r["n"], 4)) for r in asked]
-            keys = np.concatenate([np.cumsum(step) + np.uint64(r["first"]) for r, (step, _, _) in zip(asked, cells, strict=True)])
-            all_, held = (np.concatenate([c[k] for c in cells]) for k in (1, 2))
-            del cells
-            keys, place = np.unique(keys, return_inverse=True)
-            all_sum, held_sum = (np.bincount(place, x, len(keys)).astype(np.int64) for x in (all_, held))
-            words = np.zeros(len(keys), bool)
-            at, rows = 0, []
-            for r in asked:
-                own = place[at : at + r["n"]]
-                if r["kind"] == 0:
-                    words[own] = True
-                again = own[held[at : at + r["n"]] > 0]
-                rows.append((r["slice"], r["kind"], bucket, r["n"], len(again), _packed((all_sum[own], 8), (all_sum[again] - held_sum[again], 8))))
-                at += r["n"]
-            rows.append((-1 - bucket, -1, bucket, int((words & (all_sum > 0)).sum()), 0, b""))
+            asked, rows, words = buckets.pop(bucket), [], 0
+            for kind in range(3):
+                same = [r for r in asked if r["kind"] == kind]
+                if not same:
+                    continue
+                cells = [_unpacked(r.pop("cells"), (r["n"], r["width"]), (r["n"], 4), (r["n"], 4)) for r in same]
+                keys = np.concatenate([np.cumsum(step) + np.int64(r["first"]).astype(np.uint64) for r, (step, _, _) in zip(same, cells, strict=True)])
+                all_, held = (np.concatenate([c[k].astype(np.uint32) for c in cells]) for k in (1, 2))
+                del cells
+                keys, place = _ranked(keys)
+                all_sum, held_sum = (np.bincount(place, x, len(keys)).astype(np.int64) for x in (all_, held))
+                words += int((all_sum > 0).sum()) if kind == 0 else 0
+                at = 0
+                for r in same:
+                    own = place[at : at + r["n"]]
+                    again = own[held[at : at + r["n"]] > 0]
+                    rows.append((r["slice"], kind, bucket, r["n"], len(again), _packed((all_sum[own], 8), (all_sum[again] - held_sum[again], 8))))
+                    at += r["n"]
+            rows.append((-1 - bucket, -1, bucket, words, 0, b""))
             for k in range(0, len(rows), 256):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 256], strict=True), types, strict=True)], names)
 
@@ -242,19 +260,17 @@ def _replies(requests: DataFrame) -> DataFrame:
     return requests.mapInArrow(run, "slice bigint, kind int, bucket int, n int, n_held int, cells binary")
 
 
-def _counts(some: _Slice, replies: list[dict], held: bool) -> list[np.ndarray]:
+def _counts(some: _Slice, replies: list[dict], key_bits: int, held: bool) -> list[np.ndarray]:
     """Counts of each token's word, pair and triple; with ``held`` those outside held-out documents, true
     only at the tokens of held-out documents."""
     out = []
-    marks = some.per_token(some.marks & np.uint64(2) > 0)
-    for kind, (keys, place) in enumerate(some.kinds()):
+    marks = some.per_token(some.marks & 2 > 0) if held else None
+    for kind, (keys, place) in enumerate(some.kinds(key_bits)):
         own = sorted((r for r in replies if r["kind"] == kind), key=lambda r: r["bucket"])
-        got = [_unpacked(r["cells"], (r["n"], 8), (r["n_held"], 8))[int(held)] for r in own]
-        counts = np.concatenate(got).astype(np.int64)
+        counts = np.concatenate([_unpacked(r["cells"], (r["n"], 8), (r["n_held"], 8))[int(held)].astype(np.int64) for r in own])
         if held:
-            asked = np.bincount(place[marks], minlength=len(keys)) > 0
             full = np.zeros(len(keys), np.int64)
-            full[asked] = counts
+            full[np.bincount(place[marks], minlength=len(keys)) > 0] = counts
             counts = full
         out.append(counts[place])
     return out
@@ -292,11 +308,6 @@ def _bucket(count: np.ndarray) -> np.ndarray:
     return np.where(count > 0, 1 + np.log2(np.maximum(count, 1)).astype(np.int64), 0)
 
 
-def _histories(some: _Slice, counts: list[np.ndarray], n: int, docs: int) -> list[np.ndarray]:
-    """The history's count for words (all tokens), pairs (the word before) and triples (the pair before)."""
-    return [np.full(len(counts[0]), n), some.shifted(counts[0], docs), some.shifted(counts[1], docs)]
-
-
 def ratio_bin(ratio: np.ndarray) -> np.ndarray:
     """0 for 0, else the rounded logarithm to the base 2 ** (1 / RATIO_STEPS)."""
     limit = RATIO_STEPS * RATIO_RANGE
@@ -353,24 +364,24 @@ def _learned(events: DataFrame, v: int, n: int, docs: int) -> Mixture:
     return Mixture(n, v, docs, weights)
 
 
-def _held_events(joined: DataFrame, n: int, docs: int) -> DataFrame:
-    """``n, cells``: for held-out tokens the counts of word, pair and triple and of the two histories, without the held-out documents'."""
+def _held_events(joined: DataFrame, key_bits: int, docs: int) -> DataFrame:
+    """``n, cells``: for held-out tokens the counts of word, pair and triple and of the histories of pair
+    and triple, without the held-out documents' own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
                 some = _Slice(row)
-                held = some.per_token(some.marks & np.uint64(2) > 0)
-                counts = _counts(some, row["replies"], True)
-                columns = [x[held] for x in (*counts, *_histories(some, counts, n, docs)[1:])]
-                if held.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([int(held.sum())], pa.int64()), pa.array([_packed(*((x, 8) for x in columns))], pa.binary())], ["n", "cells"])
+                held = some.per_token(some.marks & 2 > 0)
+                counts = _counts(some, row["replies"], key_bits, True)
+                columns = [x[held] for x in (*counts, *(some.shifted(x, docs) for x in counts[:2]))]
+                yield pa.RecordBatch.from_arrays([pa.array([len(columns[0])], pa.int64()), pa.array([_packed(*((x, 8) for x in columns))], pa.binary())], ["n", "cells"])
 
     return joined.drop("ids").where("held_docs > 0").mapInArrow(run, "n bigint, cells binary")
 
 
-def _scored(joined: DataFrame, model: Mixture, id_type: str) -> DataFrame:
+def _scored(joined: DataFrame, key_bits: int, model: Mixture, id_type: str) -> DataFrame:
     """``id, n_tokens, n_known, base, score`` of each document of each slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,10 +390,15 @@ def _scored(joined: DataFrame, model: Mixture, id_type: str) -> DataFrame:
                 ids = batch.column("ids")[at].values
                 row = batch.drop_columns("ids").slice(at, 1).to_pylist()[0]
                 some = _Slice(row)
-                counts = _counts(some, row["replies"], False)
-                p = model.probability(counts, _histories(some, counts, model.n, model.docs))
-                sums = [np.add.reduceat(x, some.starts) for x in ((counts[0] > 0).astype(np.int64), np.log10(counts[0] + 1.0), np.log10(p))]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(some.size.astype(np.int64)), *map(pa.array, sums)], ["id", "n_tokens", "n_known", "base", "score"])
+                counts = _counts(some, row.pop("replies"), key_bits, False)
+                histories = [some.shifted(x, model.docs) for x in counts[:2]]
+                log = np.empty(len(counts[0]))
+                for k in range(0, len(log), SCORE_TOKENS):
+                    part = slice(k, k + SCORE_TOKENS)
+                    own = [x[part] for x in counts]
+                    log[part] = np.log10(model.probability(own, [np.full(len(own[0]), model.n), *(x[part] for x in histories)]))
+                sums = [np.add.reduceat(x, some.starts) for x in ((counts[0] > 0).astype(np.int64), np.log10(counts[0] + 1.0), log)]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(some.size), *map(pa.array, sums)], ["id", "n_tokens", "n_known", "base", "score"])
 
     return joined.mapInArrow(run, f"id {id_type}, n_tokens bigint, n_known bigint, base double, score double")
 
@@ -394,7 +410,8 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     empty. ``base_score`` is the add-one unigram log10 probability, ``score`` that of the interpolated
     model. Counts are of all rows that ``train`` marks (null: not); without any, every word is unknown and
     ``score`` is 0. Every row counts and is scored by itself, rows that repeat id and text and null ids
-    included; other columns are not read. Two n-grams count as one if 56 bits of their hashes agree.
+    included; other columns are not read. Words are told apart by 64-bit hashes, pairs and triples by
+    narrower ones that grow with the input (SPARE_BITS).
 
     A slice asks each bucket once, so buckets times slices blobs travel, at most one for each n-gram of a slice.
     """
@@ -406,8 +423,9 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     _slices(docs, train, id_col, text_col, slice_tokens).write.bucketBy(parts, "slice").option("compression", "zstd").saveAsTable(names[0])
     table = spark.table(names[0])
     totals = table.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "train_docs", "train_tokens", "held_docs", "held_tokens"))).first()
+    key_bits = min(64, max(32, SPARE_BITS + int(totals.n_tokens).bit_length()))
     buckets = int(totals.n_tokens * REQUESTS_A_TOKEN / bucket_requests) + 2
-    asked = _requests(table, buckets).repartitionById(buckets, F.col("bucket"))
+    asked = _requests(table, key_bits, buckets).repartitionById(buckets, F.col("bucket"))
     _replies(asked).repartition(parts, "slice").write.bucketBy(parts, "slice").option("compression", "zstd").saveAsTable(names[1])
     replies = spark.table(names[1])
     v = replies.where("kind = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -415,9 +433,9 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     grouped = replies.where("kind >= 0").groupBy("slice").agg(F.collect_list(F.struct("kind", "bucket", "n", "n_held", "cells")).alias("replies"))
     joined = table.join(grouped.hint("shuffle_hash"), "slice")
     left_n, left_docs = totals.train_tokens - totals.held_tokens, totals.train_docs - totals.held_docs
-    events = written(_held_events(joined, left_n, left_docs), "lm_events")
+    events = written(_held_events(joined, key_bits, left_docs), "lm_events")
     weights = _learned(events, v, left_n, left_docs).weights
-    scored = written(_scored(joined, Mixture(totals.train_tokens, v, totals.train_docs, weights), id_type), "lm_scores")
+    scored = written(_scored(joined, key_bits, Mixture(totals.train_tokens, v, totals.train_docs, weights), id_type), "lm_scores")
     drop(events)
     for name in names:
         spark.sql(f"DROP TABLE {name}")

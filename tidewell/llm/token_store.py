@@ -10,15 +10,19 @@ Blocks are numbered in ascending document order by (shard, block).
 
 from __future__ import annotations
 
+import codecs
 import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from tidewell.llm._text import slices
 
@@ -74,60 +78,91 @@ class Boundaries:
 
 
 class ChunkEncoder:
-    """Ids of chunks between blanks, for a tokenizer that drops white space and has word ends.
-
-    Words of letters alone are pre-tokens of their own, so new ones are encoded as one text and cut at
-    the tokens that end a word. A chunk of such a word and full stops or commas is put together from
-    both. All other chunks are encoded each by itself. ASCII letters are lower-cased up front.
+    """Ids of chunks between blanks as the library encodes whole texts, for a tokenizer that drops white
+    space, puts texts into normal form C and lower case, and has word ends.
+
+    Most new chunks are words of letters in that form already, each a pre-token of its own: they go to the
+    library's model at once, as one text in the byte alphabet, cut at the tokens that end a word. A chunk
+    of such a word and full stops or commas is put together from both. All other chunks are encoded each
+    by itself, and texts with one of the tokenizer's added tokens as a whole. ASCII letters are
+    lower-cased up front.
     """
 
     def __init__(self, path: str, width: int):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.width, self.kind = width, {2: "<u2", 4: "<u4"}[width]
         self.cache: dict[bytes, bytes] = {b"": b""}
-        model = json.loads(self.tokenizer.to_str())["model"]
-        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
-        self.ends[[i for t, i in model["vocab"].items() if t.endswith(model["end_of_word_suffix"])]] = True
+        whole = json.loads(self.tokenizer.to_str())
+        self.added = [x["content"] for x in whole["added_tokens"]]
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
+        vocab, end = whole["model"]["vocab"], whole["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(end)]] = True
+        # the byte alphabet of byte-level tokenizers: printable bytes stand for themselves, others follow from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        table = [chr(b) if b in shown else "" for b in range(256)]
+        for k, b in enumerate(b for b in range(256) if b not in shown):
+            table[b] = chr(256 + k)
+        table[32] = " "  # between words
+        self.alphabet = "".join(table)
 
     def _words(self, words: list[bytes]) -> None:
         for k in range(0, len(words), 4096):
             part = words[k : k + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, self.kind)
+            text, _ = codecs.charmap_decode(b" ".join(part), "strict", self.alphabet)
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(part):  # each word ends at least once: some letter became more than a letter
+            if len(stops) != len(part):  # a word that is more than one pre-token
                 self._others(part)
                 continue
             flat, stops = ids.tobytes(), (self.width * stops).tolist()
             self.cache.update(zip(part, [flat[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
 
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(found.ids, self.kind).tobytes() for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _others(self, chunks: list[bytes]) -> None:
-        for chunk, found in zip(chunks, self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False), strict=True):
-            self.cache[chunk] = np.array(found.ids, self.kind).tobytes()
+        if not chunks:
+            return
+        self.cache.update(zip(chunks, self._whole([c.decode() for c in chunks]), strict=True))
 
     def learn(self, chunks: set[bytes]) -> None:
-        stems = {c: c.rstrip(b".,") for c in chunks}
-        plain = {c: x for c, x in stems.items() if x.isalpha() or (x and x.decode().isalpha())}
-        known = self.cache.keys()
-        self._words(list(set(plain.values()) - known))
-        joint = {c: x for c, x in plain.items() if len(x) < len(c)}
-        self._others(list((chunks - plain.keys()) | ({c[len(x) :] for c, x in joint.items()} - known)))
         cache = self.cache
+        words = [c for c in chunks if c.isalpha()]
+        joint, others = {}, set()
+        for c in chunks.difference(words):
+            stem = c.rstrip(b".,")
+            if stem.isalpha() or (stem and _is_plain(stem.decode())):
+                joint[c] = stem
+                others.add(c[len(stem) :])
+            else:
+                others.add(c)
+        words += set(joint.values())
+        self._words(list(filterfalse(cache.__contains__, dict.fromkeys(words))))
+        self._others(list(filterfalse(cache.__contains__, others)))
         cache.update({c: cache[x] + cache[c[len(x) :]] for c, x in joint.items()})
 
     def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
-        chunks = [t.encode().lower().replace(b"\n", b" ").split(b" ") if t else [] for t in texts]
+        special = [k for k, t in enumerate(texts) if t and any(x in t for x in self.added)]
+        whole = dict(zip(special, self._whole([texts[k] for k in special]), strict=True))
+        chunks = [t.encode().lower().replace(b"\n", b" ").split(b" ") if t and k not in whole else [] for k, t in enumerate(texts)]
         if len(self.cache) > CACHE_CHUNKS:
             short = {c: ids for c, ids in self.cache.items() if len(c) <= KEPT_BYTES}
             self.cache = short if len(short) < CACHE_CHUNKS // 2 else {b"": b""}
-        new = set().union(*chunks) - self.cache.keys()
+        new = set(filterfalse(self.cache.__contains__, set().union(*chunks)))
         self.learn(new)
-        ids = [b"".join([*map(self.cache.__getitem__, x), end]) for x in chunks]
+        ids = [b"".join([whole.get(k, b""), *map(self.cache.__getitem__, x), end]) for k, x in enumerate(chunks)]
         for chunk in [x for x in new if len(x) > 64]:  # long chunks hardly come again
             del self.cache[chunk]
         return ids
 
 
+def _is_plain(word: str) -> bool:
+    """Letters only, in normal form C and lower case, so that the tokenizer's normaliser leaves them as they are."""
+    return word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word)
+
+
 def shard_bounds(docs: DataFrame, shards: int, id_col: str = "doc_id") -> list[float]:
     """Ids that cut the documents into about equal shards: quantiles, from the id column alone."""
     known = docs.select(F.col(id_col).alias("id")).where("id is not null")
@@ -138,7 +173,9 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int, bounds: list[f
     """``id, shard, n_tokens, ids binary`` (ids of ``width`` bytes) of whole texts, each with ``end_id`` appended.
 
     For tokenizers that drop white space before their merges: the library encodes each distinct chunk
-    between blanks or line ends once, and the chunks' ids are joined. A null text counts as empty.
+    between blanks or line ends once, and the chunks' ids are joined. Ids are those of the library's call
+    with ``add_special_tokens=False``: a string of an added token in a text becomes that token. A null text
+    counts as empty. A null id stays null; rows that repeat an id are encoded each.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (tokenizer_path, width) not in _LOADED:
@@ -158,7 +195,8 @@ def write_blocks(encoded: DataFrame, path: str, shards: int, width: int = 2) ->
     """Writes ``id, shard, n_tokens, ids`` in ascending id order (null first) as blocks under ``path``.
 
     The tokens move once, straight to their shard, where a sort within the partition streams them into
-    blocks. Rows that share an id go to the same shard.
+    blocks. Rows that share an id go to the same shard, in order of a hash of their ids. An empty table
+    gives a readable folder without blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +227,8 @@ def write_blocks(encoded: DataFrame, path: str, shards: int, width: int = 2) ->
 def read_blocks(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """One row a document from the files: ``id_col, start, n_tokens, ids binary (32-bit), ids_crc32``.
 
-    Only shard totals are added up across shards: as many rows as there are shards.
+    Only shard totals are added up across shards: as many rows as there are shards. A null id comes back
+    null, a repeated one once for each row that was written, a folder without blocks as no rows.
     """
     blocks = spark.read.parquet(path)
     totals = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("total"))

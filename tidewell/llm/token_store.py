@@ -93,7 +93,7 @@ class ChunkEncoder:
         self.width, self.kind = width, {2: "<u2", 4: "<u4"}[width]
         self.cache: dict[bytes, bytes] = {b"": b""}
         whole = json.loads(self.tokenizer.to_str())
-        self.added = [x["content"] for x in whole["added_tokens"]]
+        self.added = [x["content"].encode().lower() for x in whole["added_tokens"]]
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = WhitespaceSplit()
         vocab, end = whole["model"]["vocab"], whole["model"]["end_of_word_suffix"]
@@ -144,9 +144,10 @@ class ChunkEncoder:
         cache.update({c: cache[x] + cache[c[len(x) :]] for c, x in joint.items()})
 
     def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
-        special = [k for k, t in enumerate(texts) if t and any(x in t for x in self.added)]
+        lower = [t.encode().lower() if t else b"" for t in texts]
+        special = [k for k, t in enumerate(lower) if any(x in t for x in self.added)]
         whole = dict(zip(special, self._whole([texts[k] for k in special]), strict=True))
-        chunks = [t.encode().lower().replace(b"\n", b" ").split(b" ") if t and k not in whole else [] for k, t in enumerate(texts)]
+        chunks = [t.replace(b"\n", b" ").split(b" ") if t and k not in whole else [] for k, t in enumerate(lower)]
         if len(self.cache) > CACHE_CHUNKS:
             short = {c: ids for c, ids in self.cache.items() if len(c) <= KEPT_BYTES}
             self.cache = short if len(short) < CACHE_CHUNKS // 2 else {b"": b""}

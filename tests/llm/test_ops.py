@@ -238,12 +238,6 @@ def test_decontamination_finds_moved_passages(spark, docs, nothing):
     assert decontaminate.contamination(nothing, benchmark).count() == decontaminate.contamination(docs, benchmark.limit(0)).count() == 0
 
 
-def test_tiles_do_not_overlap():
-    text, item = np.array([1, 2, 3, 4, 5, 6, 1, 2, 3, 4, 5]), np.array([1, 2, 3, 4, 5, 6])
-    seeds = [(p, i) for p in range(7) for i in range(2) if (text[p : p + 5] == item[i : i + 5]).all()]
-    assert decontaminate.tiles(text, item, seeds) == [(0, 0, 6)]
-
-
 # --- 8
 
 

@@ -156,7 +156,7 @@ def lines_by_brute_force(rows, least):
             n = 0
             while j + n < len(places) and places[i + n][2] == places[j + n][2] and places[i + n][0] == places[i][0] and places[j + n][0] == places[j][0]:
                 n += 1
-            if sum(places[j + k][2].count(" ") + 1 for k in range(n)) >= least:
+            if sum(1 + len(places[j + k][2].replace(" ", "")) // 5 for k in range(n)) >= least:
                 gone.update((places[j + k][0], places[j + k][1]) for k in range(n))
     return {r: [line for p, line in enumerate(r[2].split("\n")) if (r, p) not in gone] for r in order}
 
@@ -164,11 +164,13 @@ def lines_by_brute_force(rows, least):
 def test_line_dedup(spark, nothing):
     a, b, c = "first line of seven words is here", "second", "third one"
     rows = [(1, f"{a}\n{b}\n{c}"), (2, f"x y\n{a}\n{b}\nz"), (3, f"{b}\n{c}\n{a}"), (4, None), (5, ""), (6, ""), (None, a), (7, "\n".join([a, b] * 4)), (7, "\n".join([a, b] * 4)), (8, f"{b}\n{b}\n{b}")]
-    docs = spark.createDataFrame([(x, t, 1) for x, t in rows], "doc_id long, text string, n_removed int")
-    for least in (1, 3, 8):
+    extra = {c: F.lit(c) for c in ("id", "copy", "pos", "name", "n", "first")}
+    docs = spark.createDataFrame([(x, t, 1) for x, t in rows], "doc_id long, text string, n_removed int").withColumns(extra)
+    for least in (1, 5, 12):
         want = lines_by_brute_force(rows, least)
         got = line_dedup.line_dedup(docs, least)
-        assert got.columns == ["doc_id", "text", "n_lines", "n_removed"]
+        assert got.columns == ["doc_id", "text", *extra, "n_lines", "n_removed"]
+        assert all(r.id == "id" and r.copy == "copy" for r in got.collect())
         assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter((x, None if t is None else "\n".join(want[x is not None, x or 0, t or ""])) for x, t in rows)
     assert line_dedup.line_dedup(nothing).count() == 0
 
@@ -321,7 +323,7 @@ def test_pipeline_stages(spark):
     known = pipeline.known_language(spark, docs, sf_dir)
     assert known.columns == docs.columns and known.count() > 0.95 * docs.count()
     texts = {r.doc_id: r.text for r in docs.collect()}
-    want = lines_by_brute_force(list(texts.items()), 10)
+    want = lines_by_brute_force(list(texts.items()), 5)
     cut = {r.doc_id: r.text for r in pipeline.without_repeated_lines(spark, docs, sf_dir).collect()}
     assert cut == {x: "\n".join(k) for (_, x, _), k in want.items() if k}
     benchmark = [tokens(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]

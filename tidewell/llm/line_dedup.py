@@ -4,7 +4,8 @@ Line ids are hashes of whole lines. Only lines that occur twice or more can be i
 only they go on. Prefix doubling names the runs of 1, 2, 4, ... lines that start at each of them: the
 name of 2m lines is made from the names of m lines here and m lines further on, in one window over the
 document. Two runs of m lines are equal if their names are, so a class of equal names is an interval of
-the line suffix array with a common prefix of m lines. A run counts if it has ``min_words`` words.
+the line suffix array with a common prefix of m lines. A run counts if its lines weigh ``min_weight``; a
+line weighs one, and one more for every five characters that are not blank.
 Every line of a counted run is in a counted run that is minimal at its end or at its start, so only
 those intervals are looked up: one aggregation finds the first place of each, and what starts later is
 deleted, which is what the maximal runs would delete.
@@ -12,35 +13,49 @@ deleted, which is what the maximal runs would delete.
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm._shared import written
 
+#: Characters that weigh as much as a line does.
+LETTERS = 5
+#: A key with more than this share of all rows is hot: at most so many keys, whose table is broadcast.
+HOT = 1 / 1000
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("copy"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    words = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
-    return rows.select("id", "copy", "pos", F.xxhash64("line").alias("name"), words.alias("words"))
+    weight = 1 + F.floor(F.length(F.replace("line", F.lit(" "))) / LETTERS)
+    return rows.select("id", "copy", "pos", F.xxhash64("line").alias("name"), weight.cast("int").alias("weight"))
+
+
+def _met(rows: DataFrame, table: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """Inner join of rows with a table of distinct keys, whose column ``n`` counts the rows of each key.
+
+    Rows with a hot key meet it where they are; only the others are dealt out by key.
+    """
+    total = rows.agg(F.count("*")).first()[0]
+    hot = table.where(F.col(n) > total * HOT)
+    apart = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(n) <= total * HOT), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(apart)
 
 
-def repeated_runs(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_runs(docs: DataFrame, min_weight: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Later copies of minimal counted runs: ``id, copy, pos, n_lines``."""
     lines = written(_lines(docs, id_col, text_col), "lines")
-    again = lines.groupBy("name").count().where("count > 1").select("name")
-    rows = lines.join(again, "name").dropDuplicates(["id", "copy", "pos"])
+    again = written(lines.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"), "again")
+    rows = _met(lines, again, ["name"], "n").drop("n").dropDuplicates(["id", "copy", "pos"])
 
     doc = Window.partitionBy("id", "copy").orderBy("pos")
     rows = rows.withColumn("island", F.col("pos") - F.row_number().over(doc))
     run = Window.partitionBy("id", "copy", "island").orderBy("pos")
-    rows = rows.withColumn("sum", F.sum("words").over(run)).withColumn("total", F.sum("words").over(Window.partitionBy("id", "copy", "island")))
-    rows = rows.where(F.col("total") >= min_words).withColumn("before", F.col("sum") - F.col("words"))
+    rows = rows.withColumn("sum", F.sum("weight").over(run)).withColumn("total", F.sum("weight").over(Window.partitionBy("id", "copy", "island")))
+    rows = rows.where(F.col("total") >= min_weight).withColumn("before", F.col("sum") - F.col("weight"))
 
     rows, levels = rows.withColumnRenamed("name", "name_0"), 0
-    while 2 << levels <= min_words:
+    while 2 << levels <= min_weight:
         further = F.lead(f"name_{levels}", 1 << levels).over(run)
         rows = rows.withColumn(f"name_{levels + 1}", F.when(further.isNotNull(), F.xxhash64(f"name_{levels}", further)))
         levels += 1
@@ -50,32 +65,32 @@ def repeated_runs(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id",
         level = m.bit_length() - 1
         last = (lambda c: c) if m == 1 else (lambda c: F.lead(c, m - 1).over(run))
         name = F.col(f"name_{level}") if m == 1 << level else F.xxhash64(f"name_{level}", F.lead(f"name_{level}", m - (1 << level)).over(run))
-        held = last("sum") - F.col("before") if m > 1 else F.col("words")
-        shorter = F.least(held - (last("words") if m > 1 else F.col("words")), held - F.col("words"))
-        return F.when((held >= min_words) & (shorter < min_words), F.struct(F.lit(m).alias("n_lines"), name.alias("name")))
+        held = last("sum") - F.col("before") if m > 1 else F.col("weight")
+        shorter = F.least(held - (last("weight") if m > 1 else F.col("weight")), held - F.col("weight"))
+        return F.when((held >= min_weight) & (shorter < min_weight), F.struct(F.lit(m).alias("n_lines"), name.alias("name")))
 
-    rows = rows.select("id", "copy", "pos", F.array_compact(F.array(*map(of, range(1, min_words + 1)))).alias("runs"))
+    rows = rows.select("id", "copy", "pos", F.array_compact(F.array(*map(of, range(1, min_weight + 1)))).alias("runs"))
     runs = rows.select("id", "copy", "pos", F.explode("runs").alias("run")).select("id", "copy", "pos", "run.*")
     runs = written(runs, "runs")
-    first = runs.groupBy("n_lines", "name").agg(F.min(F.struct("id", "copy", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return runs.join(first, ["n_lines", "name"]).where(F.struct("id", "copy", "pos") > F.col("first")).select("id", "copy", "pos", "n_lines")
+    first = written(runs.groupBy("n_lines", "name").agg(F.min(F.struct("id", "copy", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
+    return _met(runs, first, ["n_lines", "name"], "n").where(F.struct("id", "copy", "pos") > F.col("first")).select("id", "copy", "pos", "n_lines")
 
 
-def line_dedup(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, min_weight: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row with later copies of repeated line runs taken out of its text.
 
     Returns the input's columns with the new text, and ``n_lines int, n_removed int``. Lines are what
-    ``\\n`` separates; a line has one word more than it has blanks. A line goes if a run of at least
-    ``min_words`` words around it also starts earlier (smaller id, null ids first, then smaller text
-    hash, then earlier line); runs are judged on the input. Null texts stay null; the empty text is one
+    ``\\n`` separates. A line goes if a run around it that weighs at least ``min_weight`` (by default a line
+    of 20 characters, or five lines) also starts earlier: smaller id, null ids first, then smaller text
+    hash, then earlier line; runs are judged on the input. Null texts stay null; the empty text is one
     line. Rows that repeat id and text are one document and come back alike. Columns named ``n_lines``
-    or ``n_removed`` are replaced.
+    or ``n_removed`` are replaced, all others stay, whatever their names.
     """
-    removed = repeated_runs(docs, min_words, id_col, text_col).select("id", "copy", F.explode(F.sequence("pos", F.expr("pos + n_lines - 1"))).alias("pos"))
-    removed = removed.groupBy("id", "copy").agg(F.collect_set("pos").alias("__removed"))
+    removed = repeated_runs(docs, min_weight, id_col, text_col).select(F.col("id").alias("__id"), F.col("copy").alias("__copy_of"), F.explode(F.sequence("pos", F.expr("pos + n_lines - 1"))).alias("pos"))
+    removed = removed.groupBy("__id", "__copy_of").agg(F.collect_set("pos").alias("__removed"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.drop("n_lines", "n_removed").withColumn("__copy", F.xxhash64(text))
-    joined = own.join(removed, own[id_col].eqNullSafe(removed["id"]) & (F.col("__copy") == removed["copy"]), "left").drop("id", "copy", "__copy")
+    joined = own.join(removed, own[id_col].eqNullSafe(removed["__id"]) & (F.col("__copy") == removed["__copy_of"]), "left").drop("__id", "__copy", "__copy_of")
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed"))
     new = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: lines[i]), "\n"))
@@ -83,18 +98,18 @@ def line_dedup(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id", tex
     return counted.withColumn(text_col, new).drop("__removed")
 
 
-def line_dedup_sql(min_words: int = 10) -> str:
+def line_dedup_sql(min_weight: int = 5) -> str:
     """DuckDB: all pairs of equal lines, joined up along diagonals; a diagonal's runs are the common runs."""
     return f"""
 WITH l AS (
   SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)
 ), d AS (
-  SELECT b.doc_id, b.pos, length(b.line) - length(replace(b.line, ' ', '')) + 1 AS words, a.doc_id AS other, b.pos - a.pos AS diagonal
+  SELECT b.doc_id, b.pos, 1 + length(replace(b.line, ' ', '')) // {LETTERS} AS weight, a.doc_id AS other, b.pos - a.pos AS diagonal
   FROM l a JOIN l b ON a.line = b.line AND (a.doc_id, a.pos) < (b.doc_id, b.pos)
 ), g AS (
   SELECT *, pos - row_number() OVER (PARTITION BY doc_id, other, diagonal ORDER BY pos) AS island FROM d
 ), r AS (
-  SELECT doc_id, pos FROM (SELECT doc_id, pos, sum(words) OVER (PARTITION BY doc_id, other, diagonal, island) AS total FROM g) WHERE total >= {min_words} GROUP BY ALL
+  SELECT doc_id, pos FROM (SELECT doc_id, pos, sum(weight) OVER (PARTITION BY doc_id, other, diagonal, island) AS total FROM g) WHERE total >= {min_weight} GROUP BY ALL
 ), k AS (
   SELECT l.doc_id, count(*) AS n_lines, count(r.pos) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE r.pos IS NULL), '') AS text
   FROM l LEFT JOIN r USING (doc_id, pos) GROUP BY l.doc_id
@@ -103,4 +118,5 @@ SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS
 
 
 def line_digest(deduped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Id, line counts and the hash of each text that :func:`line_dedup` left; a null text counts as empty."""
     return deduped.select(id_col, F.col("n_lines").cast("bigint"), F.col("n_removed").cast("bigint"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("kept_sha256"))

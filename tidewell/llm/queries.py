@@ -38,7 +38,7 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, shards = table(spark, sf_dir, "documents"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     encoded = encode_ids(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, bounds=shard_bounds(docs, shards))
     write_blocks(encoded, path, shards)
-    return read_blocks(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_blocks(spark, path, ids=False)
 
 
 def op4_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,10 +29,10 @@ from tidewell.llm._text import slices
 #: Ids in a block at most, if a single document has no more.
 BLOCK_IDS = 1 << 21
 #: Chunks between blanks in a worker's cache; beyond, it keeps only the short ones, which come again most.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 400_000
 KEPT_BYTES = 9
 #: Bytes of text whose chunks are made distinct together.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 1 << 20
 SAMPLE = 64
 
 BLOCKS = "shard int, block int, base bigint, n_docs int, n_tokens bigint, width int, doc_ids array<bigint>, ids binary, low_bits int, low binary, high binary, samples binary"
@@ -225,8 +225,8 @@ def write_blocks(encoded: DataFrame, path: str, shards: int, width: int = 2) ->
     placed.mapInArrow(run, BLOCKS).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-def read_blocks(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
-    """One row a document from the files: ``id_col, start, n_tokens, ids binary (32-bit), ids_crc32``.
+def read_blocks(spark: SparkSession, path: str, id_col: str = "doc_id", ids: bool = True) -> DataFrame:
+    """One row a document from the files: ``id_col, start, n_tokens, ids binary (32-bit), ids_crc32``; without ``ids`` if so asked.
 
     Only shard totals are added up across shards: as many rows as there are shards. A null id comes back
     null, a repeated one once for each row that was written, a folder without blocks as no rows.
@@ -237,16 +237,24 @@ def read_blocks(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
                 ends = Boundaries(row["n_docs"], row["low_bits"], row["low"], row["high"], row["samples"])
-                out, first, wide = [], 0, np.frombuffer(row["ids"], {2: "<u2", 4: "<u4"}[row["width"]])
-                for k, x in enumerate(row["doc_ids"]):
+                starts, sizes, sums, held, first = [], [], [], [], 0
+                data = np.frombuffer(row["ids"], {2: "<u2", 4: "<u4"}[row["width"]])
+                for k in range(row["n_docs"]):
                     last = ends.select(k)
-                    ids = wide[first:last].astype("<u4").tobytes()
-                    out.append((x, row["shard_start"] + row["base"] + first, last - first, ids, zlib.crc32(ids)))
+                    own = data[first:last].astype("<u4").tobytes()
+                    starts.append(row["shard_start"] + row["base"] + first)
+                    sizes.append(last - first)
+                    sums.append(zlib.crc32(own))
+                    if ids:
+                        held.append(own)
                     first = last
-                kinds = [batch.schema.field("doc_ids").type.value_type, pa.int64(), pa.int64(), pa.binary(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "start", "n_tokens", "ids", "ids_crc32"])
+                columns = [batch.column("doc_ids")[at].values, *(pa.array(x, pa.int64()) for x in (starts, sizes, sums))]
+                columns += [pa.array(held, pa.binary())] if ids else []
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    rows = blocks.join(F.broadcast(starts), "shard").mapInArrow(run, "id bigint, start bigint, n_tokens bigint, ids binary, ids_crc32 bigint")
+    names = ["id", "start", "n_tokens", "ids_crc32", *["ids"] * ids]
+    rows = blocks.join(F.broadcast(starts), "shard").mapInArrow(run, "id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * ids)
     return rows.withColumnRenamed("id", id_col)

@@ -98,6 +98,15 @@ def row_mean(columns: list[str]) -> Column:
     return F.when(n > 0, total / n)
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson's r as an aggregate over pairs without nulls; null where either side is constant or nothing is left."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    ok = x.isNotNull() & y.isNotNull()
+    x, y = F.when(ok, x.cast("double")), F.when(ok, y.cast("double"))
+    constant = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
+    return F.when(~constant, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+
 def slope_of(x: Column, y: Column, eps: float = 0.0) -> Column:
     """Least-squares slope as an aggregate over pairs without nulls; null if the denominator is 0."""
     ok = x.isNotNull() & y.isNotNull()

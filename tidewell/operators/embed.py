@@ -17,9 +17,11 @@ def domain_index(points: DataFrame, by: str = "dataset") -> DataFrame:
         keys = points.select("ds_key").distinct().withColumn("domain", F.row_number().over(Window.orderBy("ds_key")) - 1)
         return points.join(F.broadcast(keys), "ds_key")
     people = points.select("ds_key", "pid").distinct().withColumn("r", F.row_number().over(Window.partitionBy("ds_key").orderBy("pid")))
-    turn = people.groupBy("r").agg(F.count("*").alias("n"))
-    before = turn.withColumn("before", F.sum("n").over(Window.orderBy("r")) - F.col("n")).select("r", "before")
-    placed = people.join(F.broadcast(before), "r").withColumn("domain", F.col("before") + F.row_number().over(Window.partitionBy("r").orderBy("ds_key", "pid")) - 1)
+    # a person's number follows from the sizes of the data sets, which are few: all before this turn, and
+    # the data sets before this one that reach this turn
+    sizes = people.groupBy("ds_key").agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("ds_key", "n")).alias("sizes"))
+    earlier = F.aggregate("sizes", F.lit(0).cast("bigint"), lambda s, d: s + F.least(d["n"], F.col("r") - 1) + ((d["ds_key"] < F.col("ds_key")) & (d["n"] >= F.col("r"))).cast("int"))
+    placed = people.crossJoin(F.broadcast(sizes)).withColumn("domain", earlier)
     return points.join(placed.select("ds_key", "pid", "domain"), ["ds_key", "pid"])
 
 

@@ -98,6 +98,11 @@ def shared(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.intersect(b), tables)
 
 
+def only_in(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows of one table that the other lacks."""
+    return a.subtract(b)
+
+
 def in_all_groups(rows: DataFrame, item: str, group: str) -> DataFrame:
     """Items found in every group."""
     total = rows.agg(F.countDistinct(group).alias("total"))

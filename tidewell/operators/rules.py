@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,13 +26,19 @@ def mine_rules(days: DataFrame, min_supp: float = 0.5, min_conf: float = 0.7) ->
     return FPGrowth(itemsCol="items", minSupport=min_supp, minConfidence=min_conf).fit(days).associationRules
 
 
-def pair_rules(days: DataFrame, min_supp: float, min_conf: float) -> DataFrame:
-    """Rules of two single items, from counts alone."""
-    total = days.agg(F.count("*").alias("total"))
-    one = days.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
-    pairs = days.select(F.explode("items").alias("x"), "items").select("x", F.explode("items").alias("z")).where("x <> z").groupBy("x", "z").agg(F.count("*").alias("both"))
-    joined = pairs.join(one.select(F.col("item").alias("x"), F.col("n").alias("nx")), "x").join(one.select(F.col("item").alias("z"), F.col("n").alias("nz")), "z").crossJoin(F.broadcast(total))
-    made = joined.select("x", "z", (F.col("both") / F.col("total")).alias("support"), (F.col("both") / F.col("nx")).alias("confidence"), (F.col("both") * F.col("total") / (F.col("nx") * F.col("nz"))).alias("lift"))
+def pair_rules(days: DataFrame, min_supp: float, min_conf: float, group: str | None = None) -> DataFrame:
+    """Rules of two single items, from counts alone; with ``group`` those of each group, in one pass."""
+    by = [group] if group else []
+    # a basket also counts as a pair of each item with itself, and of nothing with nothing
+    none = F.array(F.struct(F.lit(-1).alias("x"), F.lit(-1).alias("z")))
+    pairs = F.flatten(F.transform("items", lambda x: F.transform("items", lambda z: F.struct(x.alias("x"), z.alias("z")))))
+    counts = days.select(*by, F.explode(F.concat(none, pairs)).alias("p")).groupBy(*by, "p.x", "p.z").agg(F.count("*").alias("both"))
+    # kinds of items are few: their counts go to every task that has pairs
+    one = counts.where("x = z AND x >= 0")
+    total = counts.where("x < 0").select(*by, F.col("both").alias("total"))
+    joined = counts.where("x <> z").join(one.select(*by, "x", F.col("both").alias("nx")), [*by, "x"]).join(one.select(*by, "z", F.col("both").alias("nz")), [*by, "z"])
+    joined = joined.join(F.broadcast(total), by) if by else joined.crossJoin(F.broadcast(total))
+    made = joined.select(*by, "x", "z", (F.col("both") / F.col("total")).alias("support"), (F.col("both") / F.col("nx")).alias("confidence"), (F.col("both") * F.col("total") / (F.col("nx") * F.col("nz"))).alias("lift"))
     return made.where((F.col("support") >= min_supp) & (F.col("confidence") >= min_conf))
 
 
@@ -44,23 +50,34 @@ def contrast_rules(pos: DataFrame, neg: DataFrame, on: tuple[str, str] = ("antec
     return both.withColumns({f"{c}_diff": F.col(f"{c}_pos") - F.col(f"{c}_neg") for c in names})
 
 
+def two_sided() -> Column:
+    """Whether both groups have the rule."""
+    return (F.col("confidence_pos") > 0) & (F.col("confidence_neg") > 0)
+
+
 def passing_rules(rules: DataFrame, supp: float, conf: float) -> DataFrame:
-    """Rules that reach the least support and confidence in either group, less the median difference."""
-    middle = rules.agg(F.percentile(F.abs("support_diff"), 0.5).alias("ms"), F.percentile(F.abs("confidence_diff"), 0.5).alias("mc"))
-    ok = lambda g: (F.col(f"support_{g}") >= supp - F.col("ms")) & (F.col(f"confidence_{g}") >= conf - F.col("mc"))
+    """Rules that in either group reach the least support and confidence, each raised by its median absolute
+    difference over the rules that both groups have (by nothing if there is none)."""
+    middle = rules.where(two_sided()).agg(*(F.coalesce(F.percentile(F.abs(f"{c}_diff"), 0.5), F.lit(0.0)).alias(m) for c, m in (("support", "ms"), ("confidence", "mc"))))
+    ok = lambda g: (F.col(f"support_{g}") >= supp + F.col("ms")) & (F.col(f"confidence_{g}") >= conf + F.col("mc"))
     return rules.crossJoin(F.broadcast(middle)).where(ok("pos") | ok("neg")).drop("ms", "mc")
 
 
 def rule_interest(rules: DataFrame, w: tuple[float, float, float] = (1.0, 1.0, 1.0), size: str | None = None) -> DataFrame:
-    """sign(dp)sign(dc)|X|^w1|dp|^w2|dc|^w3 with p = support / confidence of the antecedent; and supp_delta.
+    """``interest``: sign(dx) sign(dc) |X|^w1 |dx|^w2 |dc|^w3, with dx the difference of the antecedent's
+    shares (support / confidence) and dc that of the confidences; and ``supp_delta``.
 
-    A group without the rule counts 0.
+    supp_delta = (2 ds + (y2 - y1)(s1 + s2)) / (y1 + y2), with y the consequent's shares (confidence /
+    lift). A group without the rule has 0 for all of them.
     """
-    p = lambda g: F.when(F.col(f"confidence_{g}") > 0, F.col(f"support_{g}") / F.col(f"confidence_{g}")).otherwise(0.0)
-    dp, dc = p("pos") - p("neg"), F.col("confidence_diff")
+    share = lambda top, low: F.coalesce(F.try_divide(F.col(top), F.col(low)), F.lit(0.0))
+    x1, x2 = (share(f"support_{g}", f"confidence_{g}") for g in ("pos", "neg"))
+    y1, y2 = (share(f"confidence_{g}", f"lift_{g}") for g in ("pos", "neg"))
+    dx, dc = x1 - x2, F.col("confidence_diff")
     n = F.size(size) if size else F.lit(1)
-    made = F.signum(dp) * F.signum(dc) * F.pow(n, F.lit(w[0])) * F.pow(F.abs(dp), F.lit(w[1])) * F.pow(F.abs(dc), F.lit(w[2]))
-    return rules.withColumn("interest", made).withColumn("supp_delta", F.abs("support_diff"))
+    made = F.signum(dx) * F.signum(dc) * F.pow(n, F.lit(w[0])) * F.pow(F.abs(dx), F.lit(w[1])) * F.pow(F.abs(dc), F.lit(w[2]))
+    delta = F.try_divide(2 * F.col("support_diff") + (y2 - y1) * (F.col("support_pos") + F.col("support_neg")), y1 + y2)
+    return rules.withColumn("interest", made).withColumn("supp_delta", delta)
 
 
 def closed_rules(rules: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -77,12 +94,13 @@ def closed_rules(rules: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def select_rules(rules: DataFrame, w: tuple[float, float, float] = (1.0, 1.0, 1.0), k: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
-    """The k best by absolute interest of the closed ones among the first 5k, by further keys."""
-    scored = rule_interest(rules, w, "antecedent")
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    order = part.orderBy(F.abs("interest").desc(), F.to_json(F.struct("antecedent", "consequent")))
-    first = scored.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= 5 * k).drop("__n")
-    closed = closed_rules(first, list(by))
+    """Of the rules that both groups have, and again of those that one has, the k of greatest (signed)
+    interest among the closed ones of the first 5k; by further keys. ``sided``: 2 or 1, ``rank`` within it."""
+    scored = rule_interest(rules, w, "antecedent").withColumn("sided", F.when(two_sided(), 2).otherwise(1))
+    keys = [*by, "sided"]
+    order = Window.partitionBy(*keys).orderBy(F.round("interest", 12).desc(), F.to_json(F.struct("antecedent", "consequent")))
+    first = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 5 * k).drop("rank")
+    closed = closed_rules(first, keys)
     return closed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

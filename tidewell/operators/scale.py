@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.scalar import clip
+from tidewell.functions.scalar import clip, correlation
 
 #: Distance of the 5 % and 95 % points of a standard normal.
 NORMAL_SPAN = 3.2897072539029444
@@ -43,11 +43,18 @@ def unit_robust(long: DataFrame, by: list[str], fit_on: DataFrame | None = None)
     return long.join(edges, keys, "left").withColumn("value", (F.col("value") - F.col("edge")[1]) / F.when(span == 0, 1.0).otherwise(span)).drop("edge")
 
 
+def unit_scale(long: DataFrame, factors: dict[str, float]) -> DataFrame:
+    """Each feature's values times its constant, as for a change of unit; 1 for features without one."""
+    table = F.create_map(*(F.lit(x) for pair in factors.items() for x in pair)) if factors else F.lit(None).cast("map<string,double>")
+    return long.withColumn("value", F.col("value") * F.coalesce(F.try_element_at(table, F.col("feature")), F.lit(1.0)))
+
+
 def impute(long: DataFrame, by: list[str], how: str = "mean") -> DataFrame:
     """Nulls become the mean (or median) within ``by`` and feature, then 0."""
     keys = [*by, "feature"]
     if how == "mean":
-        return long.withColumn("value", F.coalesce("value", F.avg("value").over(Window.partitionBy(*keys)), F.lit(0.0)))
+        means = long.groupBy(*keys).agg(F.avg("value").alias("__mean"))
+        return long.join(means, keys).withColumn("value", F.coalesce("value", "__mean", F.lit(0.0))).drop("__mean")
     middle = long.groupBy(*keys).agg(F.percentile("value", 0.5).alias("__middle"))
     return long.join(middle, keys).withColumn("value", F.coalesce("value", "__middle", F.lit(0.0))).drop("__middle")
 
@@ -89,13 +96,13 @@ def cf_impute(long: DataFrame, low: float = 1.0, high: float = 3.0) -> DataFrame
 
     Similarity is Pearson's r of the zero-filled day vectors (a constant vector gets 1e-4 on day 0); a
     null becomes clip(half-even round(sum sim * v / (sum sim + 1e-4))). Pairs are made only with
-    participants of the same feature.
+    participants of the same feature; two series without a correlation on their shared days are not alike.
     """
     filled = long.withColumn("__v", F.coalesce("value", F.lit(0.0)))
     stats = filled.groupBy("feature", "pid").agg(F.stddev_pop("__v").alias("__s"))
     filled = filled.join(stats, ["feature", "pid"]).withColumn("__v", F.when((F.col("__s") == 0) & (F.col("day") == 0), F.col("__v") + 1e-4).otherwise(F.col("__v"))).drop("__s")
     a, b = filled.select("feature", "day", F.col("pid").alias("a"), F.col("__v").alias("x")), filled.select("feature", "day", F.col("pid").alias("b"), F.col("__v").alias("y"))
-    sim = a.join(b, ["feature", "day"]).where("a <> b").groupBy("feature", "a", "b").agg(F.corr("x", "y").alias("sim"))
+    sim = a.join(b, ["feature", "day"]).where("a <> b").groupBy("feature", "a", "b").agg(F.coalesce(correlation("x", "y"), F.lit(0.0)).alias("sim"))
     missing = long.where("value is null").select("feature", "day", F.col("pid").alias("a"))
     donors = long.where("value is not null").select("feature", "day", F.col("pid").alias("b"), "value")
     guess = missing.join(donors, ["feature", "day"]).join(sim, ["feature", "a", "b"]).groupBy("feature", "day", F.col("a").alias("pid")).agg((F.sum(F.col("sim") * F.col("value")) / (F.sum("sim") + 1e-4)).alias("guess"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.scalar import correlation
+
 
 def corr_screen(long: DataFrame, by: list[str], least: float = 0.05) -> DataFrame:
-    """Features whose absolute correlation with ``y`` exceeds ``least``."""
+    """Features whose absolute correlation with ``y`` exceeds ``least``; a constant feature has none."""
     rows = long.where("value is not null AND y is not null")
-    return rows.groupBy(*by, "feature").agg(F.corr("value", "y").alias("r"), F.count("*").alias("n")).where(F.abs("r") > least)
+    return rows.groupBy(*by, "feature").agg(correlation("value", "y").alias("r"), F.count("*").alias("n")).where(F.abs("r") > least)
 
 
 def average_rank(value: str, by: list[str]) -> Column:
@@ -19,10 +21,13 @@ def average_rank(value: str, by: list[str]) -> Column:
 
 
 def spearman(long: DataFrame, by: list[str]) -> DataFrame:
-    """rho, n and a two-sided p-value (normal approximation of t, Wallace's transform) by feature."""
+    """rho, n and a two-sided p-value (normal approximation of t, Wallace's transform) by feature.
+
+    A constant feature or a single row has no rho and no p.
+    """
     keys = [*by, "feature"]
     rows = long.where("value is not null AND y is not null").withColumn("__x", average_rank("value", keys)).withColumn("__y", average_rank("y", keys))
-    made = rows.groupBy(*keys).agg(F.corr("__x", "__y").alias("rho"), F.count("*").alias("n"))
+    made = rows.groupBy(*keys).agg(correlation("__x", "__y").alias("rho"), F.count("*").alias("n"))
     df = F.col("n") - 2
     t2 = F.col("rho") * F.col("rho") * df / (1 - F.col("rho") * F.col("rho"))
     z = (8 * df + 1) / (8 * df + 3) * F.sqrt(df * F.log1p(t2 / df))
@@ -40,10 +45,12 @@ def significant(rows: DataFrame, level: float = 0.05) -> DataFrame:
     return rows.where(F.col("p") <= level)
 
 
-def sign_consistency(rho: DataFrame) -> DataFrame:
-    """Mean rho over data sets and whether all have the same sign, by feature."""
+def sign_consistency(rho: DataFrame, pooled: DataFrame | None = None) -> DataFrame:
+    """Mean rho over data sets and whether all have the same sign, by feature; with ``pooled`` (feature, rho
+    of all data sets' rows together) its rho as ``pooled_rho``."""
     s = F.signum("rho")
-    return rho.groupBy("feature").agg(F.avg("rho").alias("mean_rho"), (F.min(s) == F.max(s)).alias("same_sign"), F.count("*").alias("n_sets"))
+    found = rho.groupBy("feature").agg(F.avg("rho").alias("mean_rho"), (F.min(s) == F.max(s)).alias("same_sign"), F.count("*").alias("n_sets"))
+    return found if pooled is None else found.join(pooled.select("feature", F.col("rho").alias("pooled_rho")), "feature", "left")
 
 
 def sign_flip(pre: DataFrame, post: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tidewell.functions.scalar import is_weekday, slope_of
 
 KEY = ["pid", "label_date", "feature"]
-#: A fit with less than this is float noise.
-NO_RESIDUE = 1e-9
+#: A fit that leaves less than this share of the squares is exact but for float noise.
+NO_RESIDUE = 1e-10
 
 
 def week_means(window: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def slope(window: DataFrame, eps: float = 0.0) -> DataFrame:
 def breakpoint_slopes(weeks: DataFrame) -> DataFrame:
     """Best bend of y ~ 1 + x + (x - b)+ over the weeks b, by n ln(rss/n) + 3 ln n with rss the residual norm.
 
-    Exact fits (rss < 1e-9) are rejected, ties go to the earlier week. Returns the bend and the slopes of
+    Exact fits (NO_RESIDUE) are rejected, ties go to the earlier week. Returns the bend and the slopes of
     the weeks up to it and from it on; a part has at most a handful of weeks, so all pairs of weeks of a
     part are few.
     """
@@ -61,8 +61,8 @@ def breakpoint_slopes(weeks: DataFrame) -> DataFrame:
     det = F.col("xx") * F.col("hh") - F.col("xh") * F.col("xh")
     both = (F.col("xy") * F.col("xy") * F.col("hh") - 2 * F.col("xy") * F.col("hy") * F.col("xh") + F.col("hy") * F.col("hy") * F.col("xx")) / det
     explained = F.when(F.abs(det) > 1e-9, both).when(F.col("xx") > 0, F.col("xy") * F.col("xy") / F.col("xx")).otherwise(0.0)
-    rss = F.sqrt(F.greatest(F.col("yy") - explained, F.lit(0.0)))
-    scored = sums.withColumn("rss", F.round(rss, 9)).where(F.col("rss") >= NO_RESIDUE).withColumn("score", F.round(F.col("n") * F.log(F.col("rss") / F.col("n")) + 3 * F.log("n"), 9))
+    left = sums.withColumn("left", F.col("yy") - explained).where(F.col("left") > NO_RESIDUE * F.col("yy"))
+    scored = left.withColumn("score", F.round(F.col("n") * F.log(F.sqrt("left") / F.col("n")) + 3 * F.log("n"), 6))
     best = scored.groupBy(*key).agg(F.min_by("b", F.struct("score", "b")).alias("bend"))
     x = F.col("x")
     joined = known.join(best, key)

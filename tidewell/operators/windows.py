@@ -96,11 +96,17 @@ def day_index(rows: DataFrame) -> DataFrame:
     return rows.withColumn("day_index", F.row_number().over(Window.partitionBy("pid").orderBy("date")) - 1)
 
 
-def window_tensor(window: DataFrame, features: list[str], fill: float = 0.0) -> DataFrame:
-    """``x array<array<double>>`` by label, time by feature, in order of date; nulls are ``fill``."""
+def window_tensor(window: DataFrame, features: list[str], fill: float = 0.0, days: int = 28) -> DataFrame:
+    """``x array<array<double>>`` by label: exactly ``days`` days that end with the label's, by feature.
+
+    Nulls and days without rows are ``fill``. A label without any row has no tensor.
+    """
     wide = window.groupBy(*POINT, "date").pivot("feature", features).agg(F.first("value"))
-    row = F.struct("date", F.array(*(F.coalesce(F.col(f"`{f}`"), F.lit(fill)) for f in features)).alias("x"))
-    return wide.groupBy(*POINT).agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["x"]).alias("x"))
+    number = (days - 1 - F.datediff("label_date", "date")).cast("int")
+    row = F.struct(number.alias("k"), F.array(*(F.coalesce(F.col(f"`{f}`"), F.lit(fill)) for f in features)).alias("x"))
+    held = wide.where((number >= 0) & (number < days)).groupBy(*POINT).agg(F.map_from_entries(F.collect_list(row)).alias("held"))
+    empty = F.array(*(F.lit(fill) for _ in features))
+    return held.select(*POINT, F.transform(F.sequence(F.lit(0), F.lit(days - 1)), lambda k: F.coalesce(F.try_element_at("held", k), empty)).alias("x"))
 
 
 def select_features(tensor: Column, places: list[int]) -> Column:

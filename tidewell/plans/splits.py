@@ -44,12 +44,17 @@ def fold_count(rows: DataFrame, label: str, group: str, k: int = 5) -> int:
     return min(k, least_groups(rows, label, group).first()["least"] or k)
 
 
-def check_folds(rows: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Folds whose training part (all other folds) has a single class, by further keys if given."""
+def fold_classes(rows: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``fold, by, train_rows, train_positives, one_class`` of each fold's training part: all other folds."""
     folds = rows.groupBy("fold", *by).agg(F.sum(F.col(label).cast("int")).alias("p"), F.count("*").alias("n"))
     all_ = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     other_p, other_n = F.sum("p").over(all_) - F.col("p"), F.sum("n").over(all_) - F.col("n")
-    return folds.withColumn("one_class", (other_p == 0) | (other_p == other_n)).where("one_class").select("fold", *by)
+    return folds.select("fold", *by, other_n.alias("train_rows"), other_p.alias("train_positives"), ((other_p == 0) | (other_p == other_n)).alias("one_class"))
+
+
+def check_folds(rows: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Folds whose training part has a single class, by further keys if given."""
+    return fold_classes(rows, label, by).where("one_class").select("fold", *by)
 
 
 def folds_with_both_classes(rows: DataFrame, group: str, label: str, k: int = 5, seed: int = 0, tries: int = 20) -> DataFrame:

@@ -92,7 +92,7 @@ def _grid(s: SparkSession, d: str) -> DataFrame:
 
 def _labelled(s: SparkSession, d: str) -> DataFrame:
     """Means of the last 14 days by label and feature, with y and data set: the matrix of most models."""
-    stats = windows.window_stats(views.windows(s, d), 14, ("mean",)).withColumnRenamed("mean", "value")
+    stats = windows.window_stats(views.windows(s, d, 14), 14, ("mean",)).withColumnRenamed("mean", "value")
     return stats.join(views.points(s, d), ["pid", "label_date"])
 
 
@@ -188,6 +188,62 @@ def _(s, d):
     return io.read_csv(s, path, "c_custkey bigint, c_mktsegment string, c_acctbal double")
 
 
+def _study_files(s: SparkSession, d: str) -> str:
+    """Surveys, participants and participant lists in the layout of the published data, made from the tables."""
+    root = _scratch(s, "study")
+    c, o = views.table(s, d, "customer"), views.table(s, d, "orders")
+    for year in (1, 2):
+        own = c.where(F.col("c_custkey") % 2 == year - 1)
+        own.select(F.col("c_custkey").alias("pid"), F.when(F.col("c_custkey") % 3 == 0, "android;ios").otherwise("ios").alias("platform")).write.csv(f"{root}/C_{year}/ParticipantsInfoData/platform.csv", header=True)
+        answers = o.join(own, o["o_custkey"] == own["c_custkey"]).select(F.col("o_custkey").alias("pid"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_totalprice").alias(f"price.{year}"), F.col("o_orderkey").alias("score_EMA"))
+        answers.write.csv(f"{root}/C_{year}/SurveyData/ema.csv", header=True)
+    lists = c.groupBy("c_mktsegment", "c_nationkey").agg(F.sort_array(F.collect_list(F.col("c_custkey").cast("string"))).alias("pids"))
+    nested = lists.groupBy("c_mktsegment").agg(F.map_from_entries(F.collect_list(F.struct(F.col("c_nationkey").cast("string"), F.create_map(F.lit("all"), "pids")))).alias("m"))
+    nested.select("c_mktsegment", F.to_json(F.create_map("c_mktsegment", "m")).alias("value")).write.partitionBy("c_mktsegment").text(f"{root}/pids")  # a file a target
+    return root
+
+
+@query("scan_surveys", "s:pid d:date s:ds_key r:p1 r:p2 r:score", """
+SELECT o_custkey || '#C_' || y AS pid, CAST(o_orderdate AS DATE) AS date, 'C_' || y AS ds_key, CASE WHEN y = 1 THEN o_totalprice END AS p1, CASE WHEN y = 2 THEN o_totalprice END AS p2, o_orderkey AS score FROM (SELECT *, o_custkey % 2 + 1 AS y FROM orders)""")
+def _(s, d):
+    """CSV scan with dotted names, qualified ids, and a union of years whose columns differ."""
+    folders = io.dataset_registry(_study_files(s, d), ["C_1", "C_2"])
+    both = io.union_years([io.scan_csv(s, f"{folders[k]['surveys']}/ema.csv", k) for k in folders])
+    return both.select("pid", "date", "ds_key", F.col("`price.1`").alias("p1"), F.col("`price.2`").alias("p2"), F.col("score_EMA").alias("score"))
+
+
+@query("scan_participants", "s:pid s:device s:ds_key", "SELECT c_custkey || '#C_' || (c_custkey % 2 + 1) AS pid, CASE WHEN c_custkey % 3 = 0 THEN 'android' ELSE 'ios' END AS device, 'C_' || (c_custkey % 2 + 1) AS ds_key FROM customer")
+def _(s, d):
+    folders = io.dataset_registry(_study_files(s, d), ["C_1", "C_2"])
+    return io.union_years([io.scan_participants(s, f"{folders[k]['participants']}/platform.csv", k) for k in folders])
+
+
+@query("survey_labels", "s:pid d:date r:score b:y", "SELECT o_custkey || '#C_1' AS pid, CAST(o_orderdate AS DATE) AS date, max(o_orderkey) AS score, max(o_orderkey) >= 20000 AS y FROM orders WHERE o_custkey % 2 = 0 GROUP BY ALL")
+def _(s, d):
+    """A target looked up in the surveys, one answer a day, binarised."""
+    ema = io.scan_csv(s, f"{_study_files(s, d)}/C_1/SurveyData/ema.csv", "C_1")
+    # the order of rows in a file that Spark wrote is arbitrary: order keys stand for it
+    return io.survey_labels({"ema": ema.withColumn("file_pos", F.col("score_EMA")), "pre": ema.limit(0)}, "score_EMA", (10000.0, 20000.0))
+
+
+@query("pid_lists", "s:pred_target s:ds_key s:fold s:pid", """
+SELECT t AS pred_target, CAST(c_nationkey AS VARCHAR) AS ds_key, 'all' AS fold, CAST(c_custkey AS VARCHAR) AS pid FROM customer, LATERAL (SELECT unnest(CASE WHEN c_mktsegment = 'BUILDING' THEN ['BUILDING', 'HOUSES'] ELSE [c_mktsegment] END) AS t)""")
+def _(s, d):
+    return io.read_pid_lists(s, f"{_study_files(s, d)}/pids", {"HOUSES": "BUILDING"})
+
+
+@query("unit_scale", "i:pid d:date s:feature r:value", "SELECT pid, date, feature, value * CASE WHEN feature LIKE '%:sum:%' THEN 0.001 WHEN feature = 'f_click:n:allday' THEN 60 ELSE 1 END AS value FROM daily")
+def _(s, d):
+    factors = {"f_click:n:allday": 60.0, **{f"f_{k}:sum:allday": 0.001 for k in ("click", "error", "purchase", "signup", "view")}}
+    return scale.unit_scale(views.daily(s, d), factors)
+
+
+@query("days_only_in", "i:pid d:date", "SELECT pid, date FROM ev WHERE kind = 'click' EXCEPT SELECT pid, date FROM ev WHERE kind = 'purchase'")
+def _(s, d):
+    e = views.events(s, d).withColumn("date", F.to_date("ts"))
+    return quality.only_in(*(e.where(F.col("kind") == k).select("pid", "date") for k in ("click", "purchase")))
+
+
 @query("fill_sentinel", "s:feature r:total", "SELECT feature, sum(coalesce(value, -10240)) AS total FROM grid GROUP BY feature")
 def _(s, d):
     return scalar.fill_sentinel(_grid(s, d), ["value"]).groupBy("feature").agg(F.sum("value").alias("total"))
@@ -236,20 +292,20 @@ def _(s, d):
 @query("stats14", "i:pid d:label_date s:feature r:mean r:sum r:std r:min r:max r:last", """
 SELECT pid, label_date, feature, avg(value) AS mean, sum(value) AS sum, stddev_samp(value) AS std, min(value) AS min, max(value) AS max, max(value) FILTER (WHERE date = label_date) AS last FROM win WHERE date > label_date - 14 GROUP BY ALL""")
 def _(s, d):
-    return windows.window_stats(views.windows(s, d), 14, ("mean", "sum", "std", "min", "max", "last"))
+    return windows.window_stats(views.windows(s, d, 14), 14, ("mean", "sum", "std", "min", "max", "last"))
 
 
 @query("mad14", "i:pid d:label_date s:feature r:median r:mad r:mean", """
 SELECT pid, label_date, feature, quantile_cont(value, 0.5) AS median, avg(abs(value - m)) AS mad, avg(value) AS mean FROM (SELECT *, avg(value) OVER (PARTITION BY pid, label_date, feature) AS m FROM win WHERE date > label_date - 14) GROUP BY ALL""")
 def _(s, d):
-    return windows.window_stats(views.windows(s, d), 14, ("median", "mad", "mean"))
+    return windows.window_stats(views.windows(s, d, 14), 14, ("median", "mad", "mean"))
 
 
 @query("slope14", "i:pid d:label_date s:feature r:slope r:pop_std", """
 SELECT pid, label_date, feature, (count(*) * sum(x * value) - sum(x) * sum(value)) / (count(*) * sum(x * x) - sum(x) * sum(x) + 1e-7) AS slope, stddev_pop(value) AS pop_std
 FROM (SELECT *, CAST(date - (label_date - 13) AS DOUBLE) AS x FROM win WHERE date > label_date - 14) GROUP BY ALL""")
 def _(s, d):
-    return windows.window_stats(views.windows(s, d), 14, ("slope", "pop_std"))
+    return windows.window_stats(views.windows(s, d, 14), 14, ("slope", "pop_std"))
 
 
 @query("wk_wkend_stats", "i:pid d:label_date s:feature r:weekday_mean r:weekday_std r:weekend_mean r:weekend_std", """
@@ -295,22 +351,47 @@ def _(s, d):
     return trend.half_slopes(trend.week_means(views.windows(s, d)))
 
 
-@query("breakpoint", "i:pid d:label_date s:feature s:part r:bend r:slope_before r:slope_after")
+#: Residual of y ~ 1 + x + (x - b)+ for every week b, from centred sums; then the best bend and both slopes.
+BENDS = f"""
+bp AS (
+  SELECT a.pid, a.label_date, a.feature, a.part, CAST(b.week AS DOUBLE) AS b, CAST(a.week AS DOUBLE) AS x, a.mean AS y, greatest(CAST(a.week - b.week AS DOUBLE), 0) AS h FROM wi a JOIN wi b USING (pid, label_date, feature, part)
+), bc AS (
+  SELECT *, x - avg(x) OVER g AS dx, y - avg(y) OVER g AS dy, h - avg(h) OVER g AS dh FROM bp WINDOW g AS (PARTITION BY pid, label_date, feature, part, b)
+), bs AS (
+  SELECT pid, label_date, feature, part, b, count(*) AS n, sum(dx * dx) AS xx, sum(dh * dh) AS hh, sum(dx * dh) AS xh, sum(dx * dy) AS xy, sum(dh * dy) AS hy, sum(dy * dy) AS yy FROM bc GROUP BY ALL
+), br AS (
+  SELECT *, yy - CASE WHEN abs(xx * hh - xh * xh) > 1e-9 THEN (xy * xy * hh - 2 * xy * hy * xh + hy * hy * xx) / (xx * hh - xh * xh) WHEN xx > 0 THEN xy * xy / xx ELSE 0 END AS rest FROM bs
+), bb AS (
+  SELECT pid, label_date, feature, part, b AS bend FROM br WHERE rest > 1e-10 * yy QUALIFY row_number() OVER (PARTITION BY pid, label_date, feature, part ORDER BY round(n * ln(sqrt(rest) / n) + 3 * ln(n), 6), b) = 1
+), bk2 AS (
+  SELECT pid, label_date, feature, part, bend, {_ols('week', 'mean', 'week <= bend')} AS slope_before, {_ols('week', 'mean', 'week >= bend')} AS slope_after FROM wi JOIN bb USING (pid, label_date, feature, part) GROUP BY pid, label_date, feature, part, bend
+)"""
+
+
+@query("breakpoint", "i:pid d:label_date s:feature s:part r:bend r:slope_before r:slope_after", f"WITH {WEEKS}, {BENDS} SELECT * FROM bk2")
 def _(s, d):
     return trend.breakpoint_slopes(trend.week_means(views.windows(s, d)))
 
 
-@query("weekly_trends", "i:pid d:label_date s:feature s:part r:mean_all r:slope_all r:slope_before")
+@query("weekly_trends", "i:pid d:label_date s:feature s:part r:mean_all r:mean_first r:mean_second r:slope_all r:slope_first r:slope_second r:bend r:slope_before r:slope_after", f"""
+WITH {WEEKS}, {BENDS}, hm AS (
+  SELECT pid, label_date, feature, part, avg(mean) AS mean_all, avg(mean) FILTER (WHERE first) AS mean_first, avg(mean) FILTER (WHERE NOT first) AS mean_second,
+    {_ols('week', 'mean', 'true')} AS slope_all, {_ols('week', 'mean', 'first')} AS slope_first, {_ols('week', 'mean', 'NOT first')} AS slope_second FROM wh GROUP BY pid, label_date, feature, part
+) SELECT * FROM hm LEFT JOIN bk2 USING (pid, label_date, feature, part)""")
 def _(s, d):
     return trend.weekly_trends(views.windows(s, d))
 
 
-@query("window_tensor", "i:pid d:label_date i:days r:total", """
-SELECT pid, label_date, count(DISTINCT date) AS days, sum(CASE WHEN feature IN ('f_click:n:allday', 'f_view:sum:allday') THEN value ELSE 0 END) AS total FROM win GROUP BY ALL""")
+_NAMES = [f"f_{k}:{t}:allday" for k in ("click", "error", "purchase", "signup", "view") for t in ("n", "sum")]
+
+
+@query("window_tensor", "i:pid d:label_date i:days i:wide r:moment", f"""
+SELECT pid, label_date, 28 AS days, 10 AS wide, sum(value * (28 - (label_date - date)) * list_position({_NAMES}, feature)) AS moment FROM win GROUP BY ALL""")
 def _(s, d):
-    t = windows.window_tensor(views.windows(s, d), ["f_click:n:allday", "f_view:sum:allday"])
-    flat = F.flatten(windows.select_features(F.col("x"), [0, 1]))
-    return t.select("pid", "label_date", F.size(windows.add_channel(F.col("x"))).alias("days"), F.aggregate(flat, F.lit(0.0), lambda a, b: a + b).alias("total"))
+    t = windows.window_tensor(views.windows(s, d), _NAMES)
+    weighted = F.flatten(F.transform(windows.select_features(F.col("x"), list(range(10))), lambda day, i: F.transform(day, lambda v, j: v * (i + 1) * (j + 1))))
+    channel = windows.add_channel(F.col("x"))
+    return t.select("pid", "label_date", F.size(channel).alias("days"), F.size(channel[0]).alias("wide"), F.aggregate(weighted, F.lit(0.0), lambda a, b: a + b).alias("moment"))
 
 
 @query("dedupe_last", "i:o_custkey d:o_orderdate i:o_orderkey", "SELECT o_custkey, CAST(o_orderdate AS DATE) AS o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL")
@@ -406,18 +487,17 @@ def _(s, d):
     return quality.mode_of_counts(views.daily(s, d), ["pid"])
 
 
-@query("row_mean", "i:pid d:date r:mean", "SELECT pid, date, avg(value) AS mean FROM daily WHERE feature IN ('f_click:n:allday', 'f_view:n:allday') GROUP BY ALL")
+@query("row_mean", "i:pid d:date r:mean", "SELECT pid, date, avg(value) AS mean FROM daily GROUP BY ALL")
 def _(s, d):
-    names = ["f_click:n:allday", "f_view:n:allday"]
-    wide = windows.wide(views.daily(s, d).where(F.col("feature").isin(names)), ["pid", "date"], names).toDF("pid", "date", "a", "b")
-    return wide.select("pid", "date", scalar.row_mean(["a", "b"]).alias("mean"))
+    columns = [f"c{k}" for k in range(len(_NAMES))]
+    wide = windows.wide(views.daily(s, d), ["pid", "date"], _NAMES).toDF("pid", "date", *columns)
+    return wide.select("pid", "date", scalar.row_mean(columns).alias("mean"))
 
 
-@query("wide_and_long", "i:pid d:date s:feature r:value", "SELECT pid, date, feature, value FROM daily WHERE feature IN ('f_click:n:allday', 'f_view:n:allday')")
+@query("wide_and_long", "i:pid d:date s:feature r:value", "SELECT pid, date, feature, value FROM daily")
 def _(s, d):
-    names = ["f_click:n:allday", "f_view:n:allday"]
-    wide = windows.wide(views.daily(s, d), ["pid", "date"], names)
-    return windows.long(wide, ["pid", "date"], names).where("value is not null")
+    wide = windows.wide(views.daily(s, d), ["pid", "date"], _NAMES)
+    return windows.long(wide, ["pid", "date"], _NAMES).where("value is not null")
 
 
 @query("merge_folds", "s:metric r:mean i:n", "SELECT 'acc' AS metric, avg(a) AS mean, count(*) AS n FROM (SELECT split, avg(CAST(y = pred AS DOUBLE)) AS a FROM pred GROUP BY split)")
@@ -492,19 +572,35 @@ def _(s, d):
     return scale.window_norm(views.windows(s, d), "standard").groupBy("pid", "label_date", "feature").agg(F.min("value").alias("least"))
 
 
-@query("prepare_train", "i:pid d:label_date s:feature r:value")
+def _model_rows(s: SparkSession, d: str) -> DataFrame:
+    """Every datapoint and feature, null where the last 14 days have none."""
+    stats = _labelled(s, d).select("pid", "label_date", "feature", "value")
+    cells = views.labels(s, d).select("pid", "label_date").crossJoin(F.broadcast(stats.select("feature").distinct()))
+    return cells.join(stats, ["pid", "label_date", "feature"], "left")
+
+
+@query("prepare_train", "i:pid d:label_date s:feature r:value", f"""
+WITH st AS ({LABELLED}), ce AS (SELECT lb.pid, lb.label_date, f.feature, st.value FROM lb CROSS JOIN (SELECT DISTINCT feature FROM st) f LEFT JOIN st ON st.pid = lb.pid AND st.label_date = lb.label_date AND st.feature = f.feature),
+c1 AS (SELECT * FROM ce QUALIFY avg(CAST(value IS NULL AS DOUBLE)) OVER (PARTITION BY feature) < 0.9), c2 AS (SELECT * FROM c1 QUALIFY avg(CAST(value IS NULL AS DOUBLE)) OVER (PARTITION BY pid, label_date) < 0.5),
+sc AS (SELECT pid, label_date, c2.feature, (value - m) / CASE WHEN hi - lo = 0 THEN 1 ELSE (hi - lo) / 3.2897072539029444 END AS value FROM c2 JOIN (SELECT feature, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.95) AS hi FROM c2 GROUP BY feature) q USING (feature))
+SELECT pid, label_date, feature, coalesce(value, avg(value) OVER (PARTITION BY feature), 0) AS value FROM sc""")
 def _(s, d):
-    return scale.prepare(_labelled(s, d), "train")
+    return scale.prepare(_model_rows(s, d), "train")
 
 
 def _levels_by_day(s: SparkSession, d: str) -> DataFrame:
-    """Ordinal levels of one feature for the people of one data set, on a full grid of days."""
-    g = _grid(s, d).where((F.col("ds_key") == "A_1") & F.col("feature").isin("f_click:n:allday", "f_view:n:allday"))
-    day = F.datediff("date", F.min("date").over(Window.partitionBy(F.lit(1))))
-    return g.select("feature", "pid", day.alias("day"), F.least("value", F.lit(3.0)).alias("value"))
+    """Ordinal levels by day on a full grid; people are compared within their data set."""
+    first = views.daily(s, d).agg(F.min("date").alias("first"))
+    level = F.when(F.col("value") < 20, 1.0).when(F.col("value") < 60, 2.0).when(F.col("value").isNotNull(), 3.0)
+    return _grid(s, d).crossJoin(F.broadcast(first)).select(F.concat_ws("/", "ds_key", "feature").alias("feature"), "pid", F.datediff("date", "first").alias("day"), level.alias("value"))
 
 
-@query("cf_impute", "s:feature i:pid i:day r:value")
+@query("cf_impute", "s:feature i:pid i:day r:value", """
+WITH l AS (SELECT ds_key || '/' || feature AS feature, pid, date - (SELECT min(date) FROM daily) AS day, CASE WHEN value < 20 THEN 1 WHEN value < 60 THEN 2 WHEN value IS NOT NULL THEN 3 END AS value FROM grid),
+f AS (SELECT feature, pid, day, coalesce(value, 0) + CASE WHEN day = 0 AND stddev_pop(coalesce(value, 0)) OVER (PARTITION BY feature, pid) = 0 THEN 1e-4 ELSE 0 END AS v FROM l),
+sim AS (SELECT a.feature, a.pid AS a, b.pid AS b, CASE WHEN min(a.v) = max(a.v) OR min(b.v) = max(b.v) THEN 0 ELSE covar_pop(a.v, b.v) / (stddev_pop(a.v) * stddev_pop(b.v)) END AS sim FROM f a JOIN f b ON a.feature = b.feature AND a.day = b.day AND a.pid <> b.pid GROUP BY ALL),
+g AS (SELECT m.feature, m.day, m.pid, sum(sim * dn.value) / (sum(sim) + 1e-4) AS guess FROM l m JOIN l dn ON m.value IS NULL AND dn.value IS NOT NULL AND m.feature = dn.feature AND m.day = dn.day JOIN sim ON sim.feature = m.feature AND a = m.pid AND b = dn.pid GROUP BY ALL)
+SELECT l.feature, l.pid, l.day, coalesce(l.value, greatest(1, least(3, round_even(guess, 0)))) AS value FROM l LEFT JOIN g ON g.feature = l.feature AND g.day = l.day AND g.pid = l.pid""")
 def _(s, d):
     return scale.cf_impute(_levels_by_day(s, d))
 
@@ -535,10 +631,13 @@ def _(s, d):
     return splits.group_folds(views.labels(s, d), "pid", 5, 0, "y")
 
 
-@query("fold_check", "i:fold")
+@query("fold_check", "i:fold i:train_rows i:train_positives b:one_class", f"""
+WITH fo AS (SELECT fold, count(*) AS n, sum(CAST(y AS INT)) AS p FROM lb JOIN (SELECT pid, CASE WHEN t < 5 THEN t ELSE 9 - t END AS fold FROM (
+  SELECT pid, (row_number() OVER (ORDER BY p DESC, n DESC, {_shuffled()}, pid) - 1) % 10 AS t FROM (SELECT pid, count(*) AS n, sum(CAST(y AS INT)) AS p FROM lb GROUP BY pid))) USING (pid) GROUP BY fold)
+SELECT fold, sum(n) OVER () - n AS train_rows, sum(p) OVER () - p AS train_positives, sum(p) OVER () - p IN (0, sum(n) OVER () - n) AS one_class FROM fo""")
 def _(s, d):
     p = views.labels(s, d)
-    return splits.check_folds(p.join(splits.group_folds(p, "pid", 5, 0, "y"), "pid"), "y")
+    return splits.fold_classes(p.join(splits.group_folds(p, "pid", 5, 0, "y"), "pid"), "y")
 
 
 _PAIRS = "SELECT a.ds_key AS ka, b.ds_key AS kb, split_part(a.ds_key, '_', 1) = split_part(b.ds_key, '_', 1) AS inst, split_part(a.ds_key, '_', 2) = split_part(b.ds_key, '_', 2) AS phase FROM (SELECT DISTINCT ds_key FROM dim) a, (SELECT DISTINCT ds_key FROM dim) b"
@@ -712,8 +811,13 @@ def _(s, d):
     return screen.corr_screen(_labelled(s, d).withColumn("y", F.col("y").cast("int")), ["ds_key"])
 
 
-_RANKED = f"""SELECT ds_key, feature, corr(rx, ry) AS rho, count(*) AS n FROM (SELECT ds_key, feature, rank() OVER (PARTITION BY ds_key, feature ORDER BY value) + (count(*) OVER (PARTITION BY ds_key, feature, value) - 1) / 2.0 AS rx,
-  rank() OVER (PARTITION BY ds_key, feature ORDER BY y) + (count(*) OVER (PARTITION BY ds_key, feature, y) - 1) / 2.0 AS ry FROM (SELECT * REPLACE (round(value, 9) AS value) FROM ({LABELLED}))) GROUP BY ALL"""
+def _ranked(by: str) -> str:
+    """SQL of rank correlations by ``by`` and feature."""
+    return f"""SELECT {by}feature, corr(rx, ry) AS rho, count(*) AS n FROM (SELECT {by}feature, rank() OVER (PARTITION BY {by}feature ORDER BY value) + (count(*) OVER (PARTITION BY {by}feature, value) - 1) / 2.0 AS rx,
+  rank() OVER (PARTITION BY {by}feature ORDER BY y) + (count(*) OVER (PARTITION BY {by}feature, y) - 1) / 2.0 AS ry FROM (SELECT * REPLACE (round(value, 9) AS value) FROM ({LABELLED}))) GROUP BY ALL"""
+
+
+_RANKED, _POOLED = _ranked("ds_key, "), _ranked("")
 
 
 def _spearman(s: SparkSession, d: str) -> DataFrame:
@@ -726,14 +830,19 @@ def _(s, d):
     return _spearman(s, d)
 
 
-@query("significant", "s:ds_key s:feature r:rho r:p")
+_P = """SELECT *, CASE WHEN abs(rho) >= 1 THEN 0 ELSE 2 * (exp(-z * z / 2) / 2.5066282746310002 * k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429))))) END AS p
+FROM (SELECT *, 1 / (1 + 0.2316419 * z) AS k FROM (SELECT *, (8 * df + 1) / (8 * df + 3) * sqrt(df * ln(1 + rho * rho / (1 - rho * rho))) AS z FROM (SELECT *, CAST(n - 2 AS DOUBLE) AS df FROM r) WHERE df > 0 AND NOT isnan(rho)))"""
+
+
+@query("significant", "s:ds_key s:feature r:rho r:p", f"WITH r AS ({_RANKED}) SELECT * FROM ({_P}) WHERE p <= 0.05")
 def _(s, d):
     return screen.significant(_spearman(s, d))
 
 
-@query("sign_consistency", "s:feature r:mean_rho b:same_sign i:n_sets", f"SELECT feature, avg(rho) AS mean_rho, min(sign(rho)) = max(sign(rho)) AS same_sign, count(*) AS n_sets FROM ({_RANKED}) GROUP BY feature")
+@query("sign_consistency", "s:feature r:mean_rho b:same_sign i:n_sets r:pooled_rho", f"SELECT a.*, b.rho AS pooled_rho FROM (SELECT feature, avg(rho) AS mean_rho, min(sign(rho)) = max(sign(rho)) AS same_sign, count(*) AS n_sets FROM ({_RANKED}) GROUP BY feature) a JOIN ({_POOLED}) b USING (feature)")
 def _(s, d):
-    return screen.sign_consistency(_spearman(s, d))
+    rows = _labelled(s, d).withColumn("y", F.col("y").cast("int")).withColumn("value", F.round("value", 9))
+    return screen.sign_consistency(screen.spearman(rows, ["ds_key"]), screen.spearman(rows, []))
 
 
 @query("sign_flip", "s:feature r:pre r:post r:product", f"SELECT *, pre * post AS product FROM (SELECT feature, avg(rho) FILTER (WHERE ds_key LIKE '%_1') AS pre, avg(rho) FILTER (WHERE ds_key LIKE '%_3') AS post FROM ({_RANKED}) GROUP BY feature) WHERE pre * post < 0")
@@ -795,18 +904,21 @@ one AS (
 )"""
 
 
-@query("pair_rules", "i:x i:z r:support r:confidence r:lift", f"WITH {_LEVELS}, {_PAIR_RULES} SELECT * FROM pr WHERE g = 0")
+def _group_rules(s: SparkSession, d: str) -> DataFrame:
+    return rules.pair_rules(_baskets(s, d).withColumn("g", F.col("pid") % 2), 0.01, 0.1, "g")
+
+
+@query("pair_rules", "i:g i:x i:z r:support r:confidence r:lift", f"WITH {_LEVELS}, {_PAIR_RULES} SELECT * FROM pr")
 def _(s, d):
-    return rules.pair_rules(_baskets(s, d).where("pid % 2 = 0"), 0.01, 0.1)
+    return _group_rules(s, d)
 
 
 def _contrast(s: SparkSession, d: str) -> DataFrame:
-    b = _baskets(s, d)
-    a, c = (rules.pair_rules(b.where(F.col("pid") % 2 == g), 0.01, 0.1) for g in (0, 1))
-    return rules.contrast_rules(a, c, ("x", "z"))
+    found = _group_rules(s, d)
+    return rules.contrast_rules(found.where("g = 0"), found.where("g = 1"), ("x", "z"))
 
 
-_CONTRAST = "SELECT coalesce(a.x, c.x) AS x, coalesce(a.z, c.z) AS z, coalesce(a.support, 0) AS support_pos, coalesce(c.support, 0) AS support_neg, coalesce(a.confidence, 0) AS confidence_pos, coalesce(c.confidence, 0) AS confidence_neg, coalesce(a.lift, 0) - coalesce(c.lift, 0) AS lift_diff FROM (SELECT * FROM pr WHERE g = 0) a FULL JOIN (SELECT * FROM pr WHERE g = 1) c ON a.x = c.x AND a.z = c.z"
+_CONTRAST = "SELECT coalesce(a.x, c.x) AS x, coalesce(a.z, c.z) AS z, coalesce(a.support, 0) AS support_pos, coalesce(c.support, 0) AS support_neg, coalesce(a.confidence, 0) AS confidence_pos, coalesce(c.confidence, 0) AS confidence_neg, coalesce(a.lift, 0) - coalesce(c.lift, 0) AS lift_diff, coalesce(a.lift, 0) AS lift_pos, coalesce(c.lift, 0) AS lift_neg FROM (SELECT * FROM pr WHERE g = 0) a FULL JOIN (SELECT * FROM pr WHERE g = 1) c ON a.x = c.x AND a.z = c.z"
 
 
 @query("contrast_rules", "i:x i:z r:support_pos r:support_neg r:confidence_pos r:confidence_neg r:lift_diff", f"WITH {_LEVELS}, {_PAIR_RULES} {_CONTRAST}")
@@ -814,29 +926,47 @@ def _(s, d):
     return _contrast(s, d)
 
 
-@query("rule_interest", "i:x i:z r:interest r:supp_delta", f"""
-WITH {_LEVELS}, {_PAIR_RULES}, c AS ({_CONTRAST}) SELECT x, z, sign(dp) * sign(dc) * abs(dp) * abs(dc) AS interest, abs(support_pos - support_neg) AS supp_delta FROM (
-  SELECT *, CASE WHEN confidence_pos > 0 THEN support_pos / confidence_pos ELSE 0 END - CASE WHEN confidence_neg > 0 THEN support_neg / confidence_neg ELSE 0 END AS dp, confidence_pos - confidence_neg AS dc FROM c)""")
+_INTEREST = """SELECT *, sign(dx) * sign(dc) * abs(dx) ** {w[1]} * abs(dc) ** {w[2]} * {size} ** {w[0]} AS interest, (2 * (support_pos - support_neg) + (y2 - y1) * (support_pos + support_neg)) / (y1 + y2) AS supp_delta, CASE WHEN confidence_pos > 0 AND confidence_neg > 0 THEN 2 ELSE 1 END AS sided FROM (
+  SELECT *, CASE WHEN confidence_pos > 0 THEN support_pos / confidence_pos ELSE 0 END - CASE WHEN confidence_neg > 0 THEN support_neg / confidence_neg ELSE 0 END AS dx, confidence_pos - confidence_neg AS dc,
+    CASE WHEN lift_pos > 0 THEN confidence_pos / lift_pos ELSE 0 END AS y1, CASE WHEN lift_neg > 0 THEN confidence_neg / lift_neg ELSE 0 END AS y2 FROM c)"""
+
+
+@query("rule_interest", "i:x i:z r:interest r:supp_delta", f"WITH {_LEVELS}, {_PAIR_RULES}, c AS ({_CONTRAST}) {_INTEREST.format(w=(1, 1.5, 0.5), size=1)}")
 def _(s, d):
-    return rules.rule_interest(_contrast(s, d))
+    return rules.rule_interest(_contrast(s, d), (1.0, 1.5, 0.5))
 
 
-@query("passing_rules", "i:x i:z r:support_pos r:confidence_pos")
+@query("passing_rules", "i:x i:z r:support_pos r:confidence_pos", f"""
+WITH {_LEVELS}, {_PAIR_RULES}, c AS ({_CONTRAST}), md AS (SELECT quantile_cont(abs(support_pos - support_neg), 0.5) AS ms, quantile_cont(abs(confidence_pos - confidence_neg), 0.5) AS mc FROM c WHERE confidence_pos > 0 AND confidence_neg > 0)
+SELECT c.* FROM c, md WHERE (support_pos >= 0.02 + ms AND confidence_pos >= 0.2 + mc) OR (support_neg >= 0.02 + ms AND confidence_neg >= 0.2 + mc)""")
 def _(s, d):
-    return rules.passing_rules(_contrast(s, d), 0.05, 0.3)
+    return rules.passing_rules(_contrast(s, d), 0.02, 0.2)
 
 
-@query("fp_growth", "s:antecedent s:consequent r:support r:confidence r:lift")
+#: All subsets of the baskets, at most five items each, by group: frequent sets and their rules.
+def _mined(group: str) -> str:
+    return f"""
+ss AS (SELECT {group} AS g, list_filter(items, lambda v, k: (m >> (k - 1)) & 1 = 1) AS s, count(*) AS n FROM bk, range(1, 32) r(m) WHERE m < (1 << len(items)) GROUP BY ALL),
+tt AS (SELECT {group} AS g, count(*) AS t FROM bk GROUP BY ALL), fr AS (SELECT ss.*, t FROM ss JOIN tt USING (g) WHERE n >= ceil(0.02 * t)),
+ru AS (SELECT g, list_filter(s, lambda v: v <> y) AS x, [y] AS y, n, t FROM (SELECT *, unnest(s) AS y FROM fr WHERE len(s) > 1)),
+fp AS (SELECT ru.g, ru.x, ru.y, ru.n / ru.t AS support, ru.n / a.n AS confidence, ru.n / a.n / (b.n / ru.t) AS lift FROM ru JOIN fr a ON a.g = ru.g AND a.s = ru.x JOIN fr b ON b.g = ru.g AND b.s = ru.y WHERE ru.n / a.n >= 0.1)"""
+
+
+@query("fp_growth", "s:antecedent s:consequent r:support r:confidence r:lift", f"WITH {_LEVELS}, {_mined('0')} SELECT array_to_string(x, ',') AS antecedent, array_to_string(y, ',') AS consequent, support, confidence, lift FROM fp")
 def _(s, d):
     found = rules.mine_rules(_baskets(s, d), 0.02, 0.1)
     return found.select(F.array_join(F.sort_array("antecedent").cast("array<string>"), ",").alias("antecedent"), F.array_join(F.col("consequent").cast("array<string>"), ",").alias("consequent"), "support", "confidence", "lift")
 
 
-@query("selected_rules", "s:antecedent s:consequent r:interest i:rank")
+@query("selected_rules", "s:antecedent s:consequent r:interest i:sided i:rank", f"""
+WITH {_LEVELS}, {_mined('pid % 2')}, c AS ({_CONTRAST.replace("z", "y").replace("FROM pr", "FROM fp")}), sc AS ({_INTEREST.format(w=(1, 1.5, 0.5), size="len(x)")}),
+f5 AS (SELECT *, to_json({{'antecedent': x, 'consequent': y}}) AS name FROM sc QUALIFY row_number() OVER (PARTITION BY sided ORDER BY round(interest, 12) DESC, to_json({{'antecedent': x, 'consequent': y}})) <= 50),
+cl AS (SELECT * FROM f5 WHERE NOT EXISTS (SELECT 1 FROM f5 o WHERE o.sided = f5.sided AND o.y = f5.y AND len(o.x) > len(f5.x) AND list_has_all(o.x, f5.x)))
+SELECT array_to_string(x, ',') AS antecedent, array_to_string(y, ',') AS consequent, interest, sided, rank FROM (SELECT *, row_number() OVER (PARTITION BY sided ORDER BY round(interest, 12) DESC, name) AS rank FROM cl) WHERE rank <= 10""")
 def _(s, d):
     b = _baskets(s, d)
     pos, neg = (rules.mine_rules(b.where(F.col("pid") % 2 == g), 0.02, 0.1).select(F.sort_array("antecedent").alias("antecedent"), "consequent", "support", "confidence", "lift") for g in (0, 1))
-    best = rules.select_rules(rules.contrast_rules(pos, neg), k=10)
+    best = rules.select_rules(rules.contrast_rules(pos, neg), (1.0, 1.5, 0.5), 10)
     return best.withColumn("antecedent", F.array_join(F.col("antecedent").cast("array<string>"), ",")).withColumn("consequent", F.array_join(F.col("consequent").cast("array<string>"), ","))
 
 
@@ -854,37 +984,61 @@ def _(s, d):
 # --- collaborative filtering
 
 
+_COHORT = ("ds_key", "feature")
+
+
 def _memory(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Day series of all people and features, compared within the data set, and each one's last label."""
     day = F.datediff("date", F.lit("2024-01-01").cast("date"))
-    rows = _long(s, d).where("ds_key = 'A_1'").where(F.col("feature").like("%:sum:%")).select("feature", "pid", day.alias("day"), "value")
-    first = views.labels(s, d).groupBy("pid").agg(F.max_by("y", "label_date").alias("y"))
-    return rows, first.withColumn("y", F.col("y").cast("int"))
+    last = views.labels(s, d).groupBy("pid").agg(F.max_by("y", "label_date").cast("int").alias("y"))
+    return _long(s, d).select("ds_key", "feature", "pid", day.alias("day"), "value"), last
+
+
+def _sims(memory: str, targets: str, key: str, name: str, rest: str = "") -> str:
+    """SQL: r squared of all pairs of target and memory within ``key`` and feature, 0 without a correlation."""
+    return f"""
+{name}_p AS (SELECT a.{key} AS k, a.feature, a.pid AS a, b.pid AS b FROM (SELECT DISTINCT {key}, feature, pid FROM {targets}) a JOIN (SELECT DISTINCT {key}, feature, pid FROM {memory}) b ON a.{key} = b.{key} AND a.feature = b.feature {rest}),
+{name}_r AS (SELECT a.{key} AS k, a.feature, a.pid AS a, b.pid AS b, CASE WHEN min(a.value) = max(a.value) OR min(b.value) = max(b.value) THEN 0 ELSE round(corr(a.value, b.value) ** 2, 9) END AS sim FROM {targets} a JOIN {memory} b ON a.{key} = b.{key} AND a.feature = b.feature AND a.date = b.date {rest} GROUP BY ALL),
+{name} AS (SELECT p.*, coalesce(sim, 0) AS sim FROM {name}_p p LEFT JOIN {name}_r r ON r.k = p.k AND r.feature = p.feature AND r.a = p.a AND r.b = p.b)"""
+
 
+def _score(sims: str, cut: str) -> str:
+    sim = "CASE WHEN sim >= low THEN sim ELSE 0 END" if cut else "sim"
+    return f"SELECT s.k, s.feature, a AS pid, sum({sim} * y) / (sum({sim}) + 1e-6) AS score FROM {sims} s JOIN (SELECT k, feature, quantile_cont(sim, 0.25) AS low FROM {sims} GROUP BY ALL) q ON q.k = s.k AND q.feature = s.feature JOIN last ON last.pid = b GROUP BY ALL"
 
-_SIMS = """
-mem AS (SELECT feature, pid, date, value FROM long WHERE ds_key = 'A_1' AND feature LIKE '%:sum:%'),
-sims AS (SELECT feature, a, b, CASE WHEN isnan(r) OR r IS NULL THEN 0 ELSE round(r * r, 9) END AS sim FROM (SELECT a.feature, a.pid AS a, b.pid AS b, corr(a.value, b.value) AS r FROM mem a JOIN mem b ON a.feature = b.feature AND a.date = b.date AND a.pid <> b.pid GROUP BY ALL)),
-last AS (SELECT pid, CAST(max_by(y, label_date) AS INT) AS y FROM lb GROUP BY pid),
-sc AS (SELECT s.feature, a AS pid, sum(CASE WHEN sim >= low THEN sim ELSE 0 END * y) / (sum(CASE WHEN sim >= low THEN sim ELSE 0 END) + 1e-6) AS score FROM sims s JOIN (SELECT feature, quantile_cont(sim, 0.25) AS low FROM sims GROUP BY feature) q ON q.feature = s.feature JOIN last ON last.pid = b GROUP BY ALL)"""
 
+_LAST = "last AS (SELECT pid, CAST(max_by(y, label_date) AS INT) AS y FROM lb GROUP BY pid)"
+_TH = "th AS (SELECT k, feature, (avg(score) FILTER (WHERE y = 1) + avg(score) FILTER (WHERE y = 0)) / 2 AS threshold FROM ({}) JOIN last USING (pid) GROUP BY ALL)"
+_VOTE = """SELECT pid, CAST(v > h AS INT) AS pred, CASE WHEN v <= h THEN 0.5 * v / CASE WHEN h = 0 THEN 1 ELSE h END ELSE 0.5 + 0.5 * (v - h) / CASE WHEN n = h THEN 1 ELSE n - h END END AS prob
+FROM (SELECT pid, sum(CAST(coalesce(score > threshold, false) AS INT)) AS v, count(*) AS n, count(*) // 2 AS h FROM sc JOIN th ON th.k = sc.k AND th.feature = sc.feature GROUP BY pid)"""
+_WITHIN = f"WITH {_LAST}, {_sims('long', 'long', 'ds_key', 'sims', 'AND a.pid <> b.pid')}, sc AS ({_score('sims', 'low')}), {_TH.format(_score('sims', ''))}"
 
-@query("entity_sim_score", "s:feature i:pid r:score", f"WITH {_SIMS} SELECT * FROM sc")
+
+@query("entity_sim_score", "s:ds_key s:feature i:pid r:score", f"{_WITHIN} SELECT k AS ds_key, feature, pid, score FROM sc")
 def _(s, d):
-    rows, y = _memory(s, d)
-    return cf.sim_score(rows, y)
+    return cf.sim_score(*_memory(s, d), by=_COHORT)
 
 
-@query("midpoint_threshold", "s:feature r:threshold", f"WITH {_SIMS} SELECT feature, (avg(score) FILTER (WHERE y = 1) + avg(score) FILTER (WHERE y = 0)) / 2 AS threshold FROM sc JOIN last USING (pid) GROUP BY feature")
+@query("midpoint_threshold", "s:ds_key s:feature r:threshold", f"{_WITHIN} SELECT k AS ds_key, feature, threshold FROM th")
+def _(s, d):
+    return cf.midpoint_threshold(*_memory(s, d), by=_COHORT)
+
+
+@query("cf_vote", "i:pid i:pred r:prob", f"{_WITHIN} {_VOTE}")
 def _(s, d):
     rows, y = _memory(s, d)
-    return cf.midpoint_threshold(cf.sim_score(rows, y), y)
+    return cf.vote(cf.sim_score(rows, y, by=_COHORT), cf.midpoint_threshold(rows, y, by=_COHORT), by=_COHORT)
+
+
+_NEW = "mem AS (SELECT *, split_part(ds_key, '_', 1) AS inst FROM long WHERE ds_key LIKE '%_1'), new AS (SELECT *, split_part(ds_key, '_', 1) AS inst FROM long WHERE ds_key LIKE '%_3')"
 
 
-@query("cf_vote", "i:pid i:pred r:prob")
+@query("cf_new_people", "i:pid i:pred r:prob", f"WITH {_LAST}, {_NEW}, {_sims('mem', 'mem', 'inst', 'own', 'AND a.pid <> b.pid')}, {_sims('mem', 'new', 'inst', 'far')}, sc AS ({_score('far', 'low')}), {_TH.format(_score('own', ''))} {_VOTE}")
 def _(s, d):
     rows, y = _memory(s, d)
-    scores = cf.sim_score(rows, y)
-    return cf.vote(scores, cf.midpoint_threshold(scores, y))
+    rows, by = rows.withColumn("inst", F.split("ds_key", "_")[0]), ("inst", "feature")
+    memory, new = rows.where("ds_key LIKE '%_1'"), rows.where("ds_key LIKE '%_3'")
+    return cf.vote(cf.sim_score(memory, y, new, by=by), cf.midpoint_threshold(memory, y, by=by), by=by)
 
 
 @query("behaviour_profile", "i:pid s:slice s:feature i:days r:first", """
@@ -929,12 +1083,15 @@ def _(s, d):
     return embed.mixup(v, 0.4, key="id").withColumn("dims", F.size("x"))
 
 
-@query("reorder", "i:id i:class r:first", """
-SELECT vec_id AS id, class, embedding[CASE class WHEN 0 THEN 1 WHEN 1 THEN 4 ELSE 7 END]::DOUBLE AS first FROM (SELECT *, CASE WHEN (vec_id * 31) % 100 < 70 THEN 1 + (vec_id * 7919) % 2 ELSE 0 END AS class FROM embeddings)""")
+@query("reorder", "i:id i:class r:moment", """
+SELECT vec_id AS id, class, list_sum(list_transform(range(64), lambda i: (i + 1) * embedding[o[i // 16 + 1] * 16 + i % 16 + 1]::DOUBLE)) AS moment FROM (SELECT *, CASE WHEN (vec_id * 31) % 100 < 70 THEN 1 + (vec_id * 7919) % 4 ELSE 0 END AS class FROM embeddings)
+JOIN (VALUES (0, [0, 1, 2, 3]), (1, [0, 1, 2, 3]), (2, [1, 0, 3, 2]), (3, [2, 3, 0, 1]), (4, [3, 2, 1, 0])) v(class, o) USING (class)""")
 def _(s, d):
-    perms = s.createDataFrame([(1, [1, 0, 2]), (2, [2, 1, 0])], "class int, order array<int>")
-    out = embed.reorder(views.vectors(s, d).select("id", F.slice("x", 1, 9).alias("x")), perms, key="id")
-    return out.withColumn("first", F.col("x")[0])
+    """All 64 places of every vector, in blocks of 16, by permutations that are far apart in Hamming distance."""
+    vectors = views.vectors(s, d).select("id", F.col("x").cast("array<double>").alias("x"))
+    out = embed.reorder(vectors, embed.hamming_permutations(s, 4, 4), block=16, key="id")
+    weighted = F.transform("x", lambda v, i: (i + 1) * v)
+    return out.withColumn("moment", F.aggregate(weighted, F.lit(0.0), lambda a, b: a + b))
 
 
 @query("knn_vote", "i:id r:score i:pred", f"""
@@ -945,10 +1102,14 @@ def _(s, d):
     return embed.knn_vote(v.where("id % 50 <> 0").withColumn("y", (F.col("label") < 5).cast("int")), v.where("id % 50 = 0"), 5)
 
 
-@query("near_pairs", "i:a_id i:b_id r:distance")
+@query("near_pairs", "i:a_id i:b_id r:distance", f"""
+WITH {_VEC}, w AS (SELECT id, list_transform(range(64), lambda i: x[i + 1] + CASE WHEN i = id % 64 THEN 0.05 ELSE 0 END) AS x FROM v)
+SELECT * FROM (SELECT v.id AS a_id, w.id AS b_id, list_distance(v.x, w.x) AS distance FROM v, w) WHERE distance <= 0.3""")
 def _(s, d):
-    v = views.vectors(s, d)
-    return embed.near_pairs(v, v, 0.5, bucket=1.0).where("a_id < b_id")
+    """Every vector against all vectors with one place moved a little: each finds its own again."""
+    v = views.vectors(s, d).select("id", F.col("x").cast("array<double>").alias("x"))
+    moved = v.withColumn("x", F.transform("x", lambda e, i: e + F.when(i == F.col("id") % 64, 0.05).otherwise(0.0)))
+    return embed.near_pairs(v, moved, 0.3, bucket=2.0, tables=6)
 
 
 def _centres(s: SparkSession, d: str) -> DataFrame:
@@ -1045,7 +1206,7 @@ def _matrix(s: SparkSession, d: str) -> DataFrame:
     """``row_id, pid, label_date, ds_key, device, x, features, label, role``."""
     from pyspark.ml.functions import array_to_vector
 
-    names = [f"f_{k}:{t}:allday" for k in ("click", "error", "purchase", "signup", "view") for t in ("n", "sum")]
+    names = _NAMES
     wide = windows.wide(_labelled(s, d).select("pid", "label_date", "feature", "value"), ["pid", "label_date"], names)
     x = F.array(*(F.coalesce(F.col(f"`{n}`"), F.lit(0.0)) for n in names))
     rows = splits.within_user(wide.select("pid", "label_date", x.alias("x")).join(views.points(s, d), ["pid", "label_date"]))
@@ -1109,31 +1270,29 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
     return raw.select(F.col("user_id").alias("pid"), "ts", F.col("event_type").alias("kind"), "value")
 
 
-@query("stream_daily", "i:pid d:date s:kind s:segment i:n r:sum", "SELECT pid, date, kind, segment, n, total AS sum FROM roll")
+#: Windows that are past the watermark: a day behind the latest event.
+_CLOSED = "<= (SELECT max(ts) - INTERVAL 1 DAY FROM ev)"
+
+
+@query("stream_daily", "i:pid d:date s:kind s:segment i:n r:sum", f"SELECT pid, date, kind, segment, n, total AS sum FROM roll WHERE date + INTERVAL 1 DAY {_CLOSED}")
 def _(s, d):
-    return segments.run_available(segments.stream_daily(_stream(s, d)), f"daily_{_name()}", checkpoint=_scratch(s, "stream"))
+    return segments.run_available(segments.stream_daily(_stream(s, d)), _scratch(s, "stream_daily"))
 
 
-@query("stream_history", "i:pid d:date s:kind i:n r:sum", "SELECT pid, CAST(e.date + CAST(k AS INT) AS DATE) AS date, kind, count(*) AS n, sum(value) AS sum FROM ev e, range(3) r(k) GROUP BY ALL")
+@query("stream_history", "i:pid d:date s:kind i:n r:sum", f"SELECT pid, CAST(e.date + CAST(k AS INT) AS DATE) AS date, kind, count(*) AS n, sum(value) AS sum FROM ev e, range(3) r(k) WHERE e.date + CAST(k AS INT) + INTERVAL 1 DAY {_CLOSED} GROUP BY ALL")
 def _(s, d):
-    return segments.run_available(segments.stream_history(_stream(s, d), 3), f"history_{_name()}", checkpoint=_scratch(s, "stream"))
+    return segments.run_available(segments.stream_history(_stream(s, d), 3), _scratch(s, "stream_history"))
 
 
 @query("stream_first_answers", "i:pid d:date", "SELECT DISTINCT pid, date FROM ev WHERE kind = 'error'")
 def _(s, d):
     first = segments.stream_first_answers(_stream(s, d).where("kind = 'error'"), "60 days").select("pid", "date")
-    return segments.run_available(first, f"answers_{_name()}", "append", _scratch(s, "stream"))
-
-
-def _name() -> str:
-    import uuid
-
-    return uuid.uuid4().hex
+    return segments.run_available(first, _scratch(s, "stream_answers"))
 
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """Events to daily features, survey labels, 28-day windows, 14-day statistics, scaling, split, summary."""
-    stats = windows.window_stats(views.windows(s, d), 14, ("mean", "std", "min", "max")).withColumnRenamed("mean", "value")
+    stats = windows.window_stats(views.windows(s, d, 14), 14, ("mean", "std", "min", "max")).withColumnRenamed("mean", "value")
     scaled = scale.impute(scale.unit_robust(stats.select("pid", "label_date", "feature", "value"), []), [])
     rows = scaled.join(splits.within_user(views.labels(s, d)).select("pid", "label_date", "y", "role"), ["pid", "label_date"])
     return rows.groupBy("role", "feature").agg(F.count("*").alias("n"), F.avg(F.col("y").cast("double")).alias("label_rate"), F.avg("value").alias("mean"))

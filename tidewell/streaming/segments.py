@@ -58,10 +58,13 @@ def stream_first_answers(surveys: DataFrame, late: str = "1 day") -> DataFrame:
     return timed(surveys).withWatermark("ts", late).withColumn("date", F.to_date("ts")).dropDuplicatesWithinWatermark(["pid", "date"])
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over what is there now, into a table in memory; for tests and small results."""
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
-    return stream.sparkSession.table(name)
+def run_available(stream: DataFrame, path: str) -> DataFrame:
+    """Runs a stream over what is there now, appending to Parquet files under ``path``, and reads them.
+
+    Rows come out once their window is past the watermark, so state stays bounded and nothing goes
+    through the driver; windows that late events may still change are not in the result. ``path`` also
+    holds the checkpoint: a second run goes on where the first one stopped.
+    """
+    writer = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")

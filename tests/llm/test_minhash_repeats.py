@@ -34,8 +34,8 @@ def test_bands_are_those_of_the_set(spark):
 def test_members_of_a_bucket_are_verified_on_whole_sets(spark):
     """An odd sketch rules nothing out: all pairs of a bucket that are similar are found, in any blocks."""
     r = np.random.default_rng(4)
-    base = np.sort(r.choice(1 << 32, 200, replace=False)).astype("<u4")
-    sets = [np.sort(np.concatenate([base[: 200 - 7 * k], np.sort(r.choice(1 << 32, 3 * k + 1)).astype("<u4")])) for k in range(12)]
+    base = np.sort(r.choice(1 << 32, 200, replace=False)).astype("<u8")
+    sets = [np.sort(np.concatenate([base[: 200 - 7 * k], np.sort(r.choice(1 << 32, 3 * k + 1)).astype("<u8")])) for k in range(12)]
     jaccard = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y))
     want = {(a, b) for a in range(12) for b in range(a + 1, 12) if jaccard(sets[a], sets[b]) >= 0.8}
     rows = [(7, k, k, [7, k], x.tobytes()) for k, x in enumerate(sets)]

@@ -212,6 +212,24 @@ def test_near_duplicates_are_the_connected_parts(spark, nothing):
     assert minhash.near_duplicates(nothing).count() == 0
 
 
+def test_recall_on_a_whole_table(spark):
+    """All pairs of the table by exact Jaccard: at least nine in ten links, and no others."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: grams(r.text) for r in docs.select("doc_id", "text").collect()}
+    place = {}
+    for x, s in sets.items():
+        for g in s:
+            place.setdefault(g, []).append(x)
+    shared = Counter((a, b) for xs in place.values() for i, b in enumerate(xs) for a in xs[:i])
+    links = {p for p, n in shared.items() if n >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - n)}
+    found = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    joined = sum(found[a] == found[b] for a, b in links)
+    assert links and joined >= 0.9 * len(links)
+    classes = Counter(found.values())
+    linked = {x for p in links for x in p}
+    assert all(classes[found[x]] == 1 for x in found if x not in linked)
+
+
 def test_registers_estimate_probability_jaccard():
     shared = minhash.mix64(np.arange(1, 161, dtype=np.uint64))
     x, y = shared[:120], shared[40:]
@@ -300,9 +318,9 @@ def test_vector_links(spark):
     r = np.random.default_rng(3)
     centres = r.standard_normal((40, 16))
     rows = [(k, (centres[k % 40] + 0.12 * r.standard_normal(16)).tolist()) for k in range(400)]
-    rows += [(500, rows[0][1]), (501, rows[0][1]), (502, None), (503, [0.0] * 16), (504, [float("nan")] * 16), (505, [None] * 16), (506, []), (507, [1.0, 2.0]), (508, [2.0, 4.0]), (None, rows[5][1]), (0, rows[0][1])]
+    rows += [(500, rows[0][1]), (501, rows[0][1]), (502, None), (503, [0.0] * 16), (504, [float("nan")] * 16), (505, [None] * 16), (506, []), (507, [1.0, 2.0]), (508, [2.0, 4.0]), (None, rows[5][1]), (0, rows[0][1]), (509, [1e200, 2e200]), (510, [-1e-200, 3e-200])]
     got = cap_filters.cap_links(spark.createDataFrame([(*x, 1) for x in rows], "vec_id long, embedding array<double>, n_links int")).collect()
-    good = [(x, np.array(v)) for x, v in rows if v and None not in v and np.isfinite(v).all() and np.any(v)]
+    good = [(x, np.array(v) / abs(np.array(v)).max()) for x, v in rows if v and None not in v and np.isfinite(v).all() and np.any(v)]
     want, wanted = Counter(), Counter((r.vec_id, r.n_links) for r in got)
     for k, (x, v) in enumerate(good):
         want[x, sum(j != k and len(u) == len(v) and u @ v >= 0.9 * np.linalg.norm(u) * np.linalg.norm(v) for j, (_, u) in enumerate(good))] += 1
@@ -325,13 +343,20 @@ def test_pipeline_stages(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     want = lines_by_brute_force(list(texts.items()), 5)
     cut = {r.doc_id: r.text for r in pipeline.without_repeated_lines(spark, docs, sf_dir).collect()}
-    assert cut == {x: "\n".join(k) for (_, x, _), k in want.items() if k}
+    left = {x: "\n".join(k) for (_, x, _), k in want.items() if k}
+    assert cut == {x: t for x, t in left.items() if len(t) == len(texts[x]) or len(t) >= 0.1 * len(texts[x])}
     benchmark = [tokens(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     held = {x for x, t in texts.items() if any(" ".join(b) in " ".join(tokens(t)) for b in benchmark)}
     clean = {r.doc_id for r in pipeline.without_benchmark(spark, docs, sf_dir).collect()}
     assert not clean & held and len(clean) >= len(texts) - len(held)
     kept = pipeline.without_near_duplicates(spark, docs.union(docs.limit(3)), sf_dir)
     assert kept.count() == kept.select("doc_id").distinct().count() == minhash.near_duplicates(docs).select("class_id").distinct().count()
+    odd = spark.createDataFrame([(1, None, None, None, None), (2, "", None, None, None), (2, "", None, None, None), (None, "a line that is long enough to count here\nb", "en", "s", 3), (4, "x", "en", "s", 1)], docs.schema).withColumn("__own", F.lit(1)).withColumn("copy", F.lit("c"))
+    for name, stage in pipeline.STAGES[1:4]:
+        got = stage(spark, odd, sf_dir)
+        assert got.columns == odd.columns and got.count() == (4 if name == "minhash" else 5), name
+        assert stage(spark, odd.limit(0), sf_dir).count() == 0
+    assert pipeline.known_language(spark, odd.limit(0), sf_dir).count() == pipeline.token_ids(spark, odd.limit(0), sf_dir).count() == 0
     out = pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     row = pipeline.token_ids(spark, docs, sf_dir).where("doc_id = 0").first()

@@ -134,6 +134,9 @@ def cap_links(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id"
     good = F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     rows = rows.select("id", F.when(good, F.col("vector")).alias("vector")).withColumn("node", F.when(F.col("vector").isNotNull(), F.xxhash64("vector")))
+    # the squares of very large or small components would not fit a double: such vectors are brought to unit size
+    most = F.array_max(F.transform("vector", lambda x: F.abs(x)))
+    rows = rows.withColumn("vector", F.when(most.between(1e-100, 1e100), F.col("vector")).otherwise(F.transform("vector", lambda x: x / most)))
     nodes = written(rows.where("vector is not null").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("size"), F.first("vector").alias("vector")), "vectors")
     words = max(4, int(np.ceil(max(1, nodes.count()) ** (1 / BLOCKS))))
 

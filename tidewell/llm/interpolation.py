@@ -20,7 +20,6 @@ place, first for the held-out tokens, then for the scores.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._shared import drop, written
+from tidewell.llm._shared import bucketed, written
 from tidewell.llm._text import _LOWER, mix64, slices, span_hashes, text_bytes, word_spans
 
 #: Tokens of a slice, about; one document with more is a slice of its own.
@@ -418,16 +417,13 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    names = [f"{x}_{uuid.uuid4().hex}" for x in ("lm_slices", "lm_replies")]
 
-    _slices(docs, train, id_col, text_col, slice_tokens).write.bucketBy(parts, "slice").option("compression", "zstd").saveAsTable(names[0])
-    table = spark.table(names[0])
+    table = bucketed(_slices(docs, train, id_col, text_col, slice_tokens), "lm_slices", parts, "slice")
     totals = table.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "train_docs", "train_tokens", "held_docs", "held_tokens"))).first()
     key_bits = min(64, max(32, SPARE_BITS + int(totals.n_tokens).bit_length()))
     buckets = int(totals.n_tokens * REQUESTS_A_TOKEN / bucket_requests) + 2
     asked = _requests(table, key_bits, buckets).repartitionById(buckets, F.col("bucket"))
-    _replies(asked).repartition(parts, "slice").write.bucketBy(parts, "slice").option("compression", "zstd").saveAsTable(names[1])
-    replies = spark.table(names[1])
+    replies = bucketed(_replies(asked).repartition(parts, "slice"), "lm_replies", parts, "slice")
     v = replies.where("kind = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     grouped = replies.where("kind >= 0").groupBy("slice").agg(F.collect_list(F.struct("kind", "bucket", "n", "n_held", "cells")).alias("replies"))
@@ -435,11 +431,7 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     left_n, left_docs = totals.train_tokens - totals.held_tokens, totals.train_docs - totals.held_docs
     events = written(_held_events(joined, key_bits, left_docs), "lm_events")
     weights = _learned(events, v, left_n, left_docs).weights
-    scored = written(_scored(joined, key_bits, Mixture(totals.train_tokens, v, totals.train_docs, weights), id_type), "lm_scores")
-    drop(events)
-    for name in names:
-        spark.sql(f"DROP TABLE {name}")
-
+    scored = _scored(joined, key_bits, Mixture(totals.train_tokens, v, totals.train_docs, weights), id_type)
     smooth = float(np.log10(totals.train_tokens + v + 1))
     train_tokens = F.lit(totals.train_tokens).cast("bigint").alias("train_tokens")
     return scored.select(F.col("id").alias(id_col), "n_tokens", "n_known", train_tokens, (F.col("base") - F.col("n_tokens") * smooth).alias("base_score"), "score")

@@ -1,7 +1,7 @@
 """Language identification by string kernels.
 
-The kernel of two texts is the number of byte n-grams (n = 1, 2, 3 blended) that both hold, presence
-only, over the root of the product of their own numbers. Nystroem landmarks give a finite feature map,
+The kernel of two texts is the number of byte n-grams (n = 1, 2, 3 blended) of a fitted alphabet that both
+hold, presence only, over the root of the product of their own numbers of them. Nystroem landmarks give a finite feature map,
 one-versus-rest kernel ridge regression is solved on it, and since all of it is linear in the presence
 vectors the model folds into one matrix, n-grams by languages: scoring is a batched matrix product.
 """
@@ -25,7 +25,8 @@ _LOWER[65:91] += 32
 #: Cells of a presence table at most.
 TABLE_CELLS = 1 << 22
 UNKNOWN = "und"
-#: Times the sample's size that is ranked for it.
+#: Times the sample's size, in different texts, that is ranked for it: hashes spread evenly, so with 20 times
+#: as many expected the chance that fewer than the sample's size are in range is below 1e-80.
 ROOM = 20
 #: A text is foreign below this part of the share of known trigrams that FLOOR_QUANTILE of training texts stay under.
 FLOOR_PART, FLOOR_QUANTILE = 2 / 3, 0.01

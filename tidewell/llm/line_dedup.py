@@ -16,12 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm._shared import written
+from tidewell.llm._shared import join_hot, written
 
 #: Characters that weigh as much as a line does.
 LETTERS = 5
-#: A key with more than this share of all rows is hot: at most so many keys, whose table is broadcast.
-HOT = 1 / 1000
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -31,22 +29,11 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", "copy", "pos", F.xxhash64("line").alias("name"), weight.cast("int").alias("weight"))
 
 
-def _met(rows: DataFrame, table: DataFrame, keys: list[str], n: str) -> DataFrame:
-    """Inner join of rows with a table of distinct keys, whose column ``n`` counts the rows of each key.
-
-    Rows with a hot key meet it where they are; only the others are dealt out by key.
-    """
-    total = rows.agg(F.count("*")).first()[0]
-    hot = table.where(F.col(n) > total * HOT)
-    apart = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(n) <= total * HOT), keys)
-    return rows.join(F.broadcast(hot), keys).unionByName(apart)
-
-
 def repeated_runs(docs: DataFrame, min_weight: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Later copies of minimal counted runs: ``id, copy, pos, n_lines``."""
     lines = written(_lines(docs, id_col, text_col), "lines")
     again = written(lines.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"), "again")
-    rows = _met(lines, again, ["name"], "n").drop("n").dropDuplicates(["id", "copy", "pos"])
+    rows = join_hot(lines, again, ["name"], "n").drop("n").dropDuplicates(["id", "copy", "pos"])
 
     doc = Window.partitionBy("id", "copy").orderBy("pos")
     rows = rows.withColumn("island", F.col("pos") - F.row_number().over(doc))
@@ -73,7 +60,7 @@ def repeated_runs(docs: DataFrame, min_weight: int = 5, id_col: str = "doc_id",
     runs = rows.select("id", "copy", "pos", F.explode("runs").alias("run")).select("id", "copy", "pos", "run.*")
     runs = written(runs, "runs")
     first = written(runs.groupBy("n_lines", "name").agg(F.min(F.struct("id", "copy", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
-    return _met(runs, first, ["n_lines", "name"], "n").where(F.struct("id", "copy", "pos") > F.col("first")).select("id", "copy", "pos", "n_lines")
+    return join_hot(runs, first, ["n_lines", "name"], "n").where(F.struct("id", "copy", "pos") > F.col("first")).select("id", "copy", "pos", "n_lines")
 
 
 def line_dedup(docs: DataFrame, min_weight: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

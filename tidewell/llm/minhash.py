@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._shared import written
+from tidewell.llm._shared import join_hot, written
 from tidewell.llm._text import mix64, shingles, slices, span_hashes, text_bytes, words
 from tidewell.llm.components import components
 
@@ -99,16 +99,16 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """``node, set`` of ``id, text``: the sorted shingles, 32 bits each (a chance match is one in 4e9)."""
+    """``node, set`` of ``id, text``: the sorted 64-bit hashes of the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             rows, hashes, counts = weighted_shingles(part.column("text"))
             node = np.zeros(part.num_rows, np.uint64)
             np.add.at(node, rows, mix64(hashes ^ (counts.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))))
-            short = (hashes >> np.uint64(32)).astype("<u4")
+            wide = hashes.astype("<u8")
             ends = np.searchsorted(rows, np.arange(part.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(mix64(node).view(np.int64)), pa.array([short[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["node", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(mix64(node).view(np.int64)), pa.array([wide[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["node", "set"])
 
     return docs.mapInArrow(run, "node bigint, set binary")
 
@@ -123,7 +123,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 common = len(np.intersect1d(x, y, assume_unique=True)) if threshold * max(len(x), len(y)) <= min(len(x), len(y)) else 0
                 keep.append(common >= threshold * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -142,7 +142,7 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
     BLOCK members; a pair of members is looked at only in the first band that they share. Each is
     verified in place on the whole sets: only set sizes rule a pair out.
     """
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("set")) / (4 * BLOCK_SHINGLES))).cast("int")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("set")) / (8 * BLOCK_SHINGLES))).cast("int")
     sizes = members.groupBy("key").agg(blocks.alias("blocks"))
     dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -152,9 +152,9 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
         node, component, block = (group.column(c).to_numpy() for c in ("node", "component", "block"))
         bands = np.array(group.column("bands").to_pylist(), np.int64)
         sets = group.column("set").to_pylist()
-        size = np.array([len(x) // 4 for x in sets])
+        size = np.array([len(x) // 8 for x in sets])
         starts = np.cumsum(size) - size
-        shingle, place = np.unique(np.frombuffer(b"".join(sets), "<u4"), return_inverse=True)
+        shingle, place = np.unique(np.frombuffer(b"".join(sets), "<u8"), return_inverse=True)
         place, held = place.astype(np.int32), np.zeros(len(shingle), bool)
         key, i, j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
         band = int(np.flatnonzero(bands[0] == key)[0])
@@ -219,7 +219,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
 
     named = rows.select("id", "copy", "node").join(found, "node", "left").withColumn("class", F.coalesce("component", "node"))
     named = written(named.select("id", "copy", "class"), "named")
-    least = named.where("class is not null").groupBy("class").agg(F.min(F.struct("id", "copy")).alias("least"), F.count("*").alias("class_size"))
-    out = named.join(least, "class", "left")
+    some = named.where("class is not null")
+    least = written(some.groupBy("class").agg(F.min(F.struct("id", "copy")).alias("least"), F.count("*").alias("class_size")), "class_sums")
+    out = join_hot(some, least, ["class"], "class_size").unionByName(named.where("class is null"), allowMissingColumns=True)
     own = F.struct("id", "copy")
     return out.select(F.col("id").alias(id_col), "copy", F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("least.id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), (F.col("class").isNull() | own.eqNullSafe(F.col("least"))).alias("kept"))

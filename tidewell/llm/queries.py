@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import language
-from tidewell.llm._shared import scratch_path
+from tidewell.llm._shared import finished, scratch_path
 from tidewell.llm.bpe import bpe_digest, bpe_encode
 from tidewell.llm.cap_filters import CAP_LINKS_SQL, cap_links
 from tidewell.llm.decontaminate import contamination
@@ -26,11 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+    found = lambda: near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+    return finished(found, "op1")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_digest(suffix_dedup(table(spark, sf_dir, "documents")))
+    return finished(lambda: suffix_digest(suffix_dedup(table(spark, sf_dir, "documents"))), "op2")
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cap_links(table(spark, sf_dir, "embeddings"))
+    return finished(lambda: cap_links(table(spark, sf_dir, "embeddings")), "op4")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
-    scored = lm_scores(table(spark, sf_dir, "documents"), ~held)
+    scored = finished(lambda: lm_scores(table(spark, sf_dir, "documents"), ~held), "op6")
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -72,7 +73,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_digest(line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return finished(lambda: line_digest(line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))), "op10")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -15,7 +15,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._shared import written
+from tidewell.llm._shared import bucketed, written
 from tidewell.llm._text import mix64, slices, span_hashes, text_bytes
 
 GRAM = 32
@@ -394,7 +393,9 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     Bytes of the UTF-8 text go if a ``length``-byte string over them also starts earlier: at a smaller id
     (null first), then smaller text hash, or earlier in the same text. Overlaps count; strings are judged
     on the input and never cross texts. ``kept`` joins what is left. A null text counts as empty. Rows
-    that repeat id and text are one document: they do not remove each other and come back alike.
+    that repeat id and text are one document: they do not remove each other and come back alike. Whole
+    segments count as equal if 64-bit hashes of their bytes, places and lengths are; all other strings are
+    compared byte by byte. Other columns are not read.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -405,10 +406,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     # the texts are bucketed by document once; both joins below find them in place
     # (fewer buckets than shuffle partitions would be dealt anew)
     n_buckets = max(size // BUCKET_BYTES + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    name = f"suffix_texts_{uuid.uuid4().hex}"
     spread = rows if rows.rdd.getNumPartitions() * n_buckets <= SMALL_FILES else rows.repartition(int(n_buckets), "id", "copy")
-    spread.write.bucketBy(int(n_buckets), "id", "copy").option("compression", "zstd").saveAsTable(name)
-    texts = spark.table(name)
+    texts = bucketed(spread, "suffix_texts", int(n_buckets), "id", "copy")
 
     buckets = int(size // (BUCKET_SEGMENTS * 35)) + 2
     blobs = _segment_blobs(rows.select("id", "copy", "text"), length, buckets)
@@ -447,4 +446,5 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
 
 
 def suffix_digest(deduped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The counts and the hash of what :func:`suffix_dedup` kept of each row; an empty table gives none."""
     return deduped.select(id_col, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -207,6 +207,7 @@ def hamming_permutations(spark: SparkSession, n: int, count: int) -> DataFrame:
         rows = rows.withColumn("far", F.col("far") + F.aggregate(F.zip_with("order", last, lambda p, q: (p != q).cast("int")), F.lit(0), lambda s, d: s + d))
         best = rows.agg(F.max_by("order", F.struct("far", F.transform("order", lambda v: -v))).alias("order")).first()
         taken.append(list(best.order))
+    rows.unpersist()
     return spark.createDataFrame(list(enumerate(taken, 1)), "class int, order array<int>")
 
 

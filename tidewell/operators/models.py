@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml import Estimator, Pipeline
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.operators.metrics import auc, binary_report, log_likelihood
+from tidewell.operators.metrics import auc, best_threshold, binary_report, log_likelihood
 from tidewell.plans.splits import learning_curve, plan_rows
 
 KINDS = {"rf": RandomForestClassifier, "dt": DecisionTreeClassifier, "lr": LogisticRegression, "mlp": MultilayerPerceptronClassifier, "svm": LinearSVC, "gbt": GBTClassifier}
@@ -56,14 +57,15 @@ def svm_grid(n: int) -> list[dict]:
     return [{"regParam": 1 / (c * n)} for c in (0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0)]
 
 
-def grid_search(rows: DataFrame, kind: str, params: list[dict], metric: str = "balanced_acc") -> tuple[dict, DataFrame]:
+def grid_search(rows: DataFrame, kind: str | Callable[[dict], object], params: list[dict], metric: str = "balanced_acc") -> tuple[dict, DataFrame]:
     """Best parameters by the mean metric over the folds in ``fold``, and all means."""
     rows = rows.cache()
     folds = [r.fold for r in rows.select("fold").distinct().orderBy("fold").collect()]
     found = []
     for number, p in enumerate(params):
         for fold in folds:
-            model = make_estimator(kind, p).fit(rows.where(F.col("fold") != fold))
+            estimator = kind(p) if callable(kind) else make_estimator(kind, p)
+            model = estimator.fit(rows.where(F.col("fold") != fold))
             found.append(metrics(predictions(model, rows.where(F.col("fold") == fold)), []).select(F.lit(number).alias("params"), F.lit(fold).alias("fold"), metric).first())
     rows.unpersist()
     table = rows.sparkSession.createDataFrame([(r[0], r[1], float(r[2])) for r in found], f"params int, fold int, {metric} double")
@@ -86,7 +88,9 @@ def evaluate(points: DataFrame, plan: DataFrame, kind: str, params: dict | None
         own = rows.where(F.col("split_id") == split)
         out = predictions(make_estimator(kind, params).fit(own.where("role = 'train'")), own).select("split_id", "role", "y", "pred", "score")
         scored = out if scored is None else scored.union(out)
-    return metrics(scored, ["split_id", "role"])
+    found = metrics(scored, ["split_id", "role"]).collect()  # a row a split and role
+    rows.unpersist()
+    return points.sparkSession.createDataFrame(found)
 
 
 def random_features(vector: Column, n_in: int, n_out: int = 64, gamma: float = 0.1, seed: int = 0) -> Column:
@@ -128,22 +132,67 @@ class AdaBoost:
         return rows.withColumn("score", (total / span + 1) / 2).withColumn("pred", (F.col("score") > 0.5).cast("int")).drop(*(f"vote_{k}" for k in range(len(self.trees))))
 
 
+class PerDevice:
+    """A model for each device: a device whose training rows have one class predicts it, one without
+    training rows takes the model of all rows."""
+
+    def __init__(self, kind: str, params: dict | None = None):
+        self.kind, self.params, self.models, self.single = kind, params, {}, {}
+
+    def fit(self, rows: DataFrame) -> PerDevice:
+        made = PerDevice(self.kind, self.params)
+        counts = rows.groupBy("device").agg(F.sum("label").alias("p"), F.count("*").alias("n")).collect()  # a row a device
+        for c in counts:
+            if c.p in (0, c.n):
+                made.single[c.device] = 1.0 if c.p else 0.0
+            else:
+                made.models[c.device] = make_estimator(self.kind, self.params).fit(rows.where(F.col("device") == c.device))
+        made.models[None] = make_estimator(self.kind, self.params).fit(rows)
+        return made
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """The rows with ``score`` and ``pred``."""
+        known = [*self.single, *(d for d in self.models if d is not None)]
+        out = predictions(self.models[None], rows.where(~F.col("device").isin(known) if known else F.lit(True))).select(*rows.columns, "score", "pred")
+        for device, one in self.single.items():
+            own = rows.where(F.col("device") == device)
+            out = out.union(own.select(*rows.columns, F.lit(one).alias("score"), F.lit(int(one)).alias("pred")))
+        for device, model in self.models.items():
+            if device is not None:
+                out = out.union(predictions(model, rows.where(F.col("device") == device)).select(*rows.columns, "score", "pred"))
+        return out
+
+
 def per_device(rows: DataFrame, kind: str, params: dict | None = None) -> DataFrame:
-    """A model for each device and the union of their predictions; a device whose training rows have one
-    class predicts it, one without training rows takes the other devices' model."""
-    rows = rows.cache()
-    counts = {r.device: r for r in rows.groupBy("device").agg(F.sum(F.when(F.col("role") == "train", F.col("label"))).alias("p"), F.sum((F.col("role") == "train").cast("int")).alias("n")).collect()}
-    out = None
-    for device, c in sorted(counts.items()):
-        own = rows.where(F.col("device") == device)
-        if c.n and c.p in (0, c.n):
-            one = 1 if c.p else 0
-            part = own.withColumn("score", F.lit(float(one))).withColumn("pred", F.lit(one)).withColumn("y", F.col("label").cast("int"))
-        else:
-            part = predictions(make_estimator(kind, params).fit((own if c.n else rows).where("role = 'train'")), own)
-        part = part.select(*rows.columns, "y", "pred", "score")
-        out = part if out is None else out.union(part)
-    return out
+    """All rows with ``y, pred, score`` of :class:`PerDevice` fitted on those of role train."""
+    return predictions(PerDevice(kind, params).fit(rows.where("role = 'train'")), rows)
+
+
+class MultiTask:
+    """:func:`multi_task` over the devices as tasks: each row is scored by its task's coefficients, and
+    positive from the score on that is best on the training rows of all tasks."""
+
+    def __init__(self, n_features: int, g1: float = 0.01, g2: float = 1.0, column: str = "device"):
+        self.n, self.g1, self.g2, self.column, self.parts, self.threshold = n_features, g1, g2, column, {}, 0.5
+
+    def fit(self, rows: DataFrame) -> MultiTask:
+        made = MultiTask(self.n, self.g1, self.g2, self.column)
+        tasks = sorted(r[0] for r in rows.select(self.column).distinct().collect())
+        models, c = multi_task(rows.withColumn("task", F.col(self.column)), tasks, self.n, self.g1, self.g2)
+        made.parts = {t: ((m.coefficients.toArray() * c).tolist(), float(m.intercept)) for t, m in models.items()}
+        scored = made._scored(rows).withColumn("y", F.col("label").cast("int"))
+        made.threshold = best_threshold(scored, []).first()["threshold"]
+        return made
+
+    def _scored(self, rows: DataFrame) -> DataFrame:
+        margin = F.lit(0.0)
+        for task, (weights, intercept) in self.parts.items():
+            dot = F.aggregate(F.zip_with("x", F.array(*map(F.lit, weights)), lambda x, w: x * w), F.lit(intercept), lambda s, v: s + v)
+            margin = F.when(F.col(self.column) == task, dot).otherwise(margin)
+        return rows.withColumn("score", 1 / (1 + F.exp(-margin)))
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return self._scored(rows).withColumn("pred", (F.col("score") >= self.threshold).cast("int"))
 
 
 def multi_task(rows: DataFrame, tasks: list[str], n_features: int, g1: float, g2: float, p: int = 1, k: int = 1, rounds: int = 10) -> tuple[dict, np.ndarray]:
@@ -163,18 +212,28 @@ def multi_task(rows: DataFrame, tasks: list[str], n_features: int, g1: float, g2
     return models, c
 
 
-def stacked(rows: DataFrame, families: dict[str, list[str]], final: dict | None = None) -> Pipeline:
-    """One model a feature family, a boosted model on their probabilities: fitted, as a list of stages."""
+def stacked(rows: DataFrame, families: dict[str, list[str]], final: dict | None = None, share: float = 0.25) -> PipelineModel:
+    """One model a feature family, a boosted model on their probabilities: fitted, as a list of stages.
+
+    A family's model is a logistic or a boosted one, whichever has the better balanced accuracy on the
+    ``share`` of the participants that both were kept from; it is then fitted on all rows.
+    """
     fitted, columns = [], []
+    aside = F.pmod(F.xxhash64("pid"), F.lit(1000)) < share * 1000
     for name, features in families.items():
+        own = {"featuresCol": f"{name}_x", "labelCol": "label", "probabilityCol": f"{name}_p", "rawPredictionCol": f"{name}_r", "predictionCol": f"{name}_y"}
+        kinds = [LogisticRegression(**own), GBTClassifier(**own, maxIter=5)]
         assembler = VectorAssembler(inputCols=features, outputCol=f"{name}_x", handleInvalid="keep")
-        model = Pipeline(stages=[assembler, LogisticRegression(featuresCol=f"{name}_x", labelCol="label", probabilityCol=f"{name}_p", rawPredictionCol=f"{name}_r", predictionCol=f"{name}_y")]).fit(rows)
+        good = []
+        for kind in kinds:
+            tried = Pipeline(stages=[assembler, kind]).fit(rows.where(~aside)).transform(rows.where(aside))
+            report = binary_report(tried.select(F.col("label").alias("y"), F.col(f"{name}_y").cast("int").alias("pred")), [])
+            good.append(report.first()["balanced_acc"] or 0.0)
+        model = Pipeline(stages=[assembler, kinds[int(good[1] > good[0])]]).fit(rows)
         fitted.append(model)
         rows = model.transform(rows)
         columns.append(f"{name}_p")
     top = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), GBTClassifier(labelCol="label", **(final or {"maxIter": 5}))]).fit(rows)
-    from pyspark.ml import PipelineModel
-
     return PipelineModel(stages=[*fitted, top])
 
 
@@ -214,6 +273,7 @@ def domain_curve(points: DataFrame, domain: str, fractions: list[float], repeats
             model = RandomForestClassifier(numTrees=10, maxDepth=3, seed=seed).fit(own.where("role = 'train'"))
             acc = model.transform(indexed.where("role = 'test'")).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
             out.append((float(f), r, acc))
+    indexed.unpersist()
     return points.sparkSession.createDataFrame(out, "fraction double, repeat int, accuracy double")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import scalar
 from tidewell.operators import cf, embed, metrics, models, quality, rules, scale, screen, trend, windows
-from tidewell.plans import splits, views
+from tidewell.plans import published, registry, splits, views
 from tidewell.sources import io
 from tidewell.streaming import segments
 
@@ -1261,6 +1261,38 @@ def _(s, d):
     return s.createDataFrame(models.stability_select(_matrix(s, d), 10, n=4, reg=0.02), "feature int, frequency double")
 
 
+# --- published pipelines: feature matrices with SQL, fits without
+
+
+def _named(stats: dict[str, str], days: int = 14) -> str:
+    """SQL of ``feature#stat`` rows."""
+    return " UNION ALL ".join(f"SELECT pid, label_date, feature || '#{name}' AS feature, {agg} AS value FROM (SELECT *, CAST(date - (label_date - 13) AS DOUBLE) AS x FROM win WHERE date > label_date - {days}) GROUP BY pid, label_date, win.feature" for name, agg in stats.items()).replace("GROUP BY pid, label_date, win.feature", "GROUP BY pid, label_date, feature")
+
+
+_SLOPE = "(count(*) * sum(x * value) - sum(x) * sum(value)) / (count(*) * sum(x * x) - sum(x) * sum(x) + 1e-7)"
+
+
+@query("features_trend", "i:pid d:label_date s:feature r:value", _named({"mean": "avg(value)", "std": "stddev_samp(value)", "slope": _SLOPE}))
+def _(s, d):
+    return published.trend_features(views.windows(s, d))
+
+
+@query("features_broad", "i:pid d:label_date s:feature r:value", f"SELECT pid, label_date, feature, value FROM win WHERE date = label_date UNION ALL {_named({'mean': 'avg(value)', 'sum': 'sum(value)', 'std': 'stddev_samp(value)', 'min': 'min(value)', 'max': 'max(value)'})}")
+def _(s, d):
+    return published.broad_features(views.windows(s, d))
+
+
+def _published(name: str) -> None:
+    @query(f"published_{name}", "s:role i:n r:acc r:balanced_acc r:auc")
+    def _(s, d):
+        points = splits.within_user(views.points(s, d).drop("score"))
+        return published.evaluate(registry.load_algorithm(f"ml_{name}"), views.windows(s, d), points)
+
+
+for _name in ("saeb", "wang"):
+    _published(_name)
+
+
 # --- streams: the event log read as a stream
 
 

@@ -33,9 +33,9 @@ from tidewell.llm._shared import bucketed, written
 from tidewell.llm._text import _LOWER, mix64, slices, span_hashes, text_bytes, word_spans
 
 #: Tokens of a slice, about; one document with more is a slice of its own.
-SLICE_TOKENS = 2_500_000
+SLICE_TOKENS = 1_500_000
 #: Requests of a bucket, about, and requests a token that are reckoned with.
-BUCKET_REQUESTS, REQUESTS_A_TOKEN = 2_500_000, 1.6
+BUCKET_REQUESTS, REQUESTS_A_TOKEN = 1_500_000, 1.6
 #: Bits of a pair's or triple's hash that travel, beyond the binary logarithm of all tokens: about one
 #: n-gram in 2 ** SPARE_BITS is taken for another, at any size. Words travel with all 64 bits.
 SPARE_BITS = 20

@@ -12,6 +12,7 @@ from tidewell.llm import language
 from tidewell.llm._shared import finished, scratch_path
 from tidewell.llm.bpe import bpe_digest, bpe_encode
 from tidewell.llm.cap_filters import CAP_LINKS_SQL, cap_links
+from tidewell.llm.chunk_bpe import chunk_encode
 from tidewell.llm.decontaminate import contamination
 from tidewell.llm.interpolation import lm_scores
 from tidewell.llm.licenses import license_scan, license_sql
@@ -76,6 +77,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(lambda: line_digest(line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))), "op10")
 
 
+def op12_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = chunk_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_byte_bpe": op7_byte_bpe,
     "op9_language": op9_language,
     "op10_line_dedup": op10_line_dedup,
+    "op12_chunk_bpe": op12_chunk_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -18,6 +18,7 @@ from tidewell.llm.interpolation import lm_scores
 from tidewell.llm.licenses import license_scan, license_sql
 from tidewell.llm.line_dedup import line_dedup, line_dedup_sql, line_digest
 from tidewell.llm.minhash import near_duplicates
+from tidewell.llm.periodic import periodic_runs
 from tidewell.llm.suffix_dedup import suffix_dedup, suffix_digest
 from tidewell.llm.token_store import encode_ids, read_blocks, shard_bounds, write_blocks
 
@@ -77,6 +78,28 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(lambda: line_digest(line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))), "op10")
 
 
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: in documents whose hash ends in 0 the words from one place on are repeated with a period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("words"))
+    counted = words.withColumn("n", F.size("words")).withColumn("a", F.expr("g % nullif(n, 0)").cast("int"))
+    counted = counted.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)").cast("int"))
+    cycle = F.expr("flatten(array_repeat(slice(words, a + 1, p), cast(ceil((n - a) / p) as int)))")
+    repeated = F.array_join(F.concat(F.expr("slice(words, 1, a)"), F.slice(cycle, F.lit(1), F.expr("n - a"))), " ")
+    return counted.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(planted_periods(table(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r.length).alias("shorter"), r.start.alias("start"), r.period.alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n"))), "")
+    found = found.withColumn("best", best).withColumn("length", -F.col("best.shorter"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), "length", F.col("best.period").alias("period"),
+        F.expr("1000 * length div best.period").alias("exponent_milli"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = chunk_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -93,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_byte_bpe": op7_byte_bpe,
     "op9_language": op9_language,
     "op10_line_dedup": op10_line_dedup,
+    "op11_periodic": op11_periodic,
     "op12_chunk_bpe": op12_chunk_bpe,
 }
 

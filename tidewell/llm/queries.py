@@ -14,6 +14,7 @@ from tidewell.llm.bpe import bpe_digest, bpe_encode
 from tidewell.llm.cap_filters import CAP_LINKS_SQL, cap_links
 from tidewell.llm.chunk_bpe import chunk_encode
 from tidewell.llm.decontaminate import contamination
+from tidewell.llm.hard_negatives import HARD_NEGATIVES_SQL, hard_negatives
 from tidewell.llm.interpolation import lm_scores
 from tidewell.llm.licenses import license_scan, license_sql
 from tidewell.llm.line_dedup import line_dedup, line_dedup_sql, line_digest
@@ -105,6 +106,15 @@ def op12_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components in whole 256ths; where 7 divides the id, the label is that of the next class."""
+    rows = table(spark, sf_dir, "embeddings").where("vec_id is not null and label is not null and embedding is not null")
+    rows = rows.where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vector = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("bigint"))
+    return finished(lambda: hard_negatives(rows.select(F.col("vec_id").alias("id"), label.alias("label"), vector.alias("vector"))), "op13")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -118,10 +128,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_periodic": op11_periodic,
     "op12_chunk_bpe": op12_chunk_bpe,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_cap_filters": CAP_LINKS_SQL,
     "op8_licenses": license_sql(),
     "op10_line_dedup": line_dedup_sql(),
+    "op13_hard_negatives": HARD_NEGATIVES_SQL,
 }

@@ -16,10 +16,12 @@ import json
 import os
 from array import array
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,10 @@ TABLE_BYTES = 8 << 20
 CACHE = 12_000
 #: Bytes by which the end of a text may change the splits before it: a split is decided at most three characters on.
 LOOK = 16
+#: Pieces between splits that a worker keeps, and their characters at most.
+PIECES, PIECE = 400_000, 64
+#: The split pattern of byte-level tokenizer files: a fixed value.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes after a cut that the first window takes in.
 WINDOW = 40
 
@@ -65,16 +71,16 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
 
 
 class Encoded:
-    """Ids of a text on its own as little-endian 32-bit integers; its splits as bytes and as ids before them."""
+    """Ids of a text on its own as little-endian 32-bit integers; its splits by the bytes of text and of ids before them."""
 
-    __slots__ = ("ids", "splits", "tokens")
+    __slots__ = ("ids", "places", "splits")
 
-    def __init__(self, ids: np.ndarray, splits: np.ndarray, tokens: np.ndarray):
-        self.ids, self.splits, self.tokens = ids.astype("<u4").tobytes(), array("I", splits.astype(np.uint32).tobytes()), array("I", tokens.astype(np.uint32).tobytes())
+    def __init__(self, ids: bytes, splits: Iterable[int], places: Iterable[int]):
+        self.ids, self.splits, self.places = ids, array("I", splits), array("I", places)
 
     def part(self, start: int, stop: int | None = None) -> bytes:
         """Ids between two splits, given by their numbers."""
-        return self.ids[4 * self.tokens[start] : None if stop is None else 4 * self.tokens[stop]]
+        return self.ids[self.places[start] : None if stop is None else self.places[stop]]
 
 
 class ChunkBpe:
@@ -100,17 +106,62 @@ class ChunkBpe:
         for token, k in vocab.items():
             self.bytes[k] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
         self.length = np.array([len(b) for b in self.bytes], np.int64)
+        self.split = regex.compile(SPLIT)
+        self.odd = self._odd_characters()
+        self.pieces: dict[str, bytes] = {}
         self.shared: dict[bytes, Encoded] = {}
         self.young: dict[bytes, Encoded] = {}
         self.old: dict[bytes, Encoded] = {}
 
+    def _odd_characters(self) -> regex.Pattern:
+        """Matches characters that the library's pattern does not class as the same pattern does here, and all beyond the first plane."""
+        chars = [chr(c) for c in range(0x10000) if not 0xD800 <= c <= 0xDFFF]
+        odd = set()
+        for before in "a1!":
+            text = "".join(f"\n{before}{c}" for c in chars)
+            here = {m.start() for m in self.split.finditer(text)}
+            there = {start for _, (start, _) in self.library.pre_tokenizer.pre_tokenize_str(text)}
+            odd |= {c for k, c in enumerate(chars) if (3 * k + 2 in here) != (3 * k + 2 in there)}
+        return regex.compile("[\U00010000-\U0010ffff" + "".join(map(regex.escape, sorted(odd))) + "]")
+
+    def _learn_pieces(self, new: list[str]) -> None:
+        """Ids of pieces from the library; words after a space go as one text, which it splits before each space."""
+        words = [p for p in new if p[0] == " " and p[1:].isalpha()]
+        for k in range(0, len(words), 2000):
+            part = words[k : k + 2000]
+            e = self.library.encode("".join(part), add_special_tokens=False)
+            ids, number = np.array(e.ids, "<u4"), np.array(e.word_ids, np.int64)
+            ends = np.flatnonzero(np.append(number[1:] != number[:-1], True)) + 1
+            if np.array_equal(np.cumsum(self.length[ids])[ends - 1], list(accumulate(len(p.encode()) for p in part))):
+                raw = ids.tobytes()
+                self.pieces.update(zip(part, (raw[4 * i : 4 * j] for i, j in zip([0, *ends.tolist()], ends.tolist(), strict=False)), strict=True))
+        rest = [p for p in new if p not in self.pieces]
+        for k in range(0, len(rest), 2000):
+            part = rest[k : k + 2000]
+            self.pieces.update((p, array("I", e.ids).tobytes()) for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True))
+
     def alone(self, texts: list[bytes]) -> list[Encoded]:
-        """Each text, free of added tokens, encoded by itself."""
+        """Each text, free of added tokens, encoded by itself: split here, each new piece's ids from the library."""
+        plain = [t.decode() for t in texts]
+        found = [None if not t.isascii() and self.odd.search(t) else self.split.findall(t) for t in plain]
+        if len(self.pieces) > PIECES:
+            self.pieces.clear()
+        new = [p for p in set().union(*filter(None, found)) if p not in self.pieces]
+        self._learn_pieces(new)
         out = []
-        for e in self.library.encode_batch([t.decode() for t in texts], add_special_tokens=False):
-            ids, words = np.array(e.ids, np.int64), np.array(e.word_ids, np.int64)
-            tokens = np.concatenate([[0], np.flatnonzero(words[1:] != words[:-1]) + 1, [len(ids)]]) if len(ids) else np.zeros(1, np.int64)
-            out.append(Encoded(ids, np.concatenate([[0], np.cumsum(self.length[ids])])[tokens], tokens))
+        for text, f in zip(plain, found, strict=True):
+            if f is not None:
+                ids = list(map(self.pieces.__getitem__, f))
+                size = map(len, f) if text.isascii() else map(len, map(str.encode, f))
+                out.append(Encoded(b"".join(ids), accumulate(size, initial=0), accumulate(map(len, ids), initial=0)))
+                continue
+            e = self.library.encode(text, add_special_tokens=False)
+            ids, words = np.array(e.ids, "<u4"), np.array(e.word_ids, np.int64)
+            tokens = np.concatenate([[0], np.flatnonzero(words[1:] != words[:-1]) + 1, [len(ids)]])
+            out.append(Encoded(ids.tobytes(), np.concatenate([[0], np.cumsum(self.length[ids])])[tokens].tolist(), (4 * tokens).tolist()))
+        for piece in new:  # long pieces hardly come again
+            if len(piece) > PIECE:
+                del self.pieces[piece]
         return out
 
     def known(self, text: bytes) -> Encoded | None:
@@ -271,11 +322,11 @@ def shared_chunks(texts: DataFrame, path: str, table_bytes: int = TABLE_BYTES) -
         for batch in batches:
             chunks = [c for c in batch.column("chunk").to_pylist() if not any(t.encode() in c for t in bpe.added)]
             made = bpe.alone(chunks)
-            columns = [chunks, [e.ids for e in made], [e.splits.tobytes() for e in made], [e.tokens.tobytes() for e in made]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["chunk", "ids", "splits", "tokens"])
+            columns = [chunks, [e.ids for e in made], [e.splits.tobytes() for e in made], [e.places.tobytes() for e in made]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["chunk", "ids", "splits", "places"])
 
     one = texts.mapInArrow(picked, "hash bigint, chunk binary").groupBy("hash").agg(F.min("chunk").alias("chunk"))
-    return [tuple(map(bytes, r)) for r in one.select("chunk").mapInArrow(encoded, "chunk binary, ids binary, splits binary, tokens binary").collect()]
+    return [tuple(map(bytes, r)) for r in one.select("chunk").mapInArrow(encoded, "chunk binary, ids binary, splits binary, places binary").collect()]
 
 
 def chunk_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
@@ -294,10 +345,8 @@ def chunk_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         bpe.shared = {}
-        for chunk, ids, splits, tokens in table.value:
-            e = Encoded.__new__(Encoded)
-            e.ids, e.splits, e.tokens = ids, array("I", splits), array("I", tokens)
-            bpe.shared[chunk] = e
+        for chunk, ids, *places in table.value:
+            bpe.shared[chunk] = Encoded(ids, *(array("I", p) for p in places))
         for part in slices(batches):
             ids = bpe.encode(part.column("text"))
             yield pa.RecordBatch.from_arrays(

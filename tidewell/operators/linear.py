@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Numbers of curvature that one pass gathers at most; more models go in several runs.
+#: Numbers of curvature that a task sums up for all models at most; more models go in several runs.
 STATE = 1 << 20
 #: Rows of a matrix in a task.
 ROWS = 4096
@@ -75,28 +75,29 @@ def _added(parts: DataFrame) -> dict[int, np.ndarray]:
     return {r.model: np.frombuffer(bytes(r.sums)) for r in parts.groupBy("model").applyInArrow(add, "model bigint, sums binary").collect()}
 
 
-def _sums(rows: DataFrame, w: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log loss, gradient and curvature of each model over its rows, as means."""
-    m, d = w.shape[0], w.shape[1] - 1
+def _sums(rows: DataFrame, w: np.ndarray, fold: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log loss, gradient and curvature of each model over its rows and its ``own`` columns (M, k), as means."""
+    m, d, k = len(w), w.shape[1] - 1, own.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((m, 2 + (d + 1) + (d + 1) ** 2))
+        total = np.zeros((m, 2 + k + k * k))
         for x, y, held in _matrices(batches, d):
             use = (held[:, None] != fold).astype(float)
             z = x @ w.T
             p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
             total[:, 0] += use.sum(axis=0)
             total[:, 1] += (use * (np.logaddexp(0, z) - y[:, None] * z)).sum(axis=0)
-            total[:, 2 : d + 3] += ((p - y[:, None]) * use).T @ x
+            total[:, 2 : k + 2] += np.take_along_axis(((p - y[:, None]) * use).T @ x, own, axis=1)
             curved = p * (1 - p) * use
             for j in range(m):
-                total[j, d + 3 :] += ((x * curved[:, j : j + 1]).T @ x).ravel()
+                mine = x[:, own[j]]
+                total[j, k + 2 :] += ((mine * curved[:, j : j + 1]).T @ mine).ravel()
         yield pa.RecordBatch.from_arrays([pa.array(range(m), pa.int64()), pa.array([t.tobytes() for t in total], pa.binary())], ["model", "sums"])
 
     added = _added(rows.mapInArrow(run, "model bigint, sums binary"))
-    total = np.array([added[j] for j in range(m)])
+    total = np.array([added[j] for j in range(m)]) if added else np.zeros((m, 2 + k + k * k))
     n = np.maximum(total[:, :1], 1)
-    return total[:, 1] / n[:, 0], total[:, 2 : d + 3] / n, (total[:, d + 3 :] / n).reshape(m, d + 1, d + 1)
+    return total[:, 1] / n[:, 0], total[:, 2 : k + 2] / n, (total[:, k + 2 :] / n).reshape(m, k, k)
 
 
 def deviations(rows: DataFrame, d: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
@@ -152,21 +153,30 @@ def fit_many(rows: DataFrame, d: int, what: Fits, rounds: int = 50, tolerance: f
     ``rows``: ``x array<double>`` of d numbers without nulls, ``label`` 0 or 1 and, for models that keep a fold
     out, ``fold``. A model without rows has coefficients of 0. Each model stops when its objective has.
     """
-    room = max(1, STATE // (d + 1) ** 2)
+    # a model's own columns: its features, the intercept, and as padding the intercept again, held at no change
+    count = (what.scales > 0).sum(axis=1)
+    k = int(count.max(initial=0)) + 1
+    room = max(1, STATE // k**2)
     if len(what) > room:
-        return np.concatenate([fit_many(rows, d, what.part(slice(k, k + room)), rounds, tolerance) for k in range(0, len(what), room)])
-    rows = _input(rows)
-    ones = np.ones((len(what), 1))
-    free = np.concatenate([what.scales > 0, ones > 0], axis=1)
-    inverse = 1 / np.where(what.scales > 0, what.scales, 1)
-    l1 = np.concatenate([what.l1[:, None] * inverse, 0 * ones], axis=1)
-    l2 = np.concatenate([what.l2[:, None] * inverse**2, 0 * ones], axis=1)
-    w = np.zeros((len(what), d + 1))
+        return np.concatenate([fit_many(rows, d, what.part(slice(at, at + room)), rounds, tolerance) for at in range(0, len(what), room)])
+    own = np.full((len(what), k), d)
+    for j, n in enumerate(count.tolist()):
+        own[j, :n] = np.flatnonzero(what.scales[j] > 0)
+    free = np.arange(k) <= count[:, None]
+    inverse = 1 / np.where(own < d, np.take_along_axis(np.append(what.scales, np.ones((len(what), 1)), axis=1), own, axis=1), 1)
+    l1, l2 = what.l1[:, None] * inverse * (own < d), what.l2[:, None] * inverse**2 * (own < d)
+    rows, w = _input(rows), np.zeros((len(what), k))
     best, base, goal = w.copy(), w.copy(), w.copy()
     value, share = np.full(len(what), np.inf), np.ones(len(what))
     live = np.arange(len(what))
+
+    def spread(narrow: np.ndarray, which: np.ndarray) -> np.ndarray:
+        wide = np.zeros((len(which), d + 1))
+        np.add.at(wide, (np.arange(len(which))[:, None], own[which]), np.where(free[which], narrow, 0.0))
+        return wide
+
     for _ in range(rounds):
-        loss, gradient, curve = _sums(rows, w[live], what.fold[live])
+        loss, gradient, curve = _sums(rows, spread(w[live], live), what.fold[live], own[live])
         now = loss + (l1[live] * np.abs(w[live]) + l2[live] * w[live] ** 2 / 2).sum(axis=1)
         better = now <= value[live] + 1e-14
         done = better & (value[live] - now <= tolerance * np.abs(now)) & np.isfinite(value[live])
@@ -180,7 +190,7 @@ def fit_many(rows: DataFrame, d: int, what: Fits, rounds: int = 50, tolerance: f
         if not len(live):
             break
         w[live] = base[live] + share[live, None] * (goal[live] - base[live])
-    return best
+    return spread(best, np.arange(len(what)))
 
 
 def probability(w: np.ndarray) -> Column:

@@ -4,20 +4,26 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators import linear
 from tidewell.operators.metrics import auc, best_threshold, binary_report, log_likelihood
 from tidewell.plans.splits import learning_curve, plan_rows
 
 KINDS = {"rf": RandomForestClassifier, "dt": DecisionTreeClassifier, "lr": LogisticRegression, "mlp": MultilayerPerceptronClassifier, "svm": LinearSVC, "gbt": GBTClassifier}
 
+#: Costs of a family's lasso, sizes of its boosted model, and sizes of the upper one: the published grids.
+COSTS, SIZES, TOP = tuple(10.0**k for k in range(-4, 5)), tuple(range(4, 41, 4)), tuple(range(10, 101, 10))
+
 
 def make_estimator(kind: str, params: dict | None = None) -> Estimator:
     """A classifier on ``features`` and ``label``; "adaboost" gives :class:`AdaBoost`."""
@@ -49,28 +55,42 @@ def lasso_grid(n: int) -> list[dict]:
     return [{"regParam": 1 / (2.0**e * n), "elasticNetParam": 1.0} for e in range(-15, 16)]
 
 
-def forest_grid() -> list[dict]:
-    return [{"numTrees": 450, "minInstancesPerNode": m} for m in (1, 2, 4, 8, 16, 32, 64, 128)]
-
-
 def svm_grid(n: int) -> list[dict]:
     return [{"regParam": 1 / (c * n)} for c in (0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0)]
 
 
+def at_once(jobs: list[Callable[[], object]], parallelism: int = 8) -> list:
+    """Results of Spark jobs that the driver starts side by side; their plans share the cluster."""
+    with ThreadPoolExecutor(max(1, min(parallelism, len(jobs)))) as pool:
+        return list(pool.map(lambda job: job(), jobs))
+
+
 def grid_search(rows: DataFrame, kind: str | Callable[[dict], object], params: list[dict], metric: str = "balanced_acc") -> tuple[dict, DataFrame]:
-    """Best parameters by the mean metric over the folds in ``fold``, and all means."""
+    """Best parameters by the mean metric over the folds in ``fold``, and all means (``params, mean``).
+
+    Elastic-net grids of ``lr`` over ``x`` are fitted together, all folds at once; other kinds are fitted side
+    by side. Either way the held-out scores of all fits make one relation, whose metrics are one aggregation.
+    """
     rows = rows.cache()
     folds = [r.fold for r in rows.select("fold").distinct().orderBy("fold").collect()]
-    found = []
-    for number, p in enumerate(params):
-        for fold in folds:
-            estimator = kind(p) if callable(kind) else make_estimator(kind, p)
+    if kind == "lr" and "x" in rows.columns and all(set(p) <= {"regParam", "elasticNetParam"} for p in params):
+        d = len(rows.select("x").first()["x"])
+        what = linear.standard(rows, d, linear.fits([p.get("regParam", 0.0) for p in params], [p.get("elasticNetParam", 0.0) for p in params], folds, np.ones(d)))
+        scored = linear.score_many(rows, d, linear.fit_many(rows, d, what), what)
+        scored = scored.select(F.floor(F.col("model") / len(folds)).cast("int").alias("params"), "fold", "y", (F.col("score") > 0.5).cast("int").alias("pred"), "score")
+    else:
+
+        def held_out(number: int, fold: int) -> DataFrame:
+            estimator = kind(params[number]) if callable(kind) else make_estimator(kind, params[number])
             model = estimator.fit(rows.where(F.col("fold") != fold))
-            found.append(metrics(predictions(model, rows.where(F.col("fold") == fold)), []).select(F.lit(number).alias("params"), F.lit(fold).alias("fold"), metric).first())
+            return predictions(model, rows.where(F.col("fold") == fold)).select(F.lit(number).alias("params"), F.lit(fold).alias("fold"), "y", "pred", "score")
+
+        parts = at_once([lambda n=n, f=f: held_out(n, f) for n in range(len(params)) for f in folds])
+        scored = reduce(DataFrame.union, parts)
+    found = metrics(scored, ["params", "fold"]).groupBy("params").agg(F.avg(metric).alias("mean"))
+    means = rows.sparkSession.createDataFrame([(r["params"], r["mean"]) for r in found.collect()], "params int, mean double")  # a row a parameter
     rows.unpersist()
-    table = rows.sparkSession.createDataFrame([(r[0], r[1], float(r[2])) for r in found], f"params int, fold int, {metric} double")
-    means = table.groupBy("params").agg(F.avg(metric).alias("mean"))
-    return params[means.orderBy(F.col("mean").desc(), "params").first()["params"]], means
+    return params[means.orderBy(F.desc_nulls_last("mean"), "params").first()["params"]], means
 
 
 def metrics(pred: DataFrame, by: list[str]) -> DataFrame:
@@ -212,42 +232,138 @@ def multi_task(rows: DataFrame, tasks: list[str], n_features: int, g1: float, g2
     return models, c
 
 
-def stacked(rows: DataFrame, families: dict[str, list[str]], final: dict | None = None, share: float = 0.25) -> PipelineModel:
-    """One model a feature family, a boosted model on their probabilities: fitted, as a list of stages.
+def staged(model, rows: DataFrame, sizes: tuple[int, ...], keep: list[str]) -> DataFrame:  # noqa: ANN001
+    """``size, p`` beside ``keep``: positive probabilities of a boosted model's first trees."""
+    names = [f"__t{k}" for k in range(max(sizes))]
+    for name, tree in zip(names, model.trees, strict=False):
+        rows = tree.setPredictionCol(name).transform(rows)
+    margins = [sum(float(w) * F.col(n) for w, n in zip(model.treeWeights[:size], names, strict=False)) for size in sizes]
+    options = F.array(*(F.struct(F.lit(size).alias("size"), (1 / (1 + F.exp(-2 * m))).alias("p")) for size, m in zip(sizes, margins, strict=True)))
+    return rows.select(*keep, F.explode(options).alias("o")).select(*keep, "o.size", "o.p")
 
-    A family's model is a logistic or a boosted one, whichever has the better balanced accuracy on the
-    ``share`` of the participants that both were kept from; it is then fitted on all rows.
+
+def boosted(features: str, size: int, seed: int = 0) -> GBTClassifier:
+    return GBTClassifier(featuresCol=features, labelCol="label", maxIter=size, maxDepth=3, stepSize=0.1, seed=seed)
+
+
+class Stacking(Estimator):
+    """A model a feature family, and a boosted model on their positive probabilities.
+
+    ``families`` names the places in ``x`` of each family. All their elastic nets, of every cost and without
+    every fold, are fitted together; of a boosted model one fit a fold gives all sizes. A family takes the
+    option with the best mean F1 over the folds. The upper model learns from probabilities that come from
+    models which never saw the row: ``row_id, family, fold, probability``, kept as ``unseen``. Its size is
+    chosen by the same folds. Rows: ``row_id bigint, x, label, fold``.
     """
-    fitted, columns = [], []
-    aside = F.pmod(F.xxhash64("pid"), F.lit(1000)) < share * 1000
-    for name, features in families.items():
-        own = {"featuresCol": f"{name}_x", "labelCol": "label", "probabilityCol": f"{name}_p", "rawPredictionCol": f"{name}_r", "predictionCol": f"{name}_y"}
-        kinds = [LogisticRegression(**own), GBTClassifier(**own, maxIter=5)]
-        assembler = VectorAssembler(inputCols=features, outputCol=f"{name}_x", handleInvalid="keep")
-        good = []
-        for kind in kinds:
-            tried = Pipeline(stages=[assembler, kind]).fit(rows.where(~aside)).transform(rows.where(aside))
-            report = binary_report(tried.select(F.col("label").alias("y"), F.col(f"{name}_y").cast("int").alias("pred")), [])
-            good.append(report.first()["balanced_acc"] or 0.0)
-        model = Pipeline(stages=[assembler, kinds[int(good[1] > good[0])]]).fit(rows)
-        fitted.append(model)
-        rows = model.transform(rows)
-        columns.append(f"{name}_p")
-    top = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), GBTClassifier(labelCol="label", **(final or {"maxIter": 5}))]).fit(rows)
-    return PipelineModel(stages=[*fitted, top])
-
-
-def stability_select(rows: DataFrame, n_features: int, n: int = 200, scaling: float = 0.5, frac: float = 0.75, reg: float = 0.05, seed: int = 0) -> list[tuple[int, float]]:
-    """Selection frequency of each feature of ``x`` in n lasso fits on features scaled 1 or ``scaling`` at
-    random; all fits share one mask of ``frac`` of the rows, by hash of ``row_id``."""
-    masked = rows.where(F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(1000)) < frac * 1000).select("x", "label").cache()
-    random, hits = np.random.default_rng(seed), np.zeros(n_features)
-    for _ in range(n):
-        scale = F.array(*map(F.lit, np.where(random.random(n_features) < 0.5, scaling, 1.0).tolist()))
-        fit = LogisticRegression(elasticNetParam=1.0, regParam=reg, maxIter=50).fit(masked.withColumn("features", array_to_vector(F.zip_with("x", scale, lambda x, s: x * s))))
-        hits += np.abs(fit.coefficients.toArray()) > 1e-10
+
+    def __init__(self, families: dict[str, list[int]], costs: tuple[float, ...] = COSTS, sizes: tuple[int, ...] = SIZES, top: tuple[int, ...] = TOP):
+        super().__init__()
+        self.families, self.costs, self.sizes, self.top = families, costs, sizes, top
+
+    def _fit(self, rows: DataFrame) -> StackingModel:
+        rows = rows.select("row_id", F.col("x").cast("array<double>").alias("x"), F.col("label").cast("double").alias("label"), F.col("fold").cast("bigint").alias("fold")).cache()
+        facts = rows.groupBy("fold").agg(F.count("*").alias("n")).orderBy("fold").collect()
+        folds, n, d = [r["fold"] for r in facts], sum(r["n"] for r in facts), len(rows.select("x").first()["x"])
+        names = list(self.families)
+
+        member = np.array([[k in self.families[f] for k in range(d)] for f in names], float)
+        every = [*folds, -1]
+        reg = [1 / (c * n) for _ in names for c in self.costs]
+        what = linear.fits(reg, [1.0] * len(reg), every, np.repeat(member, len(self.costs), axis=0))
+        w = linear.fit_many(rows, d, what)
+        nets = linear.score_many(rows, d, w, what, "row_id").withColumn("option", F.floor(F.col("model") / len(every)).cast("int"))
+        nets = nets.select((F.floor(F.col("option") / len(self.costs))).cast("int").alias("family"), F.concat(F.lit("net"), (F.col("option") % len(self.costs)).cast("string")).alias("option"), "row_id", "fold", "y", F.col("score").alias("p"))
+
+        vector = {f: array_to_vector(F.array(*(F.col("x")[k] for k in self.families[f]))) for f in names}
+
+        def trees(number: int, fold: int) -> DataFrame:
+            own = rows.select("row_id", "fold", "label", vector[names[number]].alias("features"))
+            out = staged(boosted("features", max(self.sizes)).fit(own.where(F.col("fold") != fold)), own.where(F.col("fold") == fold), self.sizes, ["row_id", "fold", "label"])
+            return out.select(F.lit(number).alias("family"), F.concat(F.lit("trees"), F.col("size").cast("string")).alias("option"), "row_id", "fold", F.col("label").cast("int").alias("y"), "p")
+
+        options = reduce(DataFrame.union, [nets, *at_once([lambda k=k, f=f: trees(k, f) for k in range(len(names)) for f in folds])]).cache()
+        reports = binary_report(options.withColumn("pred", (F.col("p") > 0.5).cast("int")), ["family", "option", "fold"])
+        order = Window.partitionBy("family").orderBy(F.desc("f1"), "option")
+        scores = reports.groupBy("family", "option").agg(F.avg("f1").alias("f1")).withColumn("place", F.row_number().over(order)).where("place = 1")
+        chosen = {names[r.family]: (r.option, r.f1) for r in scores.collect()}  # a row a family
+        picked = rows.sparkSession.createDataFrame([(k, chosen[f][0], f) for k, f in enumerate(names)], "family int, option string, name string")
+        unseen = options.join(F.broadcast(picked), ["family", "option"]).select("row_id", F.col("name").alias("family"), "fold", "y", F.col("p").alias("probability")).cache()
+
+        wide = unseen.groupBy("row_id", "fold", "y").pivot("family", names).agg(F.first("probability"))
+        upper = wide.select("row_id", "fold", F.col("y").cast("double").alias("label"), array_to_vector(F.array(*(F.col(f"`{f}`") for f in names))).alias("features")).cache()
+        kept = at_once([lambda f=f: staged(boosted("features", max(self.top)).fit(upper.where(F.col("fold") != f)), upper.where(F.col("fold") == f), self.top, ["fold", "label"]) for f in folds])
+        tried = reduce(DataFrame.union, kept).select("size", "fold", F.col("label").cast("int").alias("y"), (F.col("p") > 0.5).cast("int").alias("pred"))
+        size = binary_report(tried, ["size", "fold"]).groupBy("size").agg(F.avg("f1").alias("f1")).orderBy(F.desc("f1"), "size").first()["size"]
+
+        def member_model(number: int) -> tuple[str, list[int], object]:
+            option, places = chosen[names[number]][0], self.families[names[number]]
+            if option.startswith("net"):
+                return "net", places, w[(number * len(self.costs) + int(option[3:])) * len(every) + len(folds)]
+            return "trees", places, boosted("features", int(option[5:])).fit(rows.select("label", vector[names[number]].alias("features")))
+
+        made = at_once([lambda k=k: member_model(k) for k in range(len(names))])
+        final = boosted("features", size).fit(upper)
+        for held in (options, upper, rows):
+            held.unpersist()
+        return StackingModel(dict(zip(names, made, strict=True)), final, {f: chosen[f] for f in names}, size, unseen)
+
+
+class StackingModel(Model):
+    """``pred, score`` from the families' positive probabilities, which stay as ``p_<family>``."""
+
+    def __init__(self, members: dict[str, tuple], final, chosen: dict, size: int, unseen: DataFrame):  # noqa: ANN001
+        super().__init__()
+        self.members, self.final, self.chosen, self.size, self.unseen = members, final, chosen, size, unseen
+
+    def _transform(self, rows: DataFrame) -> DataFrame:
+        own = rows.columns
+        for name, (kind, places, model) in self.members.items():
+            if kind == "net":
+                rows = rows.withColumn(f"p_{name}", linear.probability(model))
+                continue
+            vector = array_to_vector(F.array(*(F.col("x")[k] for k in places)))
+            scored = model.transform(rows.drop("features").withColumn("features", vector)).withColumn(f"p_{name}", vector_to_array("probability")[1])
+            rows = scored.drop("rawPrediction", "probability", "prediction")
+        columns = [f"p_{n}" for n in self.members]
+        scored = self.final.transform(rows.drop("features").withColumn("features", array_to_vector(F.array(*(F.col(f"`{c}`") for c in columns)))))
+        scored = scored.withColumn("score", vector_to_array("probability")[1]).withColumn("pred", F.col("prediction").cast("int"))
+        return scored.select(*(c for c in own if c != "features"), *(f"`{c}`" for c in columns), "score", "pred")
+
+
+def stability_scores(rows: DataFrame, d: int, groups: list[list[int]], n: int = 200, scaling: float = 0.5, frac: float = 0.75, cost: float = 1.0, seed: int = 0) -> list[dict[int, float]]:
+    """For each group of places in ``x`` the share of n lasso fits in which each has a coefficient.
+
+    Each fit scales the group's features by 1 or ``scaling`` at random; all share one mask of ``frac`` of the
+    rows, by hash of ``row_id``, that holds both classes. All fits of all groups are one batch.
+    """
+    facts = []
+    for turn in range(20):
+        masked = rows.where(F.pmod(F.xxhash64("row_id", F.lit(seed + turn)), F.lit(1000)) < frac * 1000).select("x", "label")
+        facts = masked.agg(F.count("*"), F.min("label"), F.max("label")).first()
+        if facts[0] and facts[1] != facts[2]:
+            break
+    masked, random = masked.cache(), np.random.default_rng(seed)
+    scales = np.zeros((len(groups) * n, d))
+    for g, places in enumerate(groups):
+        scales[g * n : (g + 1) * n, places] = np.where(random.random((n, len(places))) < 0.5, scaling, 1.0)
+    reg = 1 / (cost * max(1, facts[0]))
+    w = linear.fit_many(masked, d, linear.Fits(scales, np.full(len(scales), reg), np.zeros(len(scales)), np.full(len(scales), -1)))
     masked.unpersist()
-    return [(k, float(h / n)) for k, h in enumerate(hits)]
+    hits = (np.abs(w[:, :d]) > 1e-10).reshape(len(groups), n, d).mean(axis=1)
+    return [{k: float(hits[g, k]) for k in places} for g, places in enumerate(groups)]
+
+
+def stability_select(rows: DataFrame, d: int, families: dict[str, dict[str, list[int]]], **options) -> dict[str, list[int]]:  # noqa: ANN003
+    """Places in ``x`` that are selected more often than the median of their segment, then, of those together,
+    more often than the median of their family: ``families[family][segment]`` lists places."""
+    above = lambda scores: [k for k, s in scores.items() if s > float(np.median(list(scores.values())))]
+    segments = [(f, places) for f, parts in families.items() for places in parts.values() if places]
+    first: dict[str, list[int]] = {}
+    for (family, _), scores in zip(segments, stability_scores(rows, d, [p for _, p in segments], **options), strict=True):
+        first.setdefault(family, []).extend(above(scores))
+    pooled = [f for f, places in first.items() if places]
+    second = stability_scores(rows, d, [first[f] for f in pooled], **options) if pooled else []
+    return {f: sorted(above(scores)) for f, scores in zip(pooled, second, strict=True) if above(scores)}
 
 
 def importance_screen(rows: DataFrame, n_features: int, folds: int, rounds: int = 3, votes: float = 0.5, seed: int = 0) -> list[int]:

@@ -62,7 +62,7 @@ def matrix(long: DataFrame, points: DataFrame, names: list[str]) -> DataFrame:
 class Published:
     """Features, scaled as training or test data, and an estimator with a grid of parameters.
 
-    ``grid(n)`` lists parameters for n training rows; without ``search`` the first of it, updated by
+    ``linear`` marks elastic nets, whose search is one batch. ``grid(n)`` lists parameters for n training rows; without ``search`` the first of it, updated by
     ``params``, is used, with it the best by ``metric`` over grouped folds with both classes.
     """
 
@@ -73,6 +73,7 @@ class Published:
     params: dict = field(default_factory=dict)
     names: tuple[str, ...] = ()
     model: object = None
+    linear: bool = False
 
     def prepared(self, window: DataFrame, role: str, names: tuple[str, ...] = ()) -> DataFrame:
         columns = window.sparkSession.createDataFrame([(n,) for n in names], "feature string") if names else None
@@ -87,7 +88,7 @@ class Published:
         if search:
             k = fold_count(rows, "label", "pid", folds)
             folded = folds_with_both_classes(rows, "pid", "label", k)
-            best = models.grid_search(folded, lambda p: self.estimator(p, len(names)), options, self.metric)[0]
+            best = models.grid_search(folded, "lr" if self.linear else lambda p: self.estimator(p, len(names)), options, self.metric)[0]
         made = replace(self, names=names, params=best, model=self.estimator(best, len(names)).fit(rows))
         rows.unpersist()
         return made
@@ -129,12 +130,12 @@ def _cost(values: list[float], n: int) -> list[dict]:
 
 @register("ml_saeb")
 def saeb(params: dict) -> Published:
-    return Published(mean_features, _kind("lr"), models.elastic_net_grid, params=params)
+    return Published(mean_features, _kind("lr"), models.elastic_net_grid, params=params, linear=True)
 
 
 @register("ml_wang")
 def wang(params: dict) -> Published:
-    return Published(trend_features, _kind("lr"), models.lasso_grid, "log_likelihood", params)
+    return Published(trend_features, _kind("lr"), models.lasso_grid, "log_likelihood", params, linear=True)
 
 
 @register("ml_wahle")
@@ -159,48 +160,42 @@ def lu(params: dict) -> Published:
     return Published(mean_features, lambda p, n: models.MultiTask(n, **p), lambda n: [{"g1": 0.01, "g2": 1.0}, *grid], params=params)
 
 
-class Families:
-    """:func:`models.stacked` over feature families: the part of a feature's name before the first colon."""
-
-    def __init__(self, names: list[str]):
-        self.names, self.model = names, None
-
-    def _rows(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumns({f"x{k}": F.col("x")[k] for k in range(len(self.names))}).drop("features")
-
-    def fit(self, rows: DataFrame) -> Families:
-        families: dict[str, list[str]] = {}
-        for k, name in enumerate(self.names):
-            families.setdefault(name.split(":")[0], []).append(f"x{k}")
-        made = Families(self.names)
-        made.model = models.stacked(self._rows(rows), families)
-        return made
-
-    def transform(self, rows: DataFrame) -> DataFrame:
-        return self.model.transform(self._rows(rows))
-
-
 @dataclass(frozen=True)
 class Stacked(Published):
-    """Weekly trends that are selected in more than half (by median) of many lasso fits, then stacked by family."""
+    """Weekly trends, stability-selected by segment and then by family, and :class:`models.Stacking` over the families.
+
+    A feature's family is the part of its name before the first colon; its segment is the rest up to the
+    statistic, weekdays and weekends apart.
+    """
 
     rounds: int = 200
+    options: dict = field(default_factory=dict)
 
-    def fit(self, window: DataFrame, points: DataFrame, search: bool = False, folds: int = 5) -> Stacked:
-        long = self.prepared(window, "train")
-        names = sorted(r.feature for r in long.select("feature").distinct().collect())
+    def fit(self, window: DataFrame, points: DataFrame, search: bool = True, folds: int = 5) -> Stacked:
+        long = self.prepared(window, "train").cache()
+        names = sorted(r.feature for r in long.select("feature").distinct().collect())  # feature names only
         rows = matrix(long, points, names).withColumn("row_id", F.xxhash64(*POINT)).cache()
-        found = models.stability_select(rows, len(names), n=self.rounds)
-        middle = sorted(f for _, f in found)[len(found) // 2]
-        kept = [names[k] for k, f in found if f > middle] or names
-        made = replace(self, names=tuple(kept), model=Families(kept).fit(matrix(long, points, kept)))
+        families: dict[str, dict[str, list[int]]] = {}
+        for k, name in enumerate(names):
+            family, rest = name.split(":", 1)
+            families.setdefault(family, {}).setdefault(rest.rpartition("#")[0], []).append(k)
+        kept = models.stability_select(rows, len(names), families, n=self.rounds)
+        kept = kept or {f: [k for places in parts.values() for k in places] for f, parts in families.items()}
+        order = [k for places in kept.values() for k in places]
+        at = {k: n for n, k in enumerate(order)}
+        narrow = rows.withColumn("x", F.array(*(F.col("x")[k] for k in order)))
+        folded = folds_with_both_classes(narrow, "pid", "label", fold_count(narrow, "label", "pid", folds))
+        stack = models.Stacking({f: [at[k] for k in places] for f, places in kept.items()}, **self.options)
+        made = replace(self, names=tuple(names[k] for k in order), model=stack.fit(folded))
         rows.unpersist()
+        long.unpersist()
         return made
 
 
 @register("ml_chikersal")
 def chikersal(params: dict) -> Stacked:
-    return Stacked(weekly_features, _kind("lr"), lambda n: [{}], rounds=params.get("rounds", 200))
+    options = {k: tuple(v) for k, v in params.items() if k in ("costs", "sizes", "top")}
+    return Stacked(weekly_features, _kind("lr"), lambda n: [{}], rounds=params.get("rounds", 200), options=options)
 
 
 @dataclass(frozen=True)

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.scalar import clip, correlation
+from tidewell.functions.scalar import clip
 
 #: Distance of the 5 % and 95 % points of a standard normal.
 NORMAL_SPAN = 3.2897072539029444
 
+#: People of a block of the collaborative fill.
+PEOPLE = 2048
+
 
 def robust_norm(long: DataFrame, by: list[str], q: tuple[float, float] = (0.05, 0.95), limit: float = 2.0) -> DataFrame:
     """(x - median) / (q95 - q5) within ``by`` and feature, clipped; a zero range counts as 1."""
@@ -91,19 +97,60 @@ def prepare(long: DataFrame, role: str, col_na: float = 0.9, row_na: float = 0.5
     return impute(unit_robust(long, [], fit_on), [])
 
 
-def cf_impute(long: DataFrame, low: float = 1.0, high: float = 3.0) -> DataFrame:
-    """Collaborative fill of ``feature, pid, day, value``: similar participants' values on the same day.
+def cf_impute(long: DataFrame, low: float = 1.0, high: float = 3.0, least_days: float = -1.0, day_na: float = 0.75) -> DataFrame:
+    """Collaborative fill of ``feature, pid, day, value``: the values of similar participants on the same day.
+
+    Similarity is Pearson's r of the zero-filled day series of a feature (a constant series gets 1e-4 on day
+    0). A null becomes clip(half-even round(sum sim * v / (sum sim + 1e-4))) over those who have a value that
+    day: the lower limit where nobody has. A series that is constant when filled gets 1e-4 on day 0, too.
+    A feature whose days with a missing rate below ``day_na`` are not more than ``least_days`` of its days is
+    too empty and filled with 0 (-1: none is; 0.5 for features met in a test set).
 
-    Similarity is Pearson's r of the zero-filled day vectors (a constant vector gets 1e-4 on day 0); a
-    null becomes clip(half-even round(sum sim * v / (sum sim + 1e-4))). Pairs are made only with
-    participants of the same feature; two series without a correlation on their shared days are not alike.
+    People of a feature are dealt out to blocks. A pair of blocks gives similarities as a matrix product and,
+    with the values and the mask of present values of the one block, numerators and denominators of the
+    other's missing cells as two more; only those cells leave the task.
     """
-    filled = long.withColumn("__v", F.coalesce("value", F.lit(0.0)))
-    stats = filled.groupBy("feature", "pid").agg(F.stddev_pop("__v").alias("__s"))
-    filled = filled.join(stats, ["feature", "pid"]).withColumn("__v", F.when((F.col("__s") == 0) & (F.col("day") == 0), F.col("__v") + 1e-4).otherwise(F.col("__v"))).drop("__s")
-    a, b = filled.select("feature", "day", F.col("pid").alias("a"), F.col("__v").alias("x")), filled.select("feature", "day", F.col("pid").alias("b"), F.col("__v").alias("y"))
-    sim = a.join(b, ["feature", "day"]).where("a <> b").groupBy("feature", "a", "b").agg(F.coalesce(correlation("x", "y"), F.lit(0.0)).alias("sim"))
-    missing = long.where("value is null").select("feature", "day", F.col("pid").alias("a"))
-    donors = long.where("value is not null").select("feature", "day", F.col("pid").alias("b"), "value")
-    guess = missing.join(donors, ["feature", "day"]).join(sim, ["feature", "a", "b"]).groupBy("feature", "day", F.col("a").alias("pid")).agg((F.sum(F.col("sim") * F.col("value")) / (F.sum("sim") + 1e-4)).alias("guess"))
-    return long.join(guess, ["feature", "day", "pid"], "left").withColumn("value", F.coalesce("value", clip(F.bround("guess"), low, high))).drop("guess")
+    people = long.groupBy("feature").agg(F.count_distinct("pid").alias("people"), F.array_sort(F.collect_set("day")).alias("days"))
+    present = long.where("value is not null").groupBy("feature", "day").agg(F.count_distinct("pid").alias("n"))
+    full = present.join(people, "feature").groupBy("feature").agg(F.count_if(1 - F.col("n") / F.col("people") < day_na).alias("full"))
+    features = people.join(full, "feature", "left").withColumn("dense", F.coalesce("full", F.lit(0)) > F.size("days") * F.lit(least_days))
+
+    point = F.struct(F.col("day").cast("int").alias("day"), F.col("value").cast("double").alias("value"))
+    series = long.groupBy("feature", "pid").agg(F.collect_list(point).alias("points"), F.count_if(F.col("value").isNull()).alias("missing"))
+    placed = series.join(features.where("dense"), "feature").withColumn("blocks", F.ceil(F.col("people") / PEOPLE).cast("int")).withColumn("block", F.pmod(F.xxhash64("pid"), "blocks").cast("int"))
+    columns = ["feature", "i", "j", "side", "pid", "days", F.col("points.day").alias("day"), F.col("points.value").alias("value")]
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    asking = placed.where("missing > 0").withColumn("side", F.lit("a")).withColumn("i", F.col("block")).withColumn("j", others).select(*columns)
+    giving = placed.withColumn("side", F.lit("b")).withColumn("j", F.col("block")).withColumn("i", others).select(*columns)
+    kind = long.schema["pid"].dataType.simpleString()
+
+    def fill(group: pa.Table) -> pa.Table:
+        days = np.array(group["days"][0].as_py(), np.int64)
+
+        def matrix(side: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+            part = group.filter(pc.equal(group["side"], side)).combine_chunks()
+            x = np.full((part.num_rows, len(days)), np.nan)
+            row = np.repeat(np.arange(part.num_rows), pc.list_value_length(part["day"]).to_numpy())
+            x[row, np.searchsorted(days, pc.list_flatten(part["day"]).to_numpy())] = pc.list_flatten(part["value"]).to_numpy(zero_copy_only=False)
+            z = np.nan_to_num(x)
+            if 0 in days:
+                z[z.min(axis=1, initial=np.inf) == z.max(axis=1, initial=-np.inf), np.searchsorted(days, 0)] += 1e-4
+            z = z - z.mean(axis=1, keepdims=True)
+            norm = np.sqrt((z * z).sum(axis=1, keepdims=True))
+            return part["pid"], x, np.divide(z, norm, out=np.zeros_like(z), where=norm > 0)
+
+        (pid, x, z), (_, v, w) = matrix("a"), matrix("b")
+        sim = z @ w.T
+        row, day = np.nonzero(np.isnan(x))
+        over, under = (sim @ np.nan_to_num(v))[row, day], (sim @ ~np.isnan(v))[row, day]
+        first = group["feature"].slice(0, 1).combine_chunks()
+        return pa.table([first.take(pa.array(np.zeros(len(row), np.int64))), pid.take(pa.array(row)), pa.array(days[day]), pa.array(over), pa.array(under)], names=["feature", "pid", "day", "over", "under"])
+
+    parts = asking.unionByName(giving).groupBy("feature", "i", "j").applyInArrow(fill, f"feature string, pid {kind}, day bigint, over double, under double")
+    guess = parts.groupBy("feature", "pid", "day").agg((F.sum("over") / (F.sum("under") + 1e-4)).alias("guess"))
+    filled = long.join(guess, ["feature", "pid", "day"], "left").join(features.select("feature", "dense"), "feature")
+    value = F.when(F.col("dense"), F.coalesce("value", clip(F.bround("guess"), low, high))).otherwise(F.coalesce("value", F.lit(0.0)))
+    filled = filled.withColumn("value", value)
+    own = Window.partitionBy("feature", "pid")  # a row a day
+    still = F.col("dense") & (F.col("day") == 0) & (F.min("value").over(own) == F.max("value").over(own))
+    return filled.withColumn("value", F.col("value") + F.when(still, 1e-4).otherwise(0.0)).select(*long.columns)

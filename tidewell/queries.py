@@ -595,16 +595,29 @@ def _levels_by_day(s: SparkSession, d: str) -> DataFrame:
     return _grid(s, d).crossJoin(F.broadcast(first)).select(F.concat_ws("/", "ds_key", "feature").alias("feature"), "pid", F.datediff("date", "first").alias("day"), level.alias("value"))
 
 
-@query("cf_impute", "s:feature i:pid i:day r:value", """
+def _cf_sql(least_days: str) -> str:
+    """From the published rules: zero-filled series, a constant one with 1e-4 on day 0; no donors give 0, clipped to 1."""
+    return f"""
 WITH l AS (SELECT ds_key || '/' || feature AS feature, pid, date - (SELECT min(date) FROM daily) AS day, CASE WHEN value < 20 THEN 1 WHEN value < 60 THEN 2 WHEN value IS NOT NULL THEN 3 END AS value FROM grid),
-f AS (SELECT feature, pid, day, coalesce(value, 0) + CASE WHEN day = 0 AND stddev_pop(coalesce(value, 0)) OVER (PARTITION BY feature, pid) = 0 THEN 1e-4 ELSE 0 END AS v FROM l),
-sim AS (SELECT a.feature, a.pid AS a, b.pid AS b, CASE WHEN min(a.v) = max(a.v) OR min(b.v) = max(b.v) THEN 0 ELSE covar_pop(a.v, b.v) / (stddev_pop(a.v) * stddev_pop(b.v)) END AS sim FROM f a JOIN f b ON a.feature = b.feature AND a.day = b.day AND a.pid <> b.pid GROUP BY ALL),
-g AS (SELECT m.feature, m.day, m.pid, sum(sim * dn.value) / (sum(sim) + 1e-4) AS guess FROM l m JOIN l dn ON m.value IS NULL AND dn.value IS NOT NULL AND m.feature = dn.feature AND m.day = dn.day JOIN sim ON sim.feature = m.feature AND a = m.pid AND b = dn.pid GROUP BY ALL)
-SELECT l.feature, l.pid, l.day, coalesce(l.value, greatest(1, least(3, round_even(guess, 0)))) AS value FROM l LEFT JOIN g ON g.feature = l.feature AND g.day = l.day AND g.pid = l.pid""")
+f AS (SELECT feature, pid, day, coalesce(value, 0) + CASE WHEN day = 0 AND min(coalesce(value, 0)) OVER own = max(coalesce(value, 0)) OVER own THEN 1e-4 ELSE 0 END AS v FROM l WINDOW own AS (PARTITION BY feature, pid)),
+sim AS (SELECT a.feature, a.pid AS a, b.pid AS b, covar_pop(a.v, b.v) / (stddev_pop(a.v) * stddev_pop(b.v)) AS sim FROM f a JOIN f b ON a.feature = b.feature AND a.day = b.day AND a.pid <> b.pid GROUP BY ALL),
+g AS (SELECT m.feature, m.day, m.pid, sum(sim * dn.value) / (sum(sim) + 1e-4) AS guess FROM l m JOIN l dn ON m.value IS NULL AND dn.value IS NOT NULL AND m.feature = dn.feature AND m.day = dn.day JOIN sim ON sim.feature = m.feature AND a = m.pid AND b = dn.pid GROUP BY ALL),
+dense AS (SELECT feature, count(*) FILTER (WHERE na < 0.75) > count(*) * {least_days} AS dense FROM (SELECT feature, day, avg(CAST(value IS NULL AS INT)) AS na FROM l GROUP BY ALL) GROUP BY feature),
+r AS (SELECT l.feature, l.pid, l.day, dense, CASE WHEN dense THEN coalesce(l.value, greatest(1, least(3, round_even(coalesce(guess, 0), 0)))) ELSE coalesce(l.value, 0) END AS value FROM l JOIN dense USING (feature) LEFT JOIN g ON g.feature = l.feature AND g.day = l.day AND g.pid = l.pid)
+SELECT feature, pid, day, value + CASE WHEN dense AND day = 0 AND min(value) OVER own = max(value) OVER own THEN 1e-4 ELSE 0 END AS value FROM r WINDOW own AS (PARTITION BY feature, pid)"""
+
+
+@query("cf_impute", "s:feature i:pid i:day r:value", _cf_sql("-1"))
 def _(s, d):
     return scale.cf_impute(_levels_by_day(s, d))
 
 
+@query("cf_impute_test", "s:feature i:pid i:day r:value", _cf_sql("0.5"))
+def _(s, d):
+    """As for a test set: features that are empty on most days are filled with 0."""
+    return scale.cf_impute(_levels_by_day(s, d), least_days=0.5)
+
+
 # --- splits
 
 
@@ -1050,7 +1063,7 @@ def _(s, d):
 
 @query("rank_aggregate", "s:feature i:points i:place", """
 SELECT feature, points, place FROM (SELECT feature, sum(p) AS points, row_number() OVER (ORDER BY sum(p) DESC, feature) AS place, count(*) OVER () AS k FROM (
-  SELECT feature, CASE WHEN r <= n // 5 THEN n - r ELSE 0 END AS p FROM (SELECT feature, pid % 5 AS fold, row_number() OVER (PARTITION BY pid % 5 ORDER BY round(avg(value), 6) DESC, feature) - 1 AS r, count(*) OVER (PARTITION BY pid % 5) AS n FROM daily GROUP BY feature, pid % 5)) GROUP BY feature) WHERE place <= ceil(k * 0.3)""")
+  SELECT feature, CASE WHEN r <= n // 5 THEN n - r ELSE 0 END AS p FROM (SELECT feature, pid % 5 AS fold, row_number() OVER (PARTITION BY pid % 5 ORDER BY round(avg(value), 6) DESC, feature) AS r, count(*) OVER (PARTITION BY pid % 5) AS n FROM daily GROUP BY feature, pid % 5)) GROUP BY feature) WHERE place <= ceil(k * 0.3)""")
 def _(s, d):
     results = views.daily(s, d).groupBy("feature", (F.col("pid") % 5).alias("fold")).agg(F.round(F.avg("value"), 6).alias("m"))
     return cf.rank_aggregate(results, "m", top=0.3)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tidewell.llm._shared import written
 
 #: Rows of a tree at most, of a leaf, and children of an inner node.
-TREE_ROWS, LEAF, FAN = 4096, 32, 16
+TREE_ROWS, LEAF, FAN = 4096, 128, 8
 #: Anchors that are searched together, and blocks of them that one task takes at most.
 BLOCK, BLOCKS = 256, 512
 #: Trees that one task searches in turn at most, keeping each block's best rows.
@@ -98,8 +98,10 @@ class Tree:
             scores, ids, kind = self.points[part] @ anchor, self.ids[part], self.kind[node]
             if (kind == wanted) != own:
                 continue
+            top = scores.max()
             for w in best:
-                w.add(scores, ids, skip)
+                if top >= w.least():
+                    w.add(scores, ids, skip)
 
 
 class Best:
@@ -119,10 +121,12 @@ class Best:
         score, number = self.rows[-1]
         return (-min(highest, self.high), least_id) < (score, number)
 
+    def least(self) -> float:
+        """The score below which no row is taken any more."""
+        return self.low if len(self.rows) < self.k else max(self.low, -self.rows[-1][0])
+
     def add(self, scores: np.ndarray, ids: np.ndarray, skip: int | None) -> None:
-        fits = np.flatnonzero((scores >= self.low) & (scores <= self.high))
-        if len(self.rows) == self.k:
-            fits = fits[scores[fits] >= -self.rows[-1][0]]
+        fits = np.flatnonzero((scores >= self.least()) & (scores <= self.high))
         if len(fits):
             more = {(-int(s), int(i)) for s, i in zip(scores[fits], ids[fits], strict=True) if i != skip}
             self.rows = sorted(more.union(self.rows))[: self.k]

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import cf, models, rules, scale, trend, windows
@@ -251,32 +251,47 @@ def interpretable(params: dict) -> Interpretable:
 
 @dataclass(frozen=True)
 class Personalized:
-    """Collaborative filtering: a point is scored by the labels of training points whose 28 days correlate with its own."""
+    """Collaborative filtering: each day series of a point votes by the labels of training points that it correlates with.
 
-    memory: DataFrame | None = None
-    labels: DataFrame | None = None
-    thresholds: DataFrame | None = None
+    Levels of weekdays and of weekends apart are series of their own, filled collaboratively; the few that
+    rank best over folds of participants vote (:class:`cf.CollaborativeFilter`).
+    """
 
-    @staticmethod
-    def _series(window: DataFrame) -> DataFrame:
-        day = (27 - F.datediff("label_date", "date")).cast("int")
-        return window.select(F.concat_ws("@", F.col("pid").cast("string"), F.date_format("label_date", "yyyy-MM-dd")).alias("pid"), "feature", day.alias("day"), "value")
+    params: dict = field(default_factory=dict)
+    model: cf.CollaborativeFilterModel | None = None
 
-    def fit(self, window: DataFrame, points: DataFrame, search: bool = False, folds: int = 5) -> Personalized:
-        memory = self._series(window)
-        labels = points.select(F.concat_ws("@", F.col("pid").cast("string"), F.date_format("label_date", "yyyy-MM-dd")).alias("pid"), F.col("y").cast("int").alias("y"))
-        return Personalized(memory, labels, cf.midpoint_threshold(memory, labels))
+    @staticmethod
+    def _series(window: DataFrame, role: str) -> DataFrame:
+        level = scale.tertiles(window.select("pid", "date", "feature", "value").distinct(), ["pid"])
+        code = F.when(F.col("level") == "l", 1.0).when(F.col("level") == "m", 2.0).when(F.col("level") == "h", 3.0)
+        days = window.select(*POINT, "date").distinct().withColumn("slice", F.when(F.weekday("date") < 5, "wkdy").otherwise("wkend"))
+        point = F.concat_ws("@", F.col("pid").cast("string"), F.date_format("label_date", "yyyy-MM-dd"))
+        place = F.row_number().over(Window.partitionBy(*POINT, "slice").orderBy("date")) - 1
+        days = days.withColumn("day", place).select("pid", "date", "slice", "day", point.alias("point"))
+        long = days.join(level.select("pid", "date", "feature", code.alias("value")), ["pid", "date"])
+        long = long.select(F.concat_ws("::", "slice", "feature").alias("feature"), F.col("point").alias("pid"), "day", "value")
+        # a cell for every day of a series, also where a point has no value
+        cells = long.select("feature", "pid").distinct().join(long.select("feature", "day").distinct(), "feature")
+        return scale.cf_impute(cells.join(long, ["feature", "pid", "day"], "left"), least_days=-1.0 if role == "train" else 0.5)
+
+    def fit(self, window: DataFrame, points: DataFrame, search: bool = False, folds: int = 40) -> Personalized:
+        folded = folds_with_both_classes(points, "pid", "y", fold_count(points, "y", "pid", folds))
+        name = F.concat_ws("@", F.col("pid").cast("string"), F.date_format("label_date", "yyyy-MM-dd"))
+        labels = folded.select(name.alias("pid"), F.col("y").cast("int").alias("y"), "fold")
+        rows = self._series(window, "train").join(labels, "pid").cache()
+        made = Personalized(self.params, cf.CollaborativeFilter(**self.params).fit(rows))
+        rows.unpersist()
+        return made
 
     def predict(self, window: DataFrame, points: DataFrame) -> DataFrame:
-        scores = cf.sim_score(self.memory, self.labels, self._series(window))
-        voted = cf.vote(scores, self.thresholds).select(F.col("pid").alias("__point"), "pred", F.col("prob").alias("score"))
+        voted = self.model.transform(self._series(window, "test")).select(F.col("pid").alias("__point"), "pred", F.col("prob").alias("score"))
         name = F.concat_ws("@", F.col("pid").cast("string"), F.date_format("label_date", "yyyy-MM-dd"))
         return points.withColumn("__point", name).join(voted, "__point").drop("__point")
 
 
 @register("ml_xu_personalized")
 def personalized(params: dict) -> Personalized:
-    return Personalized()
+    return Personalized(params)
 
 
 def evaluate(algorithm, window: DataFrame, points: DataFrame, search: bool = False) -> DataFrame:  # noqa: ANN001

@@ -1054,6 +1054,51 @@ def _(s, d):
     return cf.vote(cf.sim_score(memory, y, new, by=by), cf.midpoint_threshold(memory, y, by=by), by=by)
 
 
+def _judged(rows: str, name: str) -> str:
+    """SQL: accuracy, balanced accuracy and recall of ``pred`` by k, feature and fold."""
+    return f"""{name} AS (SELECT k, feature, fold, avg(CAST(pred = (y = 1) AS INT)) AS acc, (coalesce(avg(CAST(pred AS INT)) FILTER (WHERE y = 1), 1) + coalesce(1 - avg(CAST(pred AS INT)) FILTER (WHERE y = 0), 1)) / 2 AS balanced, coalesce(avg(CAST(pred AS INT)) FILTER (WHERE y = 1), 1) AS recall
+FROM (SELECT r.*, coalesce(score > threshold, false) AS pred FROM {rows} r JOIN th USING (k, feature, fold)) GROUP BY ALL)"""
+
+
+_FOLDED = f"""WITH {_LAST}, {_sims('long', 'long', 'ds_key', 'sims', 'AND a.pid <> b.pid')},
+p5 AS (SELECT s.*, la.y AS ya, lb.y AS yb, a % 5 AS fa, b % 5 AS fb FROM sims s JOIN last la ON la.pid = a JOIN last lb ON lb.pid = b),
+tr AS (SELECT k, feature, fold, a AS pid, ya AS y, sum(sim * yb) / (sum(sim) + 1e-6) AS score FROM p5, range(5) f(fold) WHERE fa <> fold AND fb <> fold GROUP BY ALL),
+lo AS (SELECT k, feature, fa, quantile_cont(sim, 0.25) AS low FROM p5 WHERE fa <> fb GROUP BY ALL),
+va AS (SELECT k, feature, fa AS fold, a AS pid, ya AS y, sum(CASE WHEN sim >= low THEN sim * yb ELSE 0 END) / (sum(CASE WHEN sim >= low THEN sim ELSE 0 END) + 1e-6) AS score FROM p5 JOIN lo USING (k, feature, fa) WHERE fa <> fb GROUP BY ALL),
+th AS (SELECT k, feature, fold, (avg(score) FILTER (WHERE y = 1) + avg(score) FILTER (WHERE y = 0)) / 2 AS threshold FROM tr GROUP BY ALL),
+{_judged('tr', 'jt')}, {_judged('va', 'jv')},
+res AS (SELECT k || '/' || feature AS feature, fold, threshold, jt.balanced, jt.recall, jv.acc FROM jt JOIN jv USING (k, feature, fold) JOIN th USING (k, feature, fold))"""
+
+
+def _folded_memory(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows, last = _memory(s, d)
+    rows = rows.select(F.concat_ws("/", "ds_key", "feature").alias("feature"), "pid", "day", "value")
+    return rows, last.withColumn("fold", (F.col("pid") % 5).cast("int"))
+
+
+@query("cf_feature_results", "s:feature i:fold r:threshold r:train_balanced_acc r:train_recall r:valid_acc", f"{_FOLDED} SELECT feature, fold, threshold, balanced AS train_balanced_acc, recall AS train_recall, acc AS valid_acc FROM res")
+def _(s, d):
+    return cf.feature_results(*_folded_memory(s, d))
+
+
+@query("cf_selected_features", "s:feature i:points i:place r:threshold", f"""{_FOLDED},
+ls AS (SELECT feature, fold, row_number() OVER (PARTITION BY fold ORDER BY round(balanced, 9) DESC, feature) AS r, count(*) OVER (PARTITION BY fold) AS n FROM res WHERE recall < 0.99 AND acc > 0.53),
+pt AS (SELECT feature, sum(CASE WHEN r <= n // 5 THEN n - r ELSE 0 END) AS points FROM ls GROUP BY feature),
+pl AS (SELECT *, row_number() OVER (ORDER BY points DESC, feature) AS place, count(*) OVER () AS k FROM pt)
+SELECT feature, points, place, t.threshold FROM pl JOIN (SELECT feature, avg(threshold) AS threshold FROM res GROUP BY feature) t USING (feature) WHERE place <= ceil(k * 0.05)""")
+def _(s, d):
+    return cf.select_features(cf.feature_results(*_folded_memory(s, d)))
+
+
+@query("cf_classifier", "i:pid i:pred r:prob")
+def _(s, d):
+    """Fitted on the people of phase 1, within their institution; those of phase 3 are predicted."""
+    rows, last = _memory(s, d)
+    rows = rows.withColumn("feature", F.concat_ws("/", F.split("ds_key", "_")[0], "feature"))
+    known = rows.where("ds_key LIKE '%_1'").join(last, "pid").withColumn("fold", (F.floor(F.col("pid") / 4) % 5).cast("int"))
+    return cf.CollaborativeFilter().fit(known).transform(rows.where("ds_key LIKE '%_3'"))
+
+
 @query("behaviour_profile", "i:pid s:slice s:feature i:days r:first", """
 SELECT pid, CASE WHEN isodow(date) < 6 THEN 'weekday' ELSE 'weekend' END AS slice, feature, count(*) AS days, min_by(value, date) AS first FROM daily GROUP BY ALL""")
 def _(s, d):

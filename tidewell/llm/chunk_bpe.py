@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from tidewell.llm._text import slices, span_hashes, text_bytes
 
 #: Bytes of a chunk at least, and the low bits of the rolling hash that are zero at a cut.
-LEAST, BITS = 128, 9
+LEAST, BITS = 128, 10
 #: Bytes of text in the table of shared chunks at most; it goes to every task.
 TABLE_BYTES = 8 << 20
 #: Chunks, and windows at joins, in each of the two generations of a worker's cache.
-CACHE = 12_000
+CACHE = 8_000
 #: Bytes by which the end of a text may change the splits before it: a split is decided at most three characters on.
 LOOK = 16
 #: Pieces between splits that a worker keeps, and their characters at most.

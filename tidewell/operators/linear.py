@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 STATE = 1 << 20
 #: Rows of a matrix in a task.
 ROWS = 4096
+#: Rows of a partition of a compacted table at least; parts whose sums the driver adds up itself at most.
+PART, FEW = 20_000, 4
 
 
 @dataclass(frozen=True)
@@ -65,8 +67,19 @@ def _input(rows: DataFrame, *more: Column) -> DataFrame:
     return rows.select(F.col("x").cast("array<double>").alias("x"), F.col("label").cast("double").alias("label"), F.coalesce(fold, F.lit(0)).alias("fold"), *more)
 
 
+def compact(rows: DataFrame) -> DataFrame:
+    """Cached, in partitions of at least ``PART`` rows: a fit is many short passes over the same rows."""
+    held = rows.cache()
+    return held.coalesce(max(1, held.count() // PART)).cache()
+
+
 def _added(parts: DataFrame) -> dict[int, np.ndarray]:
-    """``model, sums binary`` added up by model."""
+    """``model, sums binary`` added up by model: by the tasks of a shuffle, or here if there are few parts."""
+    if parts.rdd.getNumPartitions() <= FEW:
+        total: dict[int, np.ndarray] = {}
+        for r in parts.collect():
+            total[r.model] = total.get(r.model, 0) + np.frombuffer(bytes(r.sums))
+        return total
 
     def add(group: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(b.as_py()) for b in group["sums"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.ordered import running
+
 
 def _rate(top: Column, low: Column, empty: float) -> Column:
     return F.when(low == 0, empty).otherwise(top / low)
@@ -32,21 +34,38 @@ def auc(pred: DataFrame, by: list[str]) -> DataFrame:
     """
     y = F.col("y") == 1
     counts = pred.groupBy(*by, "score").agg(F.sum(y.cast("double")).alias("p"), F.sum((~y).cast("double")).alias("q"))
-    below = F.sum("q").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
-    areas = counts.withColumn("below", F.coalesce(below, F.lit(0.0))).groupBy(*by).agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("area"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    areas = running(counts, by, "score", ["q"]).groupBy(*by).agg(F.sum(F.col("p") * (F.col("below_q") + F.col("q") / 2)).alias("area"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     both = areas.join(binary_report(pred, by).select(*by, "balanced_acc"), by) if by else areas.crossJoin(binary_report(pred, by).select("balanced_acc"))
     return both.select(*by, F.when((F.col("p") == 0) | (F.col("q") == 0), F.col("balanced_acc")).otherwise(F.col("area") / (F.col("p") * F.col("q"))).alias("auc"))
 
 
 def multiclass_report(pred: DataFrame, by: list[str]) -> DataFrame:
-    """Per class: precision, recall, f1, acc (one against the rest), support; with macro and weighted means."""
+    """Per class: precision, recall, f1, acc (one against the rest), support; with macro and weighted means of the first three."""
     ends = pred.select(*by, F.explode(F.array(F.struct(F.col("y").alias("class"), F.lit(1).alias("actual"), (F.col("y") == F.col("pred")).cast("int").alias("hit")), F.struct(F.col("pred").alias("class"), F.lit(0).alias("actual"), F.lit(0).alias("hit")))).alias("e")).select(*by, "e.*")
     t = ends.groupBy(*by, "class").agg(F.sum("hit").alias("tp"), F.sum("actual").alias("support"), F.sum(1 - F.col("actual")).alias("predicted"))
     n = F.sum("support").over(Window.partitionBy(*by))
     t = t.withColumns({"precision": _rate(F.col("tp"), F.col("predicted"), 1.0), "recall": _rate(F.col("tp"), F.col("support"), 1.0), "acc": (n - F.col("support") - F.col("predicted") + 2 * F.col("tp")) / n})
     t = t.withColumn("f1", _rate(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"), 0.0))
-    all_ = Window.partitionBy(*by)
-    return t.withColumns({"macro_f1": F.avg("f1").over(all_), "weighted_f1": F.sum(F.col("f1") * F.col("support")).over(all_) / F.sum("support").over(all_)})
+    all_ = Window.partitionBy(*by)  # a row a class
+    means = {f"macro_{c}": F.avg(c).over(all_) for c in ("precision", "recall", "f1")}
+    means |= {f"weighted_{c}": F.sum(F.col(c) * F.col("support")).over(all_) / F.sum("support").over(all_) for c in ("precision", "recall", "f1")}
+    return t.withColumns(means)
+
+
+def one_vs_rest_auc(pred: DataFrame, by: list[str], scores: str = "scores") -> DataFrame:
+    """``by, class, auc, macro_auc, weighted_auc``: each class's score against the rest, ties a half.
+
+    ``scores``: an array of ``struct<class, score>`` a row. A class that no row or every row has has no area
+    and counts in no mean; weights are the classes' rows.
+    """
+    long = pred.select(*by, "y", F.explode(scores).alias("s")).select(*by, F.col("s.class").alias("class"), F.col("s.score").alias("score"), (F.col("y") == F.col("s.class")).alias("own"))
+    keys = [*by, "class"]
+    counts = long.groupBy(*keys, "score").agg(F.count_if("own").cast("double").alias("p"), F.count_if(~F.col("own")).cast("double").alias("q"))
+    areas = running(counts, keys, "score", ["q"]).groupBy(*keys).agg(F.sum(F.col("p") * (F.col("below_q") + F.col("q") / 2)).alias("area"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    found = areas.withColumn("auc", F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("area") / (F.col("p") * F.col("q"))))
+    all_ = Window.partitionBy(*by)  # a row a class
+    weight = F.when(F.col("auc").isNotNull(), F.col("p"))
+    return found.select(*keys, "auc", F.avg("auc").over(all_).alias("macro_auc"), (F.sum(F.col("auc") * weight).over(all_) / F.sum(weight).over(all_)).alias("weighted_auc"))
 
 
 def log_likelihood(pred: DataFrame, by: list[str], eps: float = 1e-15) -> DataFrame:
@@ -61,10 +80,11 @@ def best_threshold(pred: DataFrame, by: list[str]) -> DataFrame:
     """
     y = F.col("y") == 1
     counts = pred.groupBy(*by, "score").agg(F.sum(y.cast("double")).alias("p"), F.sum((~y).cast("double")).alias("q"))
-    down, all_ = Window.partitionBy(*by).orderBy(F.col("score").desc()), Window.partitionBy(*by)
-    share = lambda c: F.try_divide(F.sum(c).over(down), F.sum(c).over(all_))
-    value = (share("p") + 1 - share("q")) / 2
-    scored = counts.withColumn("balanced_acc", F.round(value, 9))
+    totals = counts.groupBy(*by).agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
+    ordered = running(counts, by, "score", ["p", "q"])
+    ordered = ordered.join(F.broadcast(totals), by) if by else ordered.crossJoin(F.broadcast(totals))
+    share = lambda c: F.try_divide(F.col(f"all_{c}") - F.col(f"below_{c}"), F.col(f"all_{c}"))  # noqa: E731  of those from the score on
+    scored = ordered.withColumn("balanced_acc", F.round((share("p") + 1 - share("q")) / 2, 9))
     return scored.groupBy(*by).agg(F.max_by("score", F.struct("balanced_acc", "score")).alias("threshold"), F.max("balanced_acc").alias("balanced_acc"))
 
 

@@ -21,8 +21,8 @@ from tidewell.plans.splits import learning_curve, plan_rows
 
 KINDS = {"rf": RandomForestClassifier, "dt": DecisionTreeClassifier, "lr": LogisticRegression, "mlp": MultilayerPerceptronClassifier, "svm": LinearSVC, "gbt": GBTClassifier}
 
-#: Costs of a family's lasso, sizes of its boosted model, and sizes of the upper one: the published grids.
-COSTS, SIZES, TOP = tuple(10.0**k for k in range(-4, 5)), tuple(range(4, 41, 4)), tuple(range(10, 101, 10))
+#: Costs of a family's lasso and sizes of its boosted model: the published grids. Sizes of the upper model, up to the published base's 50.
+COSTS, SIZES, TOP = tuple(10.0**k for k in range(-4, 5)), tuple(range(4, 41, 4)), tuple(range(10, 51, 10))
 
 
 def make_estimator(kind: str, params: dict | None = None) -> Estimator:
@@ -71,7 +71,7 @@ def grid_search(rows: DataFrame, kind: str | Callable[[dict], object], params: l
     Elastic-net grids of ``lr`` over ``x`` are fitted together, all folds at once; other kinds are fitted side
     by side. Either way the held-out scores of all fits make one relation, whose metrics are one aggregation.
     """
-    rows = rows.cache()
+    rows = linear.compact(rows)
     folds = [r.fold for r in rows.select("fold").distinct().orderBy("fold").collect()]
     if kind == "lr" and "x" in rows.columns and all(set(p) <= {"regParam", "elasticNetParam"} for p in params):
         d = len(rows.select("x").first()["x"])
@@ -256,12 +256,12 @@ class Stacking(Estimator):
     chosen by the same folds. Rows: ``row_id bigint, x, label, fold``.
     """
 
-    def __init__(self, families: dict[str, list[int]], costs: tuple[float, ...] = COSTS, sizes: tuple[int, ...] = SIZES, top: tuple[int, ...] = TOP):
+    def __init__(self, families: dict[str, list[int]], costs: tuple[float, ...] | None = None, sizes: tuple[int, ...] | None = None, top: tuple[int, ...] | None = None):
         super().__init__()
-        self.families, self.costs, self.sizes, self.top = families, costs, sizes, top
+        self.families, self.costs, self.sizes, self.top = families, costs or COSTS, sizes or SIZES, top or TOP
 
     def _fit(self, rows: DataFrame) -> StackingModel:
-        rows = rows.select("row_id", F.col("x").cast("array<double>").alias("x"), F.col("label").cast("double").alias("label"), F.col("fold").cast("bigint").alias("fold")).cache()
+        rows = linear.compact(rows.select("row_id", F.col("x").cast("array<double>").alias("x"), F.col("label").cast("double").alias("label"), F.col("fold").cast("bigint").alias("fold")))
         facts = rows.groupBy("fold").agg(F.count("*").alias("n")).orderBy("fold").collect()
         folds, n, d = [r["fold"] for r in facts], sum(r["n"] for r in facts), len(rows.select("x").first()["x"])
         names = list(self.families)
@@ -290,7 +290,8 @@ class Stacking(Estimator):
         unseen = options.join(F.broadcast(picked), ["family", "option"]).select("row_id", F.col("name").alias("family"), "fold", "y", F.col("p").alias("probability")).cache()
 
         wide = unseen.groupBy("row_id", "fold", "y").pivot("family", names).agg(F.first("probability"))
-        upper = wide.select("row_id", "fold", F.col("y").cast("double").alias("label"), array_to_vector(F.array(*(F.col(f"`{f}`") for f in names))).alias("features")).cache()
+        upper = wide.select("row_id", "fold", F.col("y").cast("double").alias("label"), array_to_vector(F.array(*(F.col(f"`{f}`") for f in names))).alias("features"))
+        upper = linear.compact(upper)
         kept = at_once([lambda f=f: staged(boosted("features", max(self.top)).fit(upper.where(F.col("fold") != f)), upper.where(F.col("fold") == f), self.top, ["fold", "label"]) for f in folds])
         tried = reduce(DataFrame.union, kept).select("size", "fold", F.col("label").cast("int").alias("y"), (F.col("p") > 0.5).cast("int").alias("pred"))
         size = binary_report(tried, ["size", "fold"]).groupBy("size").agg(F.avg("f1").alias("f1")).orderBy(F.desc("f1"), "size").first()["size"]
@@ -342,7 +343,7 @@ def stability_scores(rows: DataFrame, d: int, groups: list[list[int]], n: int =
         facts = masked.agg(F.count("*"), F.min("label"), F.max("label")).first()
         if facts[0] and facts[1] != facts[2]:
             break
-    masked, random = masked.cache(), np.random.default_rng(seed)
+    masked, random = linear.compact(masked), np.random.default_rng(seed)
     scales = np.zeros((len(groups) * n, d))
     for g, places in enumerate(groups):
         scales[g * n : (g + 1) * n, places] = np.where(random.random((n, len(places))) < 0.5, scaling, 1.0)

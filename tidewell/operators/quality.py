@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
+from tidewell.operators.ordered import exact_quantiles
 def na_rates(long: DataFrame, by: list[str]) -> DataFrame:
     return long.groupBy(*by).agg(F.avg(F.col("value").isNull().cast("double")).alias("na_rate"), F.count("*").alias("n"))
 
@@ -45,7 +45,7 @@ def pivot_days(long: DataFrame, days: list) -> DataFrame:
 
 def trimmed_daily_mean(long: DataFrame, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Daily mean of the values strictly between two percentiles of the feature."""
-    edges = long.groupBy("feature").agg(F.percentile("value", F.array(F.lit(low), F.lit(high))).alias("edge"))
+    edges = exact_quantiles(long, ["feature"], [low, high])
     inside = long.join(F.broadcast(edges), "feature").where((F.col("value") > F.col("edge")[0]) & (F.col("value") < F.col("edge")[1]))
     return inside.groupBy("feature", "date").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
 

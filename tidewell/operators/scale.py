@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.scalar import clip
+from tidewell.operators.ordered import exact_quantiles
 
 #: Distance of the 5 % and 95 % points of a standard normal.
 NORMAL_SPAN = 3.2897072539029444
@@ -41,12 +42,13 @@ def tertiles(long: DataFrame, by: list[str]) -> DataFrame:
 
 
 def unit_robust(long: DataFrame, by: list[str], fit_on: DataFrame | None = None) -> DataFrame:
-    """(x - median) / ((q95 - q5) / 3.29): unit variance for a normal. Fitted on itself or on ``fit_on``."""
+    """(x - median) / ((q95 - q5) / 3.29): unit variance for a normal. Fitted on itself or on ``fit_on``; a
+    feature's quantiles, of however many rows, come from many tasks. ``by`` and features should be few."""
     keys = [*by, "feature"]
     source = long if fit_on is None else fit_on
-    edges = source.groupBy(*keys).agg(F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("edge"))
+    edges = exact_quantiles(source, keys, [0.05, 0.5, 0.95])
     span = (F.col("edge")[2] - F.col("edge")[0]) / NORMAL_SPAN
-    return long.join(edges, keys, "left").withColumn("value", (F.col("value") - F.col("edge")[1]) / F.when(span == 0, 1.0).otherwise(span)).drop("edge")
+    return long.join(F.broadcast(edges), keys, "left").withColumn("value", (F.col("value") - F.col("edge")[1]) / F.when(span == 0, 1.0).otherwise(span)).drop("edge")
 
 
 def unit_scale(long: DataFrame, factors: dict[str, float]) -> DataFrame:

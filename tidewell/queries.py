@@ -752,14 +752,27 @@ def _(s, d):
     return metrics.auc(views.predictions(s, d), ["split"])
 
 
-@query("multiclass_report", "i:split i:class i:support r:precision r:recall r:f1 r:acc r:macro_f1", """
-SELECT split, class, support, pr AS precision, re AS recall, f1, acc, avg(f1) OVER (PARTITION BY split) AS macro_f1 FROM (SELECT *, CASE WHEN pr + re = 0 THEN 0 ELSE 2 * pr * re / (pr + re) END AS f1 FROM (
+@query("multiclass_report", "i:split i:class i:support r:precision r:recall r:f1 r:acc r:macro_precision r:macro_recall r:macro_f1 r:weighted_precision r:weighted_recall r:weighted_f1", """
+SELECT split, class, support, pr AS precision, re AS recall, f1, acc, avg(pr) OVER s AS macro_precision, avg(re) OVER s AS macro_recall, avg(f1) OVER s AS macro_f1,
+  sum(pr * support) OVER s / sum(support) OVER s AS weighted_precision, sum(re * support) OVER s / sum(support) OVER s AS weighted_recall, sum(f1 * support) OVER s / sum(support) OVER s AS weighted_f1 FROM (SELECT *, CASE WHEN pr + re = 0 THEN 0 ELSE 2 * pr * re / (pr + re) END AS f1 FROM (
   SELECT p.split, class, count(*) FILTER (WHERE y = class) AS support, CASE WHEN count(*) FILTER (WHERE pred = class) = 0 THEN 1 ELSE count(*) FILTER (WHERE y = class AND pred = class) / count(*) FILTER (WHERE pred = class) END AS pr,
-    CASE WHEN count(*) FILTER (WHERE y = class) = 0 THEN 1 ELSE count(*) FILTER (WHERE y = class AND pred = class) / count(*) FILTER (WHERE y = class) END AS re, avg(CAST((y = class) = (pred = class) AS DOUBLE)) AS acc FROM pred p, (VALUES (0), (1)) c(class) GROUP BY ALL))""")
+    CASE WHEN count(*) FILTER (WHERE y = class) = 0 THEN 1 ELSE count(*) FILTER (WHERE y = class AND pred = class) / count(*) FILTER (WHERE y = class) END AS re, avg(CAST((y = class) = (pred = class) AS DOUBLE)) AS acc FROM pred p, (VALUES (0), (1)) c(class) GROUP BY ALL)) WINDOW s AS (PARTITION BY split)""")
 def _(s, d):
     return metrics.multiclass_report(views.predictions(s, d), ["split"])
 
 
+@query("one_vs_rest_auc", "i:split i:class r:auc r:macro_auc r:weighted_auc", """
+WITH l AS (SELECT vec_id % 3 AS split, c AS class, round(embedding[c + 1]::DOUBLE, 3) AS score, label = c AS own FROM embeddings, range(10) r(c) WHERE label IS NOT NULL AND embedding IS NOT NULL),
+a AS (SELECT split, class, sum(CASE WHEN own THEN r ELSE 0 END) AS ranks, count(*) FILTER (WHERE own) AS p, count(*) FILTER (WHERE NOT own) AS q FROM (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY split, class, score) - 1) / 2 AS r FROM l WINDOW w AS (PARTITION BY split, class ORDER BY score)) GROUP BY ALL),
+u AS (SELECT split, class, p, CASE WHEN p > 0 AND q > 0 THEN (ranks - p * (p + 1) / 2) / (CAST(p AS DOUBLE) * q) END AS auc FROM a)
+SELECT split, class, auc, avg(auc) OVER s AS macro_auc, sum(auc * p) OVER s / sum(CASE WHEN auc IS NOT NULL THEN p END) OVER s AS weighted_auc FROM u WINDOW s AS (PARTITION BY split)""")
+def _(s, d):
+    """A vector's first ten components as scores of the ten classes."""
+    v = views.vectors(s, d).where("label is not null and x is not null")
+    scores = F.array(*(F.struct(F.lit(c).alias("class"), F.round(F.col("x")[c].cast("double"), 3).alias("score")) for c in range(10)))
+    return metrics.one_vs_rest_auc(v.select((F.col("id") % 3).alias("split"), F.col("label").alias("y"), scores.alias("scores")), ["split"])
+
+
 @query("log_likelihood", "i:split r:log_likelihood", "SELECT split, sum(CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END) AS log_likelihood FROM (SELECT *, greatest(1e-15, least(1 - 1e-15, CAST(score AS DOUBLE))) AS p FROM pred) GROUP BY split")
 def _(s, d):
     return metrics.log_likelihood(views.predictions(s, d), ["split"])
@@ -871,9 +884,28 @@ def _(s, d):
     return screen.binned_mi(_labelled(s, d).withColumn("value", F.round("value", 9)))
 
 
+def _psi(n: str) -> str:
+    x = f"({n} + 10.0)"
+    return f"(ln({x}) - 1 / (2 * {x}) - 1 / (12 * {x} ** 2) + 1 / (120 * {x} ** 4) - 1 / (252 * {x} ** 6) - ({' + '.join(f'1 / ({n} + {k}.0)' for k in range(10))}))"
+
+
+@query("neighbour_mi", "s:feature r:mi", f"""
+WITH r AS (SELECT feature, pid, label_date, y, floor(value * 1024) / 1024 AS x, count(*) OVER (PARTITION BY feature, y) AS size FROM ({LABELLED}) WHERE value IS NOT NULL),
+g AS (SELECT a.feature, a.pid, a.label_date, any_value(a.size) AS size, list_sort(list(abs(a.x - b.x)) FILTER (WHERE a.y = b.y AND (a.pid <> b.pid OR a.label_date <> b.label_date))) AS near, list(abs(a.x - b.x)) AS far FROM (SELECT * FROM r WHERE size > 1) a JOIN (SELECT * FROM r WHERE size > 1) b ON a.feature = b.feature GROUP BY ALL),
+k AS (SELECT feature, size, least(3, size - 1) AS k, near[least(3, size - 1)] AS rad, far FROM g),
+m AS (SELECT feature, size, k, len(list_filter(far, lambda t: t < rad OR (rad = 0 AND t = 0))) AS m FROM k)
+SELECT feature, greatest(0, {_psi('count(*)')} + avg({_psi('k')}) - avg({_psi('size')}) - avg({_psi('m')})) AS mi FROM m GROUP BY feature""")
+def _(s, d):
+    rows = _labelled(s, d).withColumn("value", F.floor(F.col("value") * 1024) / 1024)
+    return screen.neighbour_mi(rows, ["feature"], ["pid", "label_date"])
+
+
 @query("mi_screen", "s:feature")
 def _(s, d):
-    return screen.mi_screen(_labelled(s, d), rounds=3, floor=2)
+    """All features of all day segments over 30 rounds; ten stay at least."""
+    window = windows.label_windows(views.labels(s, d), views.daily(s, d, None, ("n", "sum", "mean", "max")), 14)
+    means = windows.window_stats(window, 14, ("mean",)).select("pid", "label_date", "feature", F.col("mean").alias("value"))
+    return screen.mi_screen(means.join(views.labels(s, d).select("pid", "label_date", "y"), ["pid", "label_date"]), ["pid", "label_date"])
 
 
 # --- rules
@@ -1271,16 +1303,21 @@ def _matrix(s: SparkSession, d: str) -> DataFrame:
     return rows.select(F.xxhash64("pid", "label_date").alias("row_id"), "pid", "label_date", "ds_key", "device", "x", array_to_vector("x").alias("features"), F.col("y").cast("double").alias("label"), "role")
 
 
+def _folded(m: DataFrame, k: int = 5) -> DataFrame:
+    """Rows with folds of participants, both classes in every training part."""
+    return splits.folds_with_both_classes(m, "pid", "label", splits.fold_count(m, "label", "pid", k))
+
+
 @query("evaluate_allbutone", "s:split_id s:role r:acc r:balanced_acc r:auc")
 def _(s, d):
-    return models.evaluate(_matrix(s, d).drop("role"), splits.split_plan("allbutone", views.points(s, d)), "lr", {"maxIter": 10})
+    return models.evaluate(_matrix(s, d).drop("role"), splits.split_plan("allbutone", views.points(s, d)), "lr")
 
 
 @query("grid_search", "i:params r:mean")
 def _(s, d):
-    m = _matrix(s, d)
-    folded = m.join(splits.group_folds(m, "pid", 2, 0, "label"), "pid")
-    return models.grid_search(folded, "lr", models.grid(regParam=[0.01, 0.1], maxIter=[5]))[1]
+    """The published elastic-net grid over five folds, fitted together."""
+    m = _matrix(s, d).where("role = 'train'").cache()
+    return models.grid_search(_folded(m), "lr", models.elastic_net_grid(m.count()))[1]
 
 
 @query("per_device", "i:pid d:label_date s:device i:pred r:score")
@@ -1291,22 +1328,25 @@ def _(s, d):
 @query("ada_boost", "i:pid d:label_date i:pred r:score")
 def _(s, d):
     m = _matrix(s, d)
-    return models.predictions(models.make_estimator("adaboost", {"rounds": 3}).fit(m.where("role = 'train'")), m)
+    return models.predictions(models.make_estimator("adaboost").fit(m.where("role = 'train'")), m)
 
 
-@query("stacked", "i:pid d:label_date i:pred r:score")
+@query("stacked", "i:pid d:label_date i:pred r:score r:p_click r:p_error")
 def _(s, d):
-    m = _matrix(s, d).withColumns({f"x{k}": F.col("x")[k] for k in range(10)}).drop("features")
-    model = models.stacked(m.where("role = 'train'"), {"counts": ["x0", "x2", "x4"], "sums": ["x1", "x3", "x5"]}, {"maxIter": 2})
-    return models.predictions(model, m)
+    """A family for each kind of event; the published grids of costs, sizes and upper sizes."""
+    m = _matrix(s, d)
+    families: dict[str, list[int]] = {}
+    for k, name in enumerate(_NAMES):
+        families.setdefault(name.split(":")[0].removeprefix("f_"), []).append(k)
+    return models.predictions(models.Stacking(families).fit(_folded(m.where("role = 'train'"))), m)
 
 
 @query("kernel_svm", "i:pid d:label_date i:pred r:score")
 def _(s, d):
     from pyspark.ml.functions import array_to_vector
 
-    m = _matrix(s, d).withColumn("features", array_to_vector(models.random_features(F.col("x"), 10, 16, 0.001)))
-    return models.predictions(models.make_estimator("svm", {"maxIter": 5}).fit(m.where("role = 'train'")), m)
+    m = _matrix(s, d).withColumn("features", array_to_vector(models.random_features(F.col("x"), 10, 64, 0.001)))
+    return models.predictions(models.make_estimator("svm").fit(m.where("role = 'train'")), m)
 
 
 @query("domain_curve", "r:fraction i:repeat r:accuracy")
@@ -1314,9 +1354,24 @@ def _(s, d):
     return models.domain_curve(splits.pid_split(_matrix(s, d).drop("role", "label")), "ds_key", [0.3, 1.0], 1)
 
 
-@query("stability_select", "i:feature r:frequency")
+@query("stability_select", "i:family i:segment s:feature r:frequency b:kept")
 def _(s, d):
-    return s.createDataFrame(models.stability_select(_matrix(s, d), 10, n=4, reg=0.02), "feature int, frequency double")
+    """All features of all day segments: 200 refits of each segment of each kind of event, then of each kind."""
+    window = windows.label_windows(views.labels(s, d), views.daily(s, d, None, ("n", "sum", "mean", "max")), 14)
+    long = scale.prepare(windows.window_stats(window, 14, ("mean",)).select("pid", "label_date", "feature", F.col("mean").alias("value")), "train", row_na=2.0)
+    names = sorted(r.feature for r in long.select("feature").distinct().collect())
+    rows = published.matrix(long, views.points(s, d), names).withColumn("row_id", F.xxhash64("pid", "label_date")).cache()
+    families: dict[str, dict[str, list[int]]] = {}
+    for k, name in enumerate(names):
+        kind, _, segment = name.split(":")
+        families.setdefault(kind, {}).setdefault(segment, []).append(k)
+    groups = [(f, g, places) for f, parts in families.items() for g, places in parts.items()]
+    scores = models.stability_scores(rows, len(names), [places for *_, places in groups])
+    kept = {k for places in models.stability_select(rows, len(names), families).values() for k in places}
+    order = {f: k for k, f in enumerate(families)}
+    table = [(order[f], n, names[k], v, k in kept) for n, ((f, _, _), found) in enumerate(zip(groups, scores, strict=True)) for k, v in found.items()]
+    rows.unpersist()
+    return s.createDataFrame(table, "family int, segment int, feature string, frequency double, kept boolean")
 
 
 # --- published pipelines: feature matrices with SQL, fits without
@@ -1340,14 +1395,18 @@ def _(s, d):
     return published.broad_features(views.windows(s, d))
 
 
+#: Pipelines whose whole grid is searched in their query: elastic nets, all fits of which are one batch.
+_SEARCHED = ("saeb", "wang")
+
+
 def _published(name: str) -> None:
     @query(f"published_{name}", "s:role i:n r:acc r:balanced_acc r:auc")
     def _(s, d):
         points = splits.within_user(views.points(s, d).drop("score"))
-        return published.evaluate(registry.load_algorithm(f"ml_{name}"), views.windows(s, d), points)
+        return published.evaluate(registry.load_algorithm(f"ml_{name}"), views.windows(s, d), points, search=name in _SEARCHED)
 
 
-for _name in ("saeb", "wang"):
+for _name in ("saeb", "wang", "wahle", "canzian", "farhan", "lu", "chikersal", "xu_interpretable", "xu_personalized"):
     _published(_name)
 
 

@@ -84,3 +84,12 @@ def test_models_of_devices_fall_back(planted):
     whole = models.make_estimator("dt", {"maxDepth": 3}).fit(train)
     want = {r.row_id: r.score for r in models.predictions(whole, one_class.where("device = 'other'")).collect()}
     assert {r.row_id: r.score for r in out.where("device = 'other'").collect()} == want
+
+
+def test_staged_scores_equal_smaller_models(planted):
+    rows = planted.coalesce(1).cache()
+    whole = models.boosted("features", 5).fit(rows)
+    got = {(r.row_id, r["size"]): r.p for r in models.staged(whole, rows, (2, 5), ["row_id"]).collect()}
+    for size in (2, 5):
+        want = models.boosted("features", size).fit(rows).transform(rows).select("row_id", "probability").collect()
+        assert all(got[r.row_id, size] == pytest.approx(float(r.probability[1])) for r in want)

@@ -233,12 +233,20 @@ def multi_task(rows: DataFrame, tasks: list[str], n_features: int, g1: float, g2
 
 
 def staged(model, rows: DataFrame, sizes: tuple[int, ...], keep: list[str]) -> DataFrame:  # noqa: ANN001
-    """``size, p`` beside ``keep``: positive probabilities of a boosted model's first trees."""
-    names = [f"__t{k}" for k in range(max(sizes))]
-    for name, tree in zip(names, model.trees, strict=False):
-        rows = tree.setPredictionCol(name).transform(rows)
-    margins = [sum(float(w) * F.col(n) for w, n in zip(model.treeWeights[:size], names, strict=False)) for size in sizes]
-    options = F.array(*(F.struct(F.lit(size).alias("size"), (1 / (1 + F.exp(-2 * m))).alias("p")) for size, m in zip(sizes, margins, strict=True)))
+    """``size, p`` beside ``keep``: positive probabilities of a boosted model's first trees.
+
+    One transform gives each tree's leaf; what a leaf adds is read from the trees, leaves from left to right.
+    """
+
+    def leaves(node) -> list[float]:  # noqa: ANN001
+        return [node.prediction()] if node.subtreeDepth() == 0 else leaves(node.leftChild()) + leaves(node.rightChild())
+
+    added = [[w * v for v in leaves(tree._java_obj.rootNode())] for tree, w in zip(model.trees, model.treeWeights, strict=True)]
+    values = F.array(*(F.array(*map(F.lit, v)) for v in added))
+    parts = F.zip_with(vector_to_array("__leaf"), values, lambda leaf, v: v[leaf.cast("int")])
+    rows = model.copy().setLeafCol("__leaf").transform(rows).select(*keep, parts.alias("__parts"))
+    margin = lambda size: F.aggregate(F.slice("__parts", 1, size), F.lit(0.0), lambda s, v: s + v)
+    options = F.array(*(F.struct(F.lit(size).alias("size"), (1 / (1 + F.exp(-2 * margin(size)))).alias("p")) for size in sizes))
     return rows.select(*keep, F.explode(options).alias("o")).select(*keep, "o.size", "o.p")
 
 

@@ -24,7 +24,9 @@ LETTERS = 5
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("copy"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    # the hash of the text comes before the lines are dealt out: behind them it would be taken anew for each line
+    whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("copy"), F.split(text, "\n", -1).alias("lines"))
+    rows = whole.select("id", "copy", F.posexplode("lines").alias("pos", "line"))
     weight = 1 + F.floor(F.length(F.replace("line", F.lit(" "))) / LETTERS)
     return rows.select("id", "copy", "pos", F.xxhash64("line").alias("name"), weight.cast("int").alias("weight"))
 
@@ -78,11 +80,12 @@ def line_dedup(docs: DataFrame, min_weight: int = 5, id_col: str = "doc_id", tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.drop("n_lines", "n_removed").withColumn("__copy", F.xxhash64(text))
     joined = own.join(removed, own[id_col].eqNullSafe(removed["__id"]) & (F.col("__copy") == removed["__copy_of"]), "left").drop("__id", "__copy", "__copy_of")
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed"))
-    new = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: lines[i]), "\n"))
-    counted = joined.withColumns({"n_lines": F.size(F.split(text, "\n", -1)), "n_removed": F.coalesce(F.size("__removed"), F.lit(0))})
-    return counted.withColumn(text_col, new).drop("__removed")
+    # the lines are a column of their own, used twice: a text is split once, not again for each line that stays
+    joined = joined.withColumn("__lines", F.split(text, "\n", -1))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__removed"))
+    new = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.col("__lines")[i]), "\n"))
+    counted = joined.withColumns({"n_lines": F.size("__lines"), "n_removed": F.coalesce(F.size("__removed"), F.lit(0)), text_col: new})
+    return counted.drop("__removed", "__lines")
 
 
 def line_dedup_sql(min_weight: int = 5) -> str:

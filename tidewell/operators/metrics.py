@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.operators.ordered import running
+from tidewell.operators.ordered import cut, running
 
 
 def _rate(top: Column, low: Column, empty: float) -> Column:
@@ -33,7 +33,7 @@ def auc(pred: DataFrame, by: list[str]) -> DataFrame:
     Scores are counted first, so only distinct scores are ordered; ties count a half.
     """
     y = F.col("y") == 1
-    counts = pred.groupBy(*by, "score").agg(F.sum(y.cast("double")).alias("p"), F.sum((~y).cast("double")).alias("q"))
+    counts = cut(pred.groupBy(*by, "score").agg(F.sum(y.cast("double")).alias("p"), F.sum((~y).cast("double")).alias("q")))
     areas = running(counts, by, "score", ["q"]).groupBy(*by).agg(F.sum(F.col("p") * (F.col("below_q") + F.col("q") / 2)).alias("area"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     both = areas.join(binary_report(pred, by).select(*by, "balanced_acc"), by) if by else areas.crossJoin(binary_report(pred, by).select("balanced_acc"))
     return both.select(*by, F.when((F.col("p") == 0) | (F.col("q") == 0), F.col("balanced_acc")).otherwise(F.col("area") / (F.col("p") * F.col("q"))).alias("auc"))
@@ -60,7 +60,7 @@ def one_vs_rest_auc(pred: DataFrame, by: list[str], scores: str = "scores") -> D
     """
     long = pred.select(*by, "y", F.explode(scores).alias("s")).select(*by, F.col("s.class").alias("class"), F.col("s.score").alias("score"), (F.col("y") == F.col("s.class")).alias("own"))
     keys = [*by, "class"]
-    counts = long.groupBy(*keys, "score").agg(F.count_if("own").cast("double").alias("p"), F.count_if(~F.col("own")).cast("double").alias("q"))
+    counts = cut(long.groupBy(*keys, "score").agg(F.count_if("own").cast("double").alias("p"), F.count_if(~F.col("own")).cast("double").alias("q")))
     areas = running(counts, keys, "score", ["q"]).groupBy(*keys).agg(F.sum(F.col("p") * (F.col("below_q") + F.col("q") / 2)).alias("area"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     found = areas.withColumn("auc", F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("area") / (F.col("p") * F.col("q"))))
     all_ = Window.partitionBy(*by)  # a row a class
@@ -79,7 +79,7 @@ def best_threshold(pred: DataFrame, by: list[str]) -> DataFrame:
     With one class there is no balanced accuracy, and the highest score is returned.
     """
     y = F.col("y") == 1
-    counts = pred.groupBy(*by, "score").agg(F.sum(y.cast("double")).alias("p"), F.sum((~y).cast("double")).alias("q"))
+    counts = cut(pred.groupBy(*by, "score").agg(F.sum(y.cast("double")).alias("p"), F.sum((~y).cast("double")).alias("q")))
     totals = counts.groupBy(*by).agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
     ordered = running(counts, by, "score", ["p", "q"])
     ordered = ordered.join(F.broadcast(totals), by) if by else ordered.crossJoin(F.broadcast(totals))

@@ -14,6 +14,15 @@ from pyspark.sql import functions as F
 BINS = 64
 
 
+def cut(rows: DataFrame) -> DataFrame:
+    """The rows as a checkpoint in the cluster's shared folder: what reads them several times neither plans nor
+    computes anew what made them. Without spark.checkpoint.dir, as in tests, the folder lies in the warehouse."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(rows.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return rows.checkpoint()
+
+
 def binned(rows: DataFrame, keys: list[str], value: str, bins: int = BINS) -> DataFrame:
     """The rows with ``__bin``: how many of their key's cut points lie below the value; equal values share a bin."""
     points = F.percentile_approx(value, F.array(*(F.lit(k / bins) for k in range(1, bins))), F.lit(10_000))
@@ -40,14 +49,15 @@ def running(rows: DataFrame, keys: list[str], value: str, sums: list[str], then:
 
 def average_ranks(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``keys, value, count, rank`` of the distinct values: rank from 1, ties with their average."""
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("count"))
+    counts = cut(rows.groupBy(*keys, value).agg(F.count("*").alias("count")))
     return running(counts, keys, value, ["count"]).select(*keys, value, "count", (F.col("below_count") + (F.col("count") + 1) / 2).alias("rank"))
 
 
 def exact_quantiles(rows: DataFrame, keys: list[str], q: list[float], value: str = "value") -> DataFrame:
     """``keys, edge array<double>``: exact quantiles with linear interpolation, nulls left out; as ``percentile``
     gives them, but from counts of distinct values that are ordered in many tasks. A key without values is null."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("count"))
+    every = cut(rows.groupBy(*keys, value).agg(F.count("*").alias("count")))
+    counts = every.where(F.col(value).isNotNull())
     placed = running(counts, keys, value, ["count"]).withColumn("up", F.col("below_count") + F.col("count"))
     total = counts.groupBy(*keys).agg(F.sum("count").alias("total"))
     placed = placed.join(F.broadcast(total), keys) if keys else placed.crossJoin(F.broadcast(total))
@@ -65,4 +75,4 @@ def exact_quantiles(rows: DataFrame, keys: list[str], q: list[float], value: str
         return F.when(low == high, low).otherwise((F.ceil(a) - a) * low + (a - F.floor(a)) * high)
 
     edges = found.select(*keys, F.array(*(value_at(k) for k in range(len(q)))).alias("edge"))
-    return rows.select(*keys).distinct().join(F.broadcast(edges), keys, "left") if keys else edges
+    return every.select(*keys).distinct().join(F.broadcast(edges), keys, "left") if keys else edges

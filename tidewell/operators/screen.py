@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.scalar import correlation
-from tidewell.operators.ordered import average_ranks, binned, running
+from tidewell.operators.ordered import average_ranks, binned, cut, running
 
 #: Chunks of a class in which neighbours are looked for.
 CHUNKS = 32
@@ -73,7 +73,7 @@ def binned_mi(long: DataFrame, bins: int = 5) -> DataFrame:
     w = Window.partitionBy("feature")  # a row a bin and class
     counts = rows.groupBy("feature", "value", "y").agg(F.count("*").alias("pairs"))
     total = rows.groupBy("feature").agg(F.count("*").alias("total"))
-    below = running(rows.groupBy("feature", "value").agg(F.count("*").alias("count")), ["feature"], "value", ["count"]).select("feature", "value", "below_count")
+    below = running(cut(rows.groupBy("feature", "value").agg(F.count("*").alias("count"))), ["feature"], "value", ["count"]).select("feature", "value", "below_count")
     placed = counts.join(below, ["feature", "value"]).join(F.broadcast(total), "feature").withColumn("bin", F.floor(F.col("below_count") * bins / F.col("total")))
     cells = placed.groupBy("feature", "bin", "y").agg(F.sum("pairs").cast("double").alias("n"))
     total, row, col = F.sum("n").over(w), F.sum("n").over(Window.partitionBy("feature", "bin")), F.sum("n").over(Window.partitionBy("feature", "y"))
@@ -101,7 +101,7 @@ def neighbour_mi(long: DataFrame, keys: list[str], row: list[str], k: int = 3) -
     """
     rows = long.where("value is not null AND y is not null").select(*keys, *row, F.col("value").cast("double").alias("value"), "y")
     sizes = rows.groupBy(*keys, "y").agg(F.count("*").alias("size")).where("size > 1")
-    rows = rows.join(F.broadcast(sizes), [*keys, "y"])
+    rows = cut(rows.join(F.broadcast(sizes), [*keys, "y"]))
     own = [*keys, "y"]
     chunked = binned(rows, own, "value", CHUNKS)
     edge = Window.partitionBy(*own, "__bin")
@@ -123,7 +123,7 @@ def neighbour_mi(long: DataFrame, keys: list[str], row: list[str], k: int = 3) -
         for j in range(n + 1):
             left, right = (F.col(f"__a{j}") if j else x), (F.col(f"__b{n - j}") if n - j else x)
             options.append(F.when((far == n) & left.isNotNull() & right.isNotNull(), F.struct(F.greatest(x - left, right - x).alias("r"), left.alias("left"), right.alias("right"))))
-    gaps = gaps.withColumn("o", F.least(*options)).select(*keys, *row, "value", "size", far.alias("k"), "o.*")
+    gaps = cut(gaps.withColumn("o", F.least(*options)).select(*keys, *row, "value", "size", far.alias("k"), "o.*"))
     r, same = F.col("r"), F.col("r") == 0
     by_left = (x - F.col("left")) == r  # that end is a value: it is taken as it stands, without a rounding
     low, high = F.when(by_left, F.col("left")).otherwise(x - r), F.when((F.col("right") - x) == r, F.col("right")).otherwise(x + r)

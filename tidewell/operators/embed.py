@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -39,11 +38,23 @@ def batch_plan(points: DataFrame, domain: str, size: int, mode: str = "within",
     return again.where(place < F.col("__most")).withColumn("batch", F.floor(place / size)).drop("__i", "__n", "__most")
 
 
+def beta(key: str, alpha: float, seed: int = 0, tries: int = 40) -> Column:
+    """A number from Beta(alpha, alpha), by Joehnk's rejection from hashes of the key: u^(1/alpha) and v^(1/alpha)
+    are accepted if they add up to at most 1, and give the share of the first. For alpha up to 1 a try fails
+    with a chance of at most one half; should all fail, the last counts."""
+    uniform = lambda i, side: (F.pmod(F.xxhash64(key, i, F.lit(seed), F.lit(side)), F.lit(1 << 40)) + 0.5) / (1 << 40)
+    power = F.lit(1 / alpha)
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda i: F.struct(F.pow(uniform(i, 0), power).alias("u"), F.pow(uniform(i, 1), power).alias("v")))
+    good = F.filter(pairs, lambda p: (p.u + p.v <= 1) & (p.u + p.v > 0))
+    one = F.coalesce(F.get(good, F.lit(0)), pairs[tries - 1])
+    return one.u / (one.u + one.v)
+
+
 def mixup(points: DataFrame, alpha: float, scope: str | None = None, seed: int = 0, key: str = "row_id", x: str = "x", y: str = "y") -> DataFrame:
     """Each row blended with its neighbour in a hash order (of its ``scope`` if given): ``key, other, lam, x, y``.
 
-    lam is Beta(alpha, alpha), from a generator seeded with the row's key. The neighbour is found in the
-    hash order of ids alone; vectors are joined afterwards.
+    lam is Beta(alpha, alpha) from hashes of the row's key (:func:`beta`). The neighbour is found in the hash
+    order of ids alone; vectors are joined afterwards.
     """
     keys = [scope] if scope else []
     ids = points.select(key, *keys).withColumn("__h", F.xxhash64(key, F.lit(seed))).withColumn("__s", F.col(scope) if scope else F.pmod(F.col("__h"), F.lit(64)))
@@ -51,13 +62,9 @@ def mixup(points: DataFrame, alpha: float, scope: str | None = None, seed: int =
     first = F.first(key).over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     ids = ids.withColumn("other", F.coalesce(F.lead(key).over(ring), first)).select(key, "other")
 
-    @F.pandas_udf("double")
-    def weight(k: pd.Series) -> pd.Series:
-        return pd.Series([np.random.default_rng([seed, int(v) & 0xFFFFFFFF]).beta(alpha, alpha) for v in k])
-
     a = points.select(key, F.col(x).alias("__x"), F.col(y).alias("__y"))
     b = points.select(F.col(key).alias("other"), F.col(x).alias("__x2"), F.col(y).alias("__y2"))
-    both = ids.join(a, key).join(b, "other").withColumn("lam", weight(key))
+    both = ids.join(a, key).join(b, "other").withColumn("lam", beta(key, alpha, seed))
     mix = lambda p, q: F.col("lam") * p + (1 - F.col("lam")) * q
     return both.select(key, "other", "lam", F.zip_with("__x", "__x2", mix).alias(x), F.zip_with("__y", "__y2", mix).alias(y))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.scalar import is_weekday, slope_of
@@ -48,25 +48,38 @@ def breakpoint_slopes(weeks: DataFrame) -> DataFrame:
     """Best bend of y ~ 1 + x + (x - b)+ over the weeks b, by n ln(rss/n) + 3 ln n with rss the residual norm.
 
     Exact fits (NO_RESIDUE) are rejected, ties go to the earlier week. Returns the bend and the slopes of
-    the weeks up to it and from it on; a part has at most a handful of weeks, so all pairs of weeks of a
-    part are few.
+    the weeks up to it and from it on. A part's weeks, a handful, are gathered in one array, and all its bends
+    are scored inside one expression: one shuffle, no pairs.
     """
     key = [*KEY, "part"]
     known = weeks.where("mean is not null").select(*key, F.col("week").cast("double").alias("x"), F.col("mean").alias("y"))
-    pairs = known.join(known.select(*key, F.col("x").alias("b")), key).withColumn("h", F.greatest(F.col("x") - F.col("b"), F.lit(0.0)))
-    mean = {c: F.avg(c).over(Window.partitionBy(*key, "b")) for c in ("x", "y", "h")}
-    c = pairs.withColumns({f"m{k}": v for k, v in mean.items()})
-    dx, dy, dh = F.col("x") - F.col("mx"), F.col("y") - F.col("my"), F.col("h") - F.col("mh")
-    sums = c.groupBy(*key, "b").agg(F.count("*").alias("n"), F.sum(dx * dx).alias("xx"), F.sum(dh * dh).alias("hh"), F.sum(dx * dh).alias("xh"), F.sum(dx * dy).alias("xy"), F.sum(dh * dy).alias("hy"), F.sum(dy * dy).alias("yy"))
-    det = F.col("xx") * F.col("hh") - F.col("xh") * F.col("xh")
-    both = (F.col("xy") * F.col("xy") * F.col("hh") - 2 * F.col("xy") * F.col("hy") * F.col("xh") + F.col("hy") * F.col("hy") * F.col("xx")) / det
-    explained = F.when(F.abs(det) > 1e-9, both).when(F.col("xx") > 0, F.col("xy") * F.col("xy") / F.col("xx")).otherwise(0.0)
-    left = sums.withColumn("left", F.col("yy") - explained).where(F.col("left") > NO_RESIDUE * F.col("yy"))
-    scored = left.withColumn("score", F.round(F.col("n") * F.log(F.sqrt("left") / F.col("n")) + 3 * F.log("n"), 6))
-    best = scored.groupBy(*key).agg(F.min_by("b", F.struct("score", "b")).alias("bend"))
-    x = F.col("x")
-    joined = known.join(best, key)
-    return joined.groupBy(*key, "bend").agg(slope_of(F.when(x <= F.col("bend"), x), F.col("y")).alias("slope_before"), slope_of(F.when(x >= F.col("bend"), x), F.col("y")).alias("slope_after"))
+    parts = known.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("w"), F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    total = lambda of, where="w": F.aggregate(where, F.lit(0.0), lambda s, p: s + of(p))
+    dx, dy = (lambda p: p.x - F.col("mx")), (lambda p: p.y - F.col("my"))
+    parts = parts.withColumns({"xx": total(lambda p: dx(p) * dx(p)), "xy": total(lambda p: dx(p) * dy(p)), "yy": total(lambda p: dy(p) * dy(p))})
+    hinge = lambda p, b: F.greatest(p.x - b, F.lit(0.0))
+    bends = parts.withColumn("bends", F.transform("w", lambda q: F.struct(q.x.alias("b"), (total(lambda p: hinge(p, q.x)) / F.col("n")).alias("mh"))))
+    dh = lambda p, c: hinge(p, c.b) - c.mh
+    sums = F.transform("bends", lambda c: F.struct(c.b.alias("b"), total(lambda p: dh(p, c) * dh(p, c)).alias("hh"), total(lambda p: dx(p) * dh(p, c)).alias("xh"), total(lambda p: dh(p, c) * dy(p)).alias("hy")))
+    xx, xy, yy, n = (F.col(c) for c in ("xx", "xy", "yy", "n"))
+
+    def left(c: Column) -> Column:
+        det = xx * c.hh - c.xh * c.xh
+        both = (xy * xy * c.hh - 2 * xy * c.hy * c.xh + c.hy * c.hy * xx) / F.nullif(det, F.lit(0.0))
+        return yy - F.when(F.abs(det) > 1e-9, both).when(xx > 0, xy * xy / F.nullif(xx, F.lit(0.0))).otherwise(0.0)
+
+    rest = bends.withColumn("bends", sums).withColumn("bends", F.transform("bends", lambda c: F.struct(c.b.alias("b"), left(c).alias("left"))))
+    good = F.filter("bends", lambda c: c.left > NO_RESIDUE * yy)
+    scored = F.transform(good, lambda c: F.struct(F.round(n * F.log(F.sqrt(c.left) / n) + 3 * F.log(n), 6).alias("score"), c.b.alias("b")))
+    best = rest.withColumn("bend", F.array_min(scored).b).where("bend is not null")
+
+    def slope_in(side: Column) -> Column:
+        m, sx, sy = F.size(side), total(lambda p: p.x, side), total(lambda p: p.y, side)
+        low = m * total(lambda p: p.x * p.x, side) - sx * sx
+        return F.when(low != 0, (m * total(lambda p: p.x * p.y, side) - sx * sy) / F.nullif(low, F.lit(0.0)))
+
+    sides = best.withColumns({"before": F.filter("w", lambda p: p.x <= F.col("bend")), "after": F.filter("w", lambda p: p.x >= F.col("bend"))})
+    return sides.select(*key, "bend", slope_in(F.col("before")).alias("slope_before"), slope_in(F.col("after")).alias("slope_after"))
 
 
 def weekly_trends(window: DataFrame) -> DataFrame:

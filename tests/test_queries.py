@@ -9,9 +9,9 @@ import duckdb
 import pytest
 
 from tidewell import queries as q
+from tidewell.operators import models
 
 DIR = "/root/testdata/sf0.001"
-MODELS = {"evaluate_allbutone", "grid_search", "per_device", "ada_boost", "stacked", "kernel_svm", "domain_curve", "stability_select", "kmeans_census", "published_saeb", "published_wang"}
 
 
 @pytest.fixture(scope="module")
@@ -36,8 +36,15 @@ def test_equals_sql(spark, duck, name):
     assert rows(df.select(*columns).collect()) == rows([r[k] for k in at] for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(q.QUERIES) - set(q.ORACLE_SQL) - MODELS))
-def test_has_rows(spark, name):
+@pytest.mark.parametrize("name", sorted(set(q.QUERIES) - set(q.ORACLE_SQL)))
+def test_has_rows(spark, monkeypatch, name):
+    """The same query functions; only the grids of boosted and upper models are smaller than the published ones."""
+    monkeypatch.setattr(models, "SIZES", (2, 4))
+    monkeypatch.setattr(models, "TOP", (3, 6))
     df = q.QUERIES[name](spark, DIR)
     rows = df.collect()
     assert rows and all(len(r) == len(df.columns) for r in rows)
+    for column in {"score", "prob", "frequency", "accuracy", "acc", "balanced_acc", "auc"} & set(df.columns):
+        assert all(r[column] is None or 0 <= r[column] <= 1 for r in rows)
+    if name.startswith("published_"):
+        assert {r.role: r.n for r in rows}.keys() == {"train", "test"} and sum(r.n for r in rows) == 120

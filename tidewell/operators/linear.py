@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.operators.ordered import cut
+
 #: Numbers of curvature that a task sums up for all models at most; more models go in several runs.
 STATE = 1 << 20
 #: Rows of a matrix in a task.
@@ -68,8 +70,9 @@ def _input(rows: DataFrame, *more: Column) -> DataFrame:
 
 
 def compact(rows: DataFrame) -> DataFrame:
-    """Cached, in partitions of at least ``PART`` rows: a fit is many short passes over the same rows."""
-    held = rows.cache()
+    """A checkpoint of the rows, cached in partitions of at least ``PART`` rows: a fit is many short passes over
+    the same rows, and neither their plan nor their lineage should come along with each."""
+    held = cut(rows)
     return held.coalesce(max(1, held.count() // PART)).cache()
 
 

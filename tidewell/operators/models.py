@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import linear
 from tidewell.operators.metrics import auc, best_threshold, binary_report, log_likelihood
-from tidewell.plans.splits import learning_curve, plan_rows
+from tidewell.operators.ordered import cut
+from tidewell.plans.splits import learning_rows, plan_rows
 
 KINDS = {"rf": RandomForestClassifier, "dt": DecisionTreeClassifier, "lr": LogisticRegression, "mlp": MultilayerPerceptronClassifier, "svm": LinearSVC, "gbt": GBTClassifier}
 
@@ -289,13 +290,13 @@ class Stacking(Estimator):
             out = staged(boosted("features", max(self.sizes)).fit(own.where(F.col("fold") != fold)), own.where(F.col("fold") == fold), self.sizes, ["row_id", "fold", "label"])
             return out.select(F.lit(number).alias("family"), F.concat(F.lit("trees"), F.col("size").cast("string")).alias("option"), "row_id", "fold", F.col("label").cast("int").alias("y"), "p")
 
-        options = reduce(DataFrame.union, [nets, *at_once([lambda k=k, f=f: trees(k, f) for k in range(len(names)) for f in folds])]).cache()
+        options = cut(reduce(DataFrame.union, [nets, *at_once([lambda k=k, f=f: trees(k, f) for k in range(len(names)) for f in folds])]))
         reports = binary_report(options.withColumn("pred", (F.col("p") > 0.5).cast("int")), ["family", "option", "fold"])
         order = Window.partitionBy("family").orderBy(F.desc("f1"), "option")
         scores = reports.groupBy("family", "option").agg(F.avg("f1").alias("f1")).withColumn("place", F.row_number().over(order)).where("place = 1")
         chosen = {names[r.family]: (r.option, r.f1) for r in scores.collect()}  # a row a family
         picked = rows.sparkSession.createDataFrame([(k, chosen[f][0], f) for k, f in enumerate(names)], "family int, option string, name string")
-        unseen = options.join(F.broadcast(picked), ["family", "option"]).select("row_id", F.col("name").alias("family"), "fold", "y", F.col("p").alias("probability")).cache()
+        unseen = cut(options.join(F.broadcast(picked), ["family", "option"]).select("row_id", F.col("name").alias("family"), "fold", "y", F.col("p").alias("probability")))
 
         wide = unseen.groupBy("row_id", "fold", "y").pivot("family", names).agg(F.first("probability"))
         upper = wide.select("row_id", "fold", F.col("y").cast("double").alias("label"), array_to_vector(F.array(*(F.col(f"`{f}`") for f in names))).alias("features"))
@@ -312,7 +313,7 @@ class Stacking(Estimator):
 
         made = at_once([lambda k=k: member_model(k) for k in range(len(names))])
         final = boosted("features", size).fit(upper)
-        for held in (options, upper, rows):
+        for held in (upper, rows):
             held.unpersist()
         return StackingModel(dict(zip(names, made, strict=True)), final, {f: chosen[f] for f in names}, size, unseen)
 
@@ -388,18 +389,35 @@ def importance_screen(rows: DataFrame, n_features: int, folds: int, rounds: int
     return kept
 
 
-def domain_curve(points: DataFrame, domain: str, fractions: list[float], repeats: int = 5, seed: int = 0) -> DataFrame:
-    """Accuracy of a forest that tells the domain from the features, by fraction of participants."""
-    indexed = StringIndexer(inputCol=domain, outputCol="label").fit(points).transform(points).cache()
-    plan, out = learning_curve(points, fractions, repeats, seed), []
-    for f in fractions:
-        for r in range(repeats):
-            own = indexed.join(plan.where((F.col("fraction") == float(f)) & (F.col("repeat") == r)), ["ds_key", "pid"])
-            model = RandomForestClassifier(numTrees=10, maxDepth=3, seed=seed).fit(own.where("role = 'train'"))
-            acc = model.transform(indexed.where("role = 'test'")).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-            out.append((float(f), r, acc))
+def log_spaced(smallest: float, n: int = 20) -> list[float]:
+    """n fractions from the smallest to 1, at equal ratios."""
+    return [float(f) for f in np.logspace(math.log10(min(1.0, smallest)), 0, n)]
+
+
+def domain_curve(rows: DataFrame, domain: str, fractions: list[float], repeats: int = 5, unit: str = "pid", depth: int = 3, seed: int = 0) -> DataFrame:
+    """``fraction, repeat, n, accuracy, balanced_acc`` of a forest that tells the domain from ``features``.
+
+    Rows: ``row_id, ds_key, pid, features, role`` and the domain, a data set or a person. A fraction is one of
+    the participants of each data set or, with ``unit`` "row", of the rows of each person; a share of less than
+    one participant is that share of one participant's rows (:func:`learning_rows`). ``balanced_acc`` is the
+    mean recall of the domains. Forests are fitted side by side, and their predictions are one aggregation.
+    """
+    indexed = linear.compact(StringIndexer(inputCol=domain, outputCol="label").fit(rows).transform(rows).select("row_id", "ds_key", "pid", "features", "label", "role"))
+    picked = cut(learning_rows(indexed.where("role = 'train'").select("row_id", "ds_key", "pid"), fractions, repeats, unit, seed))
+    test = indexed.where("role = 'test'")
+
+    def tried(number: int, repeat: int) -> DataFrame:
+        own = indexed.join(F.broadcast(picked.where((F.col("number") == number) & (F.col("repeat") == repeat)).select("row_id")), "row_id", "left_semi").coalesce(1)
+        model = RandomForestClassifier(numTrees=10, maxDepth=depth, seed=seed).fit(own)
+        hit = (F.col("prediction") == F.col("label")).cast("double")
+        return model.transform(test).groupBy("label").agg(F.sum(hit).alias("hit"), F.count("*").alias("n")).agg((F.sum("hit") / F.sum("n")).alias("accuracy"), F.avg(F.col("hit") / F.col("n")).alias("balanced_acc"))
+
+    jobs = [(k, r) for k in range(len(fractions)) for r in range(repeats)]
+    sizes = {(r.number, r.repeat): r.n for r in picked.groupBy("number", "repeat").agg(F.count("*").alias("n")).collect()}  # a row a fit
+    found = at_once([lambda k=k, r=r: tried(k, r).first() for k, r in jobs])
     indexed.unpersist()
-    return points.sparkSession.createDataFrame(out, "fraction double, repeat int, accuracy double")
+    table = [(float(fractions[k]), r, sizes[k, r], x.accuracy, x.balanced_acc) for (k, r), x in zip(jobs, found, strict=True)]
+    return rows.sparkSession.createDataFrame(table, "fraction double, repeat int, n long, accuracy double, balanced_acc double")
 
 
 def flat_tensor(x: Column) -> Column:

@@ -14,7 +14,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.operators import cf, models, rules, scale, trend, windows
+from tidewell.operators import cf, linear, models, rules, scale, trend, windows
+from tidewell.operators.ordered import cut
 from tidewell.plans.registry import register
 from tidewell.plans.splits import fold_count, folds_with_both_classes
 
@@ -82,16 +83,14 @@ class Published:
     def fit(self, window: DataFrame, points: DataFrame, search: bool = False, folds: int = 5) -> Published:
         long = self.prepared(window, "train")
         names = tuple(r.feature for r in long.select("feature").distinct().orderBy("feature").collect())  # feature names only
-        rows = matrix(long, points, list(names)).cache()
+        rows = cut(matrix(long, points, list(names)))
         options = [{**p, **self.params} for p in self.grid(rows.count())]
         best = options[0]
         if search:
             k = fold_count(rows, "label", "pid", folds)
             folded = folds_with_both_classes(rows, "pid", "label", k)
             best = models.grid_search(folded, "lr" if self.linear else lambda p: self.estimator(p, len(names)), options, self.metric)[0]
-        made = replace(self, names=names, params=best, model=self.estimator(best, len(names)).fit(rows))
-        rows.unpersist()
-        return made
+        return replace(self, names=names, params=best, model=self.estimator(best, len(names)).fit(linear.compact(rows)))
 
     def predict(self, window: DataFrame, points: DataFrame) -> DataFrame:
         rows = matrix(self.prepared(window, "test", self.names), points, list(self.names))
@@ -172,9 +171,10 @@ class Stacked(Published):
     options: dict = field(default_factory=dict)
 
     def fit(self, window: DataFrame, points: DataFrame, search: bool = True, folds: int = 5) -> Stacked:
-        long = self.prepared(window, "train").cache()
+        long = cut(self.prepared(window, "train"))
         names = sorted(r.feature for r in long.select("feature").distinct().collect())  # feature names only
-        rows = matrix(long, points, names).withColumn("row_id", F.xxhash64(*POINT)).cache()
+        rows = matrix(long, points, names).withColumn("row_id", F.xxhash64(*POINT))
+        rows = cut(rows)
         families: dict[str, dict[str, list[int]]] = {}
         for k, name in enumerate(names):
             family, rest = name.split(":", 1)
@@ -186,10 +186,7 @@ class Stacked(Published):
         narrow = rows.withColumn("x", F.array(*(F.col("x")[k] for k in order)))
         folded = folds_with_both_classes(narrow, "pid", "label", fold_count(narrow, "label", "pid", folds))
         stack = models.Stacking({f: [at[k] for k in places] for f, places in kept.items()}, **self.options)
-        made = replace(self, names=tuple(names[k] for k in order), model=stack.fit(folded))
-        rows.unpersist()
-        long.unpersist()
-        return made
+        return replace(self, names=tuple(names[k] for k in order), model=stack.fit(folded))
 
 
 @register("ml_chikersal")
@@ -278,10 +275,7 @@ class Personalized:
         folded = folds_with_both_classes(points, "pid", "y", fold_count(points, "y", "pid", folds))
         name = F.concat_ws("@", F.col("pid").cast("string"), F.date_format("label_date", "yyyy-MM-dd"))
         labels = folded.select(name.alias("pid"), F.col("y").cast("int").alias("y"), "fold")
-        rows = self._series(window, "train").join(labels, "pid").cache()
-        made = Personalized(self.params, cf.CollaborativeFilter(**self.params).fit(rows))
-        rows.unpersist()
-        return made
+        return Personalized(self.params, cf.CollaborativeFilter(**self.params).fit(cut(self._series(window, "train").join(labels, "pid"))))
 
     def predict(self, window: DataFrame, points: DataFrame) -> DataFrame:
         voted = self.model.transform(self._series(window, "test")).select(F.col("pid").alias("__point"), "pred", F.col("prob").alias("score"))
@@ -296,15 +290,14 @@ def personalized(params: dict) -> Personalized:
 
 def evaluate(algorithm, window: DataFrame, points: DataFrame, search: bool = False) -> DataFrame:  # noqa: ANN001
     """``role, n`` and metrics of both roles of ``points`` (pid, label_date, y, ds_key, device, role), fitted
-    on train. Windows and points are held while it is fitted; what is gathered is a row a role."""
-    window, points = window.cache(), points.cache()
+    on train. Windows and points are checkpoints while it is fitted; what is gathered is a row a role."""
+    window, points = cut(window), cut(points)
     keys = points.select(*POINT, "role")
     part = lambda role: (window.join(keys.where(F.col("role") == role).select(*POINT), POINT, "left_semi"), points.where(F.col("role") == role))
     fitted = algorithm.fit(*part("train"), search=search)
     scored = [fitted.predict(*part(role)) for role in ("train", "test")]
-    both = scored[0].unionByName(scored[1]).select("role", F.col("y").cast("int").alias("y"), "pred", "score").cache()
+    both = scored[0].unionByName(scored[1]).select("role", F.col("y").cast("int").alias("y"), "pred", "score")
+    both = cut(both)
     found = models.metrics(both, ["role"]).join(both.groupBy("role").agg(F.count("*").alias("n")), "role")
     rows, schema = found.collect(), found.schema
-    for held in (both, points, window):
-        held.unpersist()
     return points.sparkSession.createDataFrame(rows, schema)

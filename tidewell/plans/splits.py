@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def shuffled(key: Column | str, seed: int) -> Column:
     """A pseudo-random order that both Spark and SQL engines can compute: integer arithmetic on the key."""
     k = F.col(key) if isinstance(key, str) else key
-    return F.pmod(k.cast("bigint") * 7919 + seed * 104729, F.lit(1009))
+    return F.pmod(F.pmod(k.cast("bigint"), F.lit(1009)) * 7919 + seed * 104729, F.lit(1009))
 
 
 def global_number(rows: DataFrame, order: list[Column], tie: str) -> DataFrame:
@@ -152,6 +152,37 @@ def learning_curve(points: DataFrame, fractions: list[float], repeats: int = 5,
     return ranked.where(F.col("n") <= F.ceil(F.round(F.col("fraction") * F.col("of"), 9))).select("fraction", "repeat", "ds_key", "pid")
 
 
+def row_split(rows: DataFrame, share: float = 0.2, seed: int = 0, key: str = "row_id", by: tuple[str, ...] = ("pid",)) -> DataFrame:
+    """``role`` by row: ceil(share * n) of each person's rows are test, in the order of a hash of the row."""
+    mine = Window.partitionBy(*by)
+    n = F.row_number().over(mine.orderBy(shuffled(key, seed), key))
+    return rows.withColumn("role", F.when(n <= F.ceil(F.round(F.count("*").over(mine) * share, 9)), "test").otherwise("train"))
+
+
+def learning_rows(rows: DataFrame, fractions: list[float], repeats: int = 5, unit: str = "pid", seed: int = 0, key: str = "row_id") -> DataFrame:
+    """``number, fraction, repeat, key``: the rows of each fraction and repeat; ``number`` counts the fractions.
+
+    With ``unit`` "pid" the first ceil(fraction * n) participants of a data set give all their rows, in the
+    repeat's order; of a share below one participant, that one gives ceil(share * rows). With "row" each
+    person gives ceil(fraction * rows).
+    """
+    spark = rows.sparkSession
+    grid = F.broadcast(spark.createDataFrame([(k, float(f), r) for k, f in enumerate(fractions) for r in range(repeats)], "number int, fraction double, repeat int"))
+    order = lambda c: F.pmod(F.pmod(F.col(c).cast("bigint"), F.lit(1009)) * 7919 + (F.col("repeat") + seed) * 104729, F.lit(1009))
+    rows = rows.select(key, "ds_key", "pid")
+    person = Window.partitionBy("number", "repeat", "pid", "ds_key").orderBy(order(key), key)
+    if unit == "row":
+        sizes = rows.groupBy("ds_key", "pid").agg(F.count("*").alias("of"))
+        spread = rows.join(sizes, ["ds_key", "pid"]).crossJoin(grid).withColumn("i", F.row_number().over(person))
+        return spread.where(F.col("i") <= F.ceil(F.round(F.col("fraction") * F.col("of"), 9))).select("number", "fraction", "repeat", key)
+    people = rows.groupBy("ds_key", "pid").agg(F.count("*").alias("of"))
+    mine = Window.partitionBy("ds_key", "number", "repeat")
+    chosen = people.crossJoin(grid).withColumn("i", F.row_number().over(mine.orderBy(order("pid"), "pid"))).withColumn("share", F.round(F.col("fraction") * F.count("*").over(mine), 9))
+    chosen = chosen.where(F.col("i") <= F.ceil("share"))
+    spread = rows.join(chosen, ["ds_key", "pid"]).withColumn("j", F.row_number().over(person))
+    return spread.where((F.col("share") >= 1) | (F.col("j") <= F.ceil(F.round(F.col("share") * F.col("of"), 9)))).select("number", "fraction", "repeat", key)
+
+
 def mining_holdout(points: DataFrame, share: float = 0.35, seed: int = 0) -> DataFrame:
     """``mining``: floor(share * n) of all participants are held for rule mining."""
     people = points.select("pid").distinct()

@@ -1349,9 +1349,54 @@ def _(s, d):
     return models.predictions(models.make_estimator("svm").fit(m.where("role = 'train'")), m)
 
 
-@query("domain_curve", "r:fraction i:repeat r:accuracy")
+@query("domain_curve", "r:fraction i:repeat i:n r:accuracy r:balanced_acc")
 def _(s, d):
-    return models.domain_curve(splits.pid_split(_matrix(s, d).drop("role", "label")), "ds_key", [0.3, 1.0], 1)
+    """Data sets told apart: 20 fractions of the participants, 5 repeats."""
+    m = splits.pid_split(_matrix(s, d).drop("role", "label"))
+    people = m.where("role = 'train'").select("pid").distinct().count()
+    return models.domain_curve(m, "ds_key", models.log_spaced(1.4 / people))
+
+
+@query("person_curve", "r:fraction i:repeat i:n r:accuracy r:balanced_acc")
+def _(s, d):
+    """Persons told apart by daily features: 20 fractions of each person's days, one fifth of them kept for the test."""
+    from pyspark.ml.functions import array_to_vector
+
+    wide = windows.wide(views.daily(s, d), ["pid", "date"], _NAMES)
+    x = array_to_vector(F.array(*(F.coalesce(F.col(f"`{n}`"), F.lit(0.0)) for n in _NAMES)))
+    days = wide.select("pid", "date", x.alias("features")).join(views.participants(s, d), "pid")
+    rows = splits.row_split(days.withColumn("row_id", F.col("pid") * 1000 + F.datediff("date", F.lit("2024-01-01").cast("date"))))
+    average = rows.count() / rows.select("pid").distinct().count()
+    return models.domain_curve(rows.withColumn("person", F.col("pid").cast("string")), "person", models.log_spaced(1.4 / average), 1, "row", 11)
+
+
+@query("row_split", "i:pid d:label_date s:role", f"""
+SELECT pid, label_date, CASE WHEN i <= ceil(round(n * 0.2, 9)) THEN 'test' ELSE 'train' END AS role FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY (r * 7919) % 1009, r) AS i, count(*) OVER (PARTITION BY pid) AS n FROM (SELECT pid, label_date, pid * 1000 + (label_date - DATE '2024-01-01') AS r FROM lb))""")
+def _(s, d):
+    return splits.row_split(_numbered_points(s, d))
+
+
+def _numbered_points(s: SparkSession, d: str) -> DataFrame:
+    return views.points(s, d).withColumn("row_id", F.col("pid") * 1000 + F.datediff("label_date", F.lit("2024-01-01").cast("date")))
+
+
+_ROWS = "g AS (SELECT * FROM (VALUES (0, 0.02), (1, 0.1), (2, 0.5), (3, 1.0)) f(number, fraction), range(2) r(repeat)), p AS (SELECT pid, ds_key, pid * 1000 + (label_date - DATE '2024-01-01') AS row_id FROM pts)"
+
+
+@query("learning_rows_pid", "i:number i:repeat i:row_id", f"""
+WITH {_ROWS}, q AS (SELECT ds_key, pid, count(*) AS n FROM p GROUP BY ALL),
+c AS (SELECT *, round(CAST(fraction AS DOUBLE) * people, 9) AS share FROM (SELECT q.*, g.*, row_number() OVER (PARTITION BY ds_key, number, repeat ORDER BY (pid * 7919 + repeat * 104729) % 1009, pid) AS i, count(*) OVER (PARTITION BY ds_key, number, repeat) AS people FROM q, g)),
+j AS (SELECT p.row_id, c.*, row_number() OVER (PARTITION BY number, repeat, p.pid ORDER BY (row_id * 7919 + repeat * 104729) % 1009, row_id) AS j FROM p JOIN c USING (ds_key, pid) WHERE i <= ceil(share))
+SELECT number, repeat, row_id FROM j WHERE share >= 1 OR j <= ceil(round(share * n, 9))""")
+def _(s, d):
+    return splits.learning_rows(_numbered_points(s, d), [0.02, 0.1, 0.5, 1.0], 2)
+
+
+@query("learning_rows_row", "i:number i:repeat i:row_id", f"""
+WITH {_ROWS}, j AS (SELECT p.row_id, g.*, row_number() OVER (PARTITION BY number, repeat, pid ORDER BY (row_id * 7919 + repeat * 104729) % 1009, row_id) AS j, count(*) OVER (PARTITION BY number, repeat, pid) AS n FROM p, g)
+SELECT number, repeat, row_id FROM j WHERE j <= ceil(round(CAST(fraction AS DOUBLE) * n, 9))""")
+def _(s, d):
+    return splits.learning_rows(_numbered_points(s, d), [0.02, 0.1, 0.5, 1.0], 2, "row")
 
 
 @query("stability_select", "i:family i:segment s:feature r:frequency b:kept")

@@ -93,3 +93,29 @@ def test_staged_scores_equal_smaller_models(planted):
     for size in (2, 5):
         want = models.boosted("features", size).fit(rows).transform(rows).select("row_id", "probability").collect()
         assert all(got[r.row_id, size] == pytest.approx(float(r.probability[1])) for r in want)
+
+
+def test_pooled_baseline_learns_from_windows(spark):
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 2, 200)
+    x = [(rng.normal(size=(6, 3)) + (np.arange(6)[:, None] * 0.4 if c else 0)).tolist() for c in y]
+    rows = spark.createDataFrame([(k, v, float(c)) for k, (v, c) in enumerate(zip(x, y, strict=True))], "row_id long, x array<array<double>>, label double")
+    model = models.pooled_baseline(rows.where("row_id < 150"), 18)
+    scored = models.predictions(model, rows.where("row_id >= 150").withColumn("features", models.flat_tensor(F.col("x"))))
+    assert metrics.binary_report(scored, []).first()["balanced_acc"] > 0.85
+
+
+def test_boosting_with_written_weights_separates_a_corner(planted):
+    fitted = models.AdaBoost(rounds=8, maxDepth=1).fit(planted)
+    one = models.AdaBoost(rounds=1, maxDepth=1).fit(planted)
+    acc = lambda m: metrics.binary_report(models.predictions(m, planted), []).first()["acc"]
+    assert len(fitted.trees) > 3 and acc(fitted) > acc(one) + 0.05
+
+
+def test_beta_weights_have_the_moments_of_their_distribution(spark):
+    from tidewell.operators import embed
+
+    for alpha in (0.2, 0.4, 1.0):
+        got = np.array([r.lam for r in spark.range(20_000).select(embed.beta("id", alpha, 3).alias("lam")).collect()])
+        assert got.min() >= 0 and got.max() <= 1 and got.mean() == pytest.approx(0.5, abs=0.02)
+        assert got.var() == pytest.approx(1 / (4 * (2 * alpha + 1)), rel=0.05)

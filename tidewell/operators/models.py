@@ -130,18 +130,18 @@ class AdaBoost:
 
     def fit(self, rows: DataFrame) -> AdaBoost:
         made = AdaBoost(self.rounds, self.depth, self.rate, self.seed)
-        weight = F.lit(1.0)
+        held = linear.compact(rows.select("features", "label", F.lit(1.0).alias("w")))
         for r in range(self.rounds):
-            weighted = rows.withColumn("w", weight)
-            tree = DecisionTreeClassifier(maxDepth=self.depth, weightCol="w", seed=self.seed + r).fit(weighted)
-            miss = tree.transform(weighted).agg(F.sum(F.when(F.col("prediction") != F.col("label"), F.col("w"))), F.sum("w")).first()
+            tree = DecisionTreeClassifier(maxDepth=self.depth, weightCol="w", seed=self.seed + r).fit(held)
+            scored = tree.transform(held).withColumn("miss", (F.col("prediction") != F.col("label")).cast("double"))
+            miss = scored.agg(F.sum(F.col("miss") * F.col("w")), F.sum("w")).first()
             error = min(max((miss[0] or 0.0) / miss[1], 1e-10), 1 - 1e-10)
             alpha = self.rate * math.log((1 - error) / error)
             made.trees.append((alpha, tree))
             if alpha <= 0 or error <= 1e-9:
                 break
-            rows = tree.transform(rows).withColumn(f"miss_{r}", (F.col("prediction") != F.col("label")).cast("double")).drop("prediction", "rawPrediction", "probability")
-            weight = weight * F.exp(alpha * F.col(f"miss_{r}"))
+            # the weights of a round are written once: later rounds neither keep nor run the earlier trees
+            held = cut(scored.select("features", "label", (F.col("w") * F.exp(alpha * F.col("miss"))).alias("w")))
         return made
 
     def transform(self, rows: DataFrame) -> DataFrame:
@@ -423,3 +423,15 @@ def domain_curve(rows: DataFrame, domain: str, fractions: list[float], repeats:
 def flat_tensor(x: Column) -> Column:
     """A window tensor as one vector: the pooled baseline's input."""
     return array_to_vector(F.flatten(x))
+
+
+def pooled_baseline(tensors: DataFrame, width: int, kind: str = "mlp", params: dict | None = None):  # noqa: ANN201
+    """A model of ``kind`` on flattened windows ``x`` (days by features, ``width`` numbers) of all data sets together.
+
+    The default is a perceptron with one hidden layer of 16. Missing days are expected as 0.
+    """
+    layers = {"layers": [width, 16, 2], "maxIter": 100, "seed": 1} if kind == "mlp" else {}
+    rows = linear.compact(tensors.select(flat_tensor(F.col("x")).alias("features"), F.col("label").cast("double").alias("label")))
+    model = make_estimator(kind, {**layers, **(params or {})}).fit(rows)
+    rows.unpersist()
+    return model

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.scalar import clip
-from tidewell.operators.ordered import exact_quantiles
+from tidewell.operators.ordered import cut, exact_quantiles
 
 #: Distance of the 5 % and 95 % points of a standard normal.
 NORMAL_SPAN = 3.2897072539029444
@@ -112,6 +112,7 @@ def cf_impute(long: DataFrame, low: float = 1.0, high: float = 3.0, least_days:
     with the values and the mask of present values of the one block, numerators and denominators of the
     other's missing cells as two more; only those cells leave the task.
     """
+    long = cut(long)
     people = long.groupBy("feature").agg(F.count_distinct("pid").alias("people"), F.array_sort(F.collect_set("day")).alias("days"))
     present = long.where("value is not null").groupBy("feature", "day").agg(F.count_distinct("pid").alias("n"))
     full = present.join(people, "feature").groupBy("feature").agg(F.count_if(1 - F.col("n") / F.col("people") < day_na).alias("full"))

@@ -29,10 +29,17 @@ def label_windows_by_range(labels: DataFrame, daily: DataFrame, days: int = 28)
     return labels.join(daily, "pid").where((gap >= 0) & (gap < days))
 
 
-def padded_windows(labels: DataFrame, daily: DataFrame, days: int = 28) -> DataFrame:
-    """Exactly ``days`` rows for each label and feature it has; missing days have a null value."""
+def padded_windows(labels: DataFrame, daily: DataFrame, days: int = 28, catalogue: DataFrame | None = None) -> DataFrame:
+    """Exactly ``days`` rows for each label with any row and each feature it has; missing days have a null value.
+
+    With a ``catalogue`` (``feature``, a row a feature) each such label has all of its features.
+    """
     held = label_windows(labels, daily, days)
-    grid = held.select(*labels.columns, "feature").distinct().withColumn("date", F.explode(F.sequence(F.date_sub("label_date", days - 1), "label_date")))
+    if catalogue is None:
+        grid = held.select(*labels.columns, "feature").distinct()
+    else:
+        grid = held.select(*labels.columns).distinct().crossJoin(F.broadcast(catalogue.select("feature").distinct()))
+    grid = grid.withColumn("date", F.explode(F.sequence(F.date_sub("label_date", days - 1), "label_date")))
     return grid.join(daily, ["pid", "date", "feature"], "left")
 
 

@@ -262,9 +262,13 @@ def _(s, d):
     return windows.label_windows_by_range(views.labels(s, d), views.daily(s, d), 7).groupBy("pid", "label_date").agg(F.count("*").alias("n"))
 
 
-@query("spine_fill", "i:pid d:label_date s:feature i:days i:held", "SELECT pid, label_date, feature, 28 AS days, count(value) AS held FROM win GROUP BY ALL")
+@query("spine_fill", "i:pid d:label_date s:feature i:days i:held", """
+SELECT l.pid, l.label_date, f.feature, 28 AS days, count(w.value) AS held FROM (SELECT DISTINCT pid, label_date FROM win) l CROSS JOIN (SELECT DISTINCT feature FROM daily) f
+LEFT JOIN win w ON w.pid = l.pid AND w.label_date = l.label_date AND w.feature = f.feature GROUP BY ALL""")
 def _(s, d):
-    return windows.padded_windows(views.labels(s, d), views.daily(s, d)).groupBy("pid", "label_date", "feature").agg(F.count("*").alias("days"), F.count("value").alias("held"))
+    """Every feature of the catalogue for every label."""
+    daily = views.daily(s, d)
+    return windows.padded_windows(views.labels(s, d), daily, catalogue=daily).groupBy("pid", "label_date", "feature").agg(F.count("*").alias("days"), F.count("value").alias("held"))
 
 
 @query("daily_with_labels", "i:pid d:date s:feature r:value b:y s:device", "SELECT d.pid, d.date, feature, value, y, device FROM daily d JOIN dim USING (pid) LEFT JOIN lb ON lb.pid = d.pid AND lb.label_date = d.date")
@@ -1349,6 +1353,16 @@ def _(s, d):
     return models.predictions(models.make_estimator("svm").fit(m.where("role = 'train'")), m)
 
 
+@query("pooled_baseline", "i:pid d:label_date i:pred r:score")
+def _(s, d):
+    """A perceptron on 28 x 10 windows, normalised within the window, fitted on each person's past."""
+    normed = windows.window_tensor(scale.window_norm(views.windows(s, d)), _NAMES)
+    points = splits.within_user(views.points(s, d))
+    rows = normed.select("pid", "label_date", "x").join(points.select("pid", "label_date", "role", F.col("y").cast("double").alias("label")), ["pid", "label_date"])
+    model = models.pooled_baseline(rows.where("role = 'train'"), 280)
+    return models.predictions(model, rows.withColumn("features", models.flat_tensor(F.col("x"))))
+
+
 @query("domain_curve", "r:fraction i:repeat i:n r:accuracy r:balanced_acc")
 def _(s, d):
     """Data sets told apart: 20 fractions of the participants, 5 repeats."""
@@ -1473,9 +1487,9 @@ def _(s, d):
     return segments.run_available(segments.stream_daily(_stream(s, d)), _scratch(s, "stream_daily"))
 
 
-@query("stream_history", "i:pid d:date s:kind i:n r:sum", f"SELECT pid, CAST(e.date + CAST(k AS INT) AS DATE) AS date, kind, count(*) AS n, sum(value) AS sum FROM ev e, range(3) r(k) WHERE e.date + CAST(k AS INT) + INTERVAL 1 DAY {_CLOSED} GROUP BY ALL")
+@query("stream_history", "i:pid d:date s:kind i:n r:sum", f"SELECT pid, CAST(e.date + CAST(k AS INT) AS DATE) AS date, kind, count(*) AS n, sum(value) AS sum FROM ev e, range(14) r(k) WHERE e.date + CAST(k AS INT) + INTERVAL 1 DAY {_CLOSED} GROUP BY ALL")
 def _(s, d):
-    return segments.run_available(segments.stream_history(_stream(s, d), 3), _scratch(s, "stream_history"))
+    return segments.run_available(segments.stream_history(_stream(s, d)), _scratch(s, "stream_history"))
 
 
 @query("stream_first_answers", "i:pid d:date", "SELECT DISTINCT pid, date FROM ev WHERE kind = 'error'")

@@ -280,7 +280,9 @@ class Personalized:
     def predict(self, window: DataFrame, points: DataFrame) -> DataFrame:
         voted = self.model.transform(self._series(window, "test")).select(F.col("pid").alias("__point"), "pred", F.col("prob").alias("score"))
         name = F.concat_ws("@", F.col("pid").cast("string"), F.date_format("label_date", "yyyy-MM-dd"))
-        return points.withColumn("__point", name).join(voted, "__point").drop("__point")
+        # a point without a day in any selected series has no vote, which is no majority
+        joined = points.withColumn("__point", name).join(voted, "__point", "left").drop("__point")
+        return joined.withColumns({"pred": F.coalesce("pred", F.lit(0)), "score": F.coalesce("score", F.lit(0.0))})
 
 
 @register("ml_xu_personalized")

@@ -21,7 +21,7 @@ HEADLINE = [
 def session(cpus: str) -> SparkSession:
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     conf = {
-        "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC",
+        "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.sql.maxPlanStringLength": "20000",
         "spark.driver.memory": "8g", "spark.sql.warehouse.dir": f"{folder}/warehouse", "spark.local.dir": folder,
     }
     spark = SparkSession.builder.master(f"local[{cpus}]").config(map=conf).getOrCreate()

@@ -19,6 +19,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.maxPlanStringLength", "20000")
         .config("spark.sql.warehouse.dir", f"{folder}/warehouse")
         .config("spark.local.dir", folder)
         .config("spark.driver.memory", "4g")

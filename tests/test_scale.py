@@ -87,3 +87,22 @@ def test_fill_over_blocks_of_givers(spark, memory, monkeypatch):
     monkeypatch.setattr(scale, "PEOPLE", 7)
     monkeypatch.setattr(scale, "CELLS", 100)
     assert sorted(map(tuple, scale.cf_impute(cells).collect())) == whole
+
+
+def test_frames_across_batches(spark):
+    """Each window's frame is whole, also that of a null key, and small frames come to Python in one batch."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from tidewell.operators import embed
+
+    rows = spark.range(200).select(F.when(F.col("id") % 7 > 0, F.col("id") % 7).alias("k"), "id")
+    total = lambda g: pd.DataFrame({"k": g.k[:1], "n": [len(g)], "total": [g.id.sum()], "start": [int(g.index[0])]})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        made = embed.map_windows(rows, ["k"], total, "k bigint, n bigint, total bigint, start int")
+        found = {r.k: (r.n, r.total, r.start) for r in made.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == {k or None: (len(range(k, 200, 7)), sum(range(k, 200, 7)), 0) for k in range(7)}
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().executedPlan().toString()

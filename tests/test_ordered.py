@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidewell.operators import ordered, screen
+from tidewell.operators import neighbours, ordered, screen
 
 
 @pytest.mark.parametrize("q", [[0.0, 0.05, 0.5, 0.95, 1.0]])
@@ -57,3 +58,23 @@ def test_neighbour_information_equals_all_pairs(spark, monkeypatch):
     assert len(rounds) == 12 and {r["round"] for r in rounds} == {0, 1, 2}
     assert {r.feature for r in screen.mi_screen(df, ["id"], rounds=3, floor=1).collect()} <= {"apart", "tied"}
     assert screen.mi_screen(df, ["id"], rounds=2, floor=10).count() == 4  # the first round would leave too few
+
+
+def test_rounds_in_chunks_equal_all_pairs(spark, monkeypatch):
+    """Noise drawn in the tasks is Spark's, and chunks of few rows, ties across none of them, give the estimator."""
+    rng, data = np.random.default_rng(4), {}
+    y = rng.integers(0, 2, 400)
+    y[:1], y[1:3], y[3:9] = 5, 6, 7  # classes of one, two and few rows
+    for f, x in {"tied": rng.integers(0, 6, 400).astype(float), "apart": y + rng.normal(size=400) * 0.2, "constant": np.ones(400), "hot": np.where(rng.random(400) < 0.7, 0.0, rng.normal(size=400))}.items():
+        data[f] = np.where(np.arange(400) % 97 == 0, -10240.0, x)
+    df = spark.createDataFrame([(f, k, None if v == -10240 else float(v), int(c)) for f, x in data.items() for k, (v, c) in enumerate(zip(x, y, strict=True))], "feature string, id long, value double, y int").repartition(3)
+    hashes = df.select("feature", "id", *(F.xxhash64("feature", "id", F.lit(1), F.lit(n)).alias(f"h{n}") for n in (1, 2)), F.xxhash64("feature", "id").alias("seed")).orderBy("feature", "id").toPandas()
+    seed = hashes.seed.to_numpy().view(np.uint64)
+    for n in (1, 2):
+        assert (neighbours.hash_int(neighbours.hash_int(seed, 1), n).view(np.int64) == hashes[f"h{n}"].to_numpy()).all()
+    noise = {f: neighbours.normal(seed[hashes.feature == f], 1) for f in data}
+    want = {f: ross(x / (x.std() or 1.0) + 1e-10 * max(1.0, np.abs(x).mean() / (x.std() or 1.0)) * noise[f], y) for f, x in data.items()}
+    for rows in (1 << 17, 60):
+        monkeypatch.setattr(neighbours, "ROWS", rows)
+        got = {r.feature: r.mi for r in screen.mi_rounds(df, ["id"], rounds=2).where("round = 1").collect()}
+        assert got == pytest.approx(want, abs=1e-6)

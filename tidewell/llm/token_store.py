@@ -15,7 +15,7 @@ import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import filterfalse
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,8 @@ KEPT_BYTES = 9
 #: Bytes of text whose chunks are made distinct together.
 ENCODE_BYTES = 1 << 20
 SAMPLE = 64
+#: Signs that the library's pre-tokenizer parts from letters before them.
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 BLOCKS = "shard int, block int, base bigint, n_docs int, n_tokens bigint, width int, doc_ids array<bigint>, ids binary, low_bits int, low binary, high binary, samples binary"
 
@@ -83,7 +85,7 @@ class ChunkEncoder:
 
     Most new chunks are words of letters in that form already, each a pre-token of its own: they go to the
     library's model at once, as one text in the byte alphabet, cut at the tokens that end a word. A chunk
-    of such a word and full stops or commas is put together from both. All other chunks are encoded each
+    of such a word and ASCII punctuation after it is put together from both. All other chunks are encoded each
     by itself, and texts with one of the tokenizer's added tokens as a whole. ASCII letters are
     lower-cased up front.
     """
@@ -132,7 +134,7 @@ class ChunkEncoder:
         words = [c for c in chunks if c.isalpha()]
         joint, others = {}, set()
         for c in chunks.difference(words):
-            stem = c.rstrip(b".,")
+            stem = c.rstrip(MARKS)
             if stem.isalpha() or (stem and _is_plain(stem.decode())):
                 joint[c] = stem
                 others.add(c[len(stem) :])
@@ -151,7 +153,7 @@ class ChunkEncoder:
         if len(self.cache) > CACHE_CHUNKS:
             short = {c: ids for c, ids in self.cache.items() if len(c) <= KEPT_BYTES}
             self.cache = short if len(short) < CACHE_CHUNKS // 2 else {b"": b""}
-        new = set(filterfalse(self.cache.__contains__, set().union(*chunks)))
+        new = set(filterfalse(self.cache.__contains__, chain.from_iterable(chunks)))
         self.learn(new)
         ids = [b"".join([whole.get(k, b""), *map(self.cache.__getitem__, x), end]) for k, x in enumerate(chunks)]
         for chunk in [x for x in new if len(x) > 64]:  # long chunks hardly come again

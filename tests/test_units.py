@@ -173,3 +173,12 @@ def test_boosting_learns_what_one_stump_cannot(spark):
 def test_scalar_helpers(spark):
     row = spark.createDataFrame([(2.5, -5.0, "m")], "a double, b double, l string").select(scalar.half_even(F.col("a")), scalar.clip(F.col("b"), -2, 2), scalar.ordinal(F.col("l"))).first()
     assert tuple(row) == (2.0, -2.0, 2)
+
+
+def test_labels_columns_go_along_with_their_windows(spark):
+    """Statistics keep the label's columns where the participant's rows lie: no exchange brings them back."""
+    labels = spark.createDataFrame([(1, "2024-01-03", True), (1, "2024-01-05", False), (2, "2024-01-03", None)], "pid long, label_date string, y boolean").withColumn("label_date", F.to_date("label_date"))
+    daily = spark.createDataFrame([(1, "2024-01-02", "a", 1.0), (1, "2024-01-03", "a", 3.0), (2, "2024-01-03", "a", 5.0)], "pid long, date string, feature string, value double").withColumn("date", F.to_date("date"))
+    made = windows.window_stats(windows.label_windows(labels.repartition(3, "pid"), daily.repartition(3, "pid"), 14), 14, ("mean",), ("y",))
+    assert sorted(((r.pid, r.label_date.day, r.y, r["mean"]) for r in made.collect()), key=repr) == [(1, 3, True, 2.0), (1, 5, False, 2.0), (2, 3, None, 5.0)]
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2 * 2  # the two repartitions, once in each form of the plan

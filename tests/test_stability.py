@@ -88,3 +88,13 @@ def lasso_with(x, y, cost, part):
         z = w - step * cost * (wide.T @ (1 / (1 + np.exp(-wide @ w)) - y))
         w = np.sign(z) * np.maximum(np.abs(z) - step, 0)
     return np.append(w[:-1], w[-1] / part)
+
+
+def test_equal_refits_are_fitted_once(planted, monkeypatch):
+    """Two pairs of features have eight scales, however many refits; the query's first stage is not fitted again."""
+    sizes, fit = [], linear.fit_many
+    monkeypatch.setattr(linear, "fit_many", lambda rows, d, what, **more: sizes.append(len(what)) or fit(rows, d, what, **more))
+    families = {"a": {"s": [0, 1], "t": [2, 3]}}
+    scores, kept = models.stability_stages(planted, D, families, n=100, cost=0.6)
+    assert len(sizes) <= 2 and max(sizes) <= 8 and [set(s) for s in scores] == [{0, 1}, {2, 3}]
+    assert kept == models.stability_select(planted, D, families, n=100, cost=0.6)
